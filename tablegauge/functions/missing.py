@@ -1,7 +1,10 @@
-"""What counts as a missing value.
+"""What counts as a missing value, and which columns count as numbers.
 
 A value is missing when it is NULL or a floating-point NaN.  Spark groups, counts and orders NULL and NaN
-apart, so every operator goes through these helpers instead of calling ``isNull`` itself.
+apart, so every operator goes through these helpers instead of testing for NULL itself.
+
+Expressions are built as SQL text: a wide table needs many of them, and each call of the Column API is several
+round trips to the JVM.
 """
 
 from __future__ import annotations
@@ -14,6 +17,30 @@ NUMERIC_TYPES = (
 )
 
 
+def ident(name: str) -> str:
+    """A column by its literal name, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def quoted(name: str) -> Column:
+    return F.col(ident(name))
+
+
+def literal(text: str | None) -> str:
+    """A text constant; raw where possible, so that backslashes mean themselves."""
+    if text is None:
+        return "cast(null as string)"
+    for quote in ("'", '"'):
+        if quote not in text:
+            return f"r{quote}{text}{quote}"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def number_literal(x: float) -> str:
+    """A double constant that reads back as the same value."""
+    return f"double('{x!r}')" if x in (float("inf"), float("-inf")) or x != x else f"{float(x)!r}D"
+
+
 def is_float(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType))
 
@@ -23,21 +50,19 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, NUMERIC_TYPES)
 
 
-def is_missing(col: Column, dtype: T.DataType) -> Column:
-    if is_float(dtype):
-        return col.isNull() | F.isnan(col)
-    return col.isNull()
+def missing(name: str, dtype: T.DataType) -> str:
+    c = ident(name)
+    return f"({c} is null or isnan({c}))" if is_float(dtype) else f"({c} is null)"
 
 
-def null_if_missing(col: Column, dtype: T.DataType) -> Column:
+def value_or_null(name: str, dtype: T.DataType) -> str:
     """NaN becomes NULL, so that grouping and aggregates see one kind of missing value."""
-    if is_float(dtype):
-        return F.when(~F.isnan(col), col)
-    return col
+    c = ident(name)
+    return f"(case when not isnan({c}) then {c} end)" if is_float(dtype) else c
 
 
-def as_number(col: Column, dtype: T.DataType) -> Column:
+def number(name: str, dtype: T.DataType) -> str:
     """A numeric (or boolean) column as DOUBLE, missing values as NULL."""
     if isinstance(dtype, T.BooleanType):
-        return col.cast("int").cast("double")
-    return null_if_missing(col, dtype).cast("double")
+        return f"cast(cast({ident(name)} as int) as double)"
+    return f"cast({value_or_null(name, dtype)} as double)"

@@ -1,11 +1,10 @@
-"""Text views of values: cell text, anchored patterns, number parsing, width-bounded grouping keys."""
+"""Text views of values: cell text, anchored patterns, number parsing, width-bounded grouping keys (SQL text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from tablegauge.functions.missing import null_if_missing
+from tablegauge.functions.missing import ident, literal, value_or_null
 
 # Regular expressions for the columns whose name suggests an e-mail address or a phone number.
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -18,58 +17,60 @@ _WORD = r"[+-]?(?:[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])"
 NUMBER_TEXT = rf"(?U)\A\s*(?:{_DECIMAL}|{_WORD})\s*\z"
 INTEGER_TEXT = r"(?U)\A\s*[+-]?[0-9]+\s*\z"
 NAN_TEXT = r"(?U)\A\s*[+-]?[nN][aA][nN]\s*\z"
+OUTER_BLANKS = r"(?U)\A\s+|\s+\z"
 
 # A grouping key never gets wider than this many bytes, except for the digest that replaces longer values.
 KEY_BYTES = 64
 
+NESTED_TYPES = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
 
-def cell_text(col: Column, dtype: T.DataType) -> Column:
+
+def cell_text(name: str, dtype: T.DataType) -> str:
     """The text a rule sees; booleans read ``True`` / ``False``."""
+    c = ident(name)
     if isinstance(dtype, T.BooleanType):
-        return F.initcap(col.cast("string"))
-    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-        return F.to_json(col)
-    return col.cast("string")
+        return f"initcap(cast({c} as string))"
+    if isinstance(dtype, NESTED_TYPES):
+        return f"to_json({c})"
+    return c if isinstance(dtype, T.StringType) else f"cast({c} as string)"
 
 
-def matches_from_start(text: Column, pattern: str) -> Column:
+def matches_from_start(text: str, pattern: str) -> str:
     """Match anchored at the start only.
 
     ``(?U)`` makes ``\\d``, ``\\s`` and ``\\w`` Unicode-aware, ``(?d)`` makes ``\\n`` the only line end.
     """
-    return text.rlike(rf"(?Ud)\A(?:{pattern})")
+    return f"({text} rlike {literal(f'(?Ud){chr(92)}A(?:{pattern})')})"
 
 
-def strip_blanks(text: Column) -> Column:
+def strip_blanks(text: str) -> str:
     """Drops every kind of outer white space; ``trim`` removes blanks only."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return f"regexp_replace({text}, {literal(OUTER_BLANKS)}, '')"
 
 
-def parse_number(text: Column) -> Column:
+def parse_number(text: str) -> str:
     """Text to DOUBLE.  NULL when the text is not a number; underscores between digits are allowed."""
-    plain = F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", "")
-    return (
-        F.when(plain.rlike(NAN_TEXT), F.lit(float("nan")))
-        .when(plain.rlike(NUMBER_TEXT), strip_blanks(plain).try_cast("double"))
-    )
+    plain = f"regexp_replace({text}, {literal('(?<=[0-9])_(?=[0-9])')}, '')"
+    return (f"(case when {plain} rlike {literal(NAN_TEXT)} then double('NaN') "
+            f"when {plain} rlike {literal(NUMBER_TEXT)} then try_cast({strip_blanks(plain)} as double) end)")
 
 
-def compact_key(col: Column, dtype: T.DataType) -> Column:
+def compact_key(name: str, dtype: T.DataType) -> str:
     """A grouping key of bounded width that is equal exactly when the values are.
 
     Long text is replaced by the SHA-256 digest of the whole value before it is shuffled.  A digest key has
     65 bytes and no short value has, so the two kinds cannot be confused.
     """
-    if isinstance(dtype, (T.StringType, T.BinaryType)):
-        return _short_or_digest(col)
+    c = ident(name)
     if isinstance(dtype, T.MapType):
-        return _short_or_digest(F.to_json(F.array_sort(F.map_entries(col))))
-    if isinstance(dtype, (T.ArrayType, T.StructType, T.VariantType)):
-        return _short_or_digest(F.to_json(col, {"ignoreNullFields": "false"}))
-    return null_if_missing(col, dtype)
+        return _short_or_digest(f"to_json(array_sort(map_entries({c})))")
+    if isinstance(dtype, NESTED_TYPES):
+        return _short_or_digest(f"to_json({c}, map('ignoreNullFields', 'false'))")
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return _short_or_digest(c)
+    return value_or_null(name, dtype)
 
 
-def _short_or_digest(col: Column) -> Column:
-    return F.when(F.octet_length(col) > KEY_BYTES, F.concat(F.lit("#"), F.sha2(col, 256))).otherwise(
-        col.cast("string")
-    )
+def _short_or_digest(value: str) -> str:
+    return (f"(case when octet_length({value}) > {KEY_BYTES} then concat('#', sha2({value}, 256)) "
+            f"else cast({value} as string) end)")

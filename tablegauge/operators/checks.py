@@ -1,8 +1,9 @@
 """Rule types compiled to column expressions.
 
-A check is built from the attribute's text, its type and the rule's parameter and yields an outcome code per
-row.  All checks of a catalogue are evaluated in the same projection, inside generated code.  New rule types
-are added to `CHECKS`; a check may return any Column, so a pandas UDF works as well.
+A check turns an attribute and the rule's parameter into a boolean expression per row: true (satisfied), false
+(violated) or NULL (does not apply).  All checks of a catalogue are evaluated in the same projection, inside
+generated code.  New rule types are added to a copy of `CHECKS`; a check may return SQL text or any Column, so a
+pandas UDF works as well.
 """
 
 from __future__ import annotations
@@ -13,10 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from tablegauge.functions.missing import as_number, is_missing, is_numeric
+from tablegauge.functions.missing import is_numeric, literal, missing, number, number_literal, quoted
 from tablegauge.functions.text import cell_text, matches_from_start, parse_number
 from tablegauge.operators.catalog import Rule
-from tablegauge.operators.columns import quoted
 
 # Outcome statuses.
 PASS, FAIL, WARNING, NOT_APPLICABLE, ERROR = "PASS", "FAIL", "WARNING", "NOT_APPLICABLE", "ERROR"
@@ -30,64 +30,78 @@ class BadParameter(ValueError):
 
 @dataclass(frozen=True)
 class Cell:
-    """The attribute a rule looks at."""
+    """The attribute a rule looks at, as SQL text and as a Column."""
 
-    column: Column
+    name: str
     dtype: T.DataType
 
     @property
-    def missing(self) -> Column:
-        return is_missing(self.column, self.dtype)
+    def column(self) -> Column:
+        return quoted(self.name)
 
     @property
-    def text(self) -> Column:
-        return cell_text(self.column, self.dtype)
+    def missing(self) -> str:
+        return missing(self.name, self.dtype)
+
+    @property
+    def text(self) -> str:
+        return cell_text(self.name, self.dtype)
+
+    @property
+    def number(self) -> str:
+        """The value as DOUBLE; NULL where it is missing or not a number."""
+        if is_numeric(self.dtype) or isinstance(self.dtype, T.BooleanType):
+            return number(self.name, self.dtype)
+        if isinstance(self.dtype, T.StringType):
+            return parse_number(self.text)
+        return "double(null)"                            # dates, arrays ... are never numbers
 
 
-# A check returns TRUE (satisfied), FALSE (violated), or NULL (does not apply).  Rows on which it cannot be
-# carried out are named by `per_row_error`.
-Check = Callable[[Cell, Rule], Column]
+Check = Callable[[Cell, Rule], "str | Column"]
 
 
-def not_null(cell: Cell, rule: Rule) -> Column:
-    return ~cell.missing & cell.text.rlike(r"(?U)\S")
+def _if_present(cell: Cell, test: str) -> str:
+    return f"case when not {cell.missing} then {test} end"
 
 
-def regex(cell: Cell, rule: Rule) -> Column:
+def not_null(cell: Cell, rule: Rule) -> str:
+    return rf"not {cell.missing} and {cell.text} rlike r'(?U)\S'"
+
+
+def regex(cell: Cell, rule: Rule) -> str:
     if rule.parameter is None:
         raise BadParameter("REGEX needs a pattern")
-    return F.when(~cell.missing, matches_from_start(cell.text, rule.parameter))
+    return _if_present(cell, matches_from_start(cell.text, rule.parameter))
 
 
-def length(cell: Cell, rule: Rule) -> Column:
+def length(cell: Cell, rule: Rule) -> str:
     low, high = _bounds(rule)
-    size = F.char_length(cell.text)
-    tests = [size >= F.lit(low)] if low is not None else []
-    tests += [size <= F.lit(high)] if high is not None else []
-    return F.when(~cell.missing, _all(tests))
+    size = f"char_length({cell.text})"
+    tests = [f"{size} >= {number_literal(low)}"] if low is not None else []
+    tests += [f"{size} <= {number_literal(high)}"] if high is not None else []
+    return _if_present(cell, " and ".join(tests) or "true")
 
 
-def value_range(cell: Cell, rule: Rule) -> Column:
-    low, high = _bounds(rule)
-    number = _number(cell)
+def value_range(cell: Cell, rule: Rule) -> str:
     # Both bounds are always present: NaN sorts above infinity, so the text "nan" violates an open range too.
-    fits = (number >= F.lit(float("-inf") if low is None else float(low))) & (
-        number <= F.lit(float("inf") if high is None else float(high)))
-    return F.when(~cell.missing, fits)
+    low, high = _bounds(rule)
+    low = float("-inf") if low is None else low
+    high = float("inf") if high is None else high
+    return _if_present(cell, f"{cell.number} between {number_literal(low)} and {number_literal(high)}")
 
 
-def enum(cell: Cell, rule: Rule) -> Column:
+def enum(cell: Cell, rule: Rule) -> str:
     allowed = rule.parsed
     if not isinstance(allowed, list):
         raise BadParameter("ENUM needs a list")
-    texts = [x for x in allowed if isinstance(x, str)]
-    return F.when(~cell.missing, cell.text.isin(texts) if texts else F.lit(False))
+    texts = [literal(x) for x in allowed if isinstance(x, str)]
+    return _if_present(cell, f"{cell.text} in ({', '.join(texts)})" if texts else "false")
 
 
-def not_repeated_digits(cell: Cell, rule: Rule) -> Column:
-    digits = F.regexp_replace(cell.text, r"(?U)\D", "")
-    varied = F.replace(digits, F.substring(digits, 1, 1), F.lit("")) != F.lit("")
-    return F.when(~cell.missing & (digits != F.lit("")), varied)
+def not_repeated_digits(cell: Cell, rule: Rule) -> str:
+    digits = rf"regexp_replace({cell.text}, r'(?U)\D', '')"
+    return (f"case when not {cell.missing} and {digits} <> '' "
+            f"then replace({digits}, substring({digits}, 1, 1), '') <> '' end")
 
 
 CHECKS: dict[str, Check] = {
@@ -101,21 +115,6 @@ CHECKS: dict[str, Check] = {
 }
 
 
-def _number(cell: Cell) -> Column:
-    if is_numeric(cell.dtype) or isinstance(cell.dtype, T.BooleanType):
-        return as_number(cell.column, cell.dtype)
-    if isinstance(cell.dtype, T.StringType):
-        return parse_number(cell.column)
-    return F.lit(None).cast("double")              # dates, arrays ... are never numbers
-
-
-def per_row_error(cell: Cell, rule: Rule) -> Column | None:
-    """Where a built-in check cannot be carried out on a present value."""
-    if rule.rule_type == "RANGE":
-        return ~cell.missing & _number(cell).isNull()
-    return None
-
-
 def _bounds(rule: Rule) -> tuple[float | None, float | None]:
     given = rule.parsed
     if not isinstance(given, dict):
@@ -126,22 +125,18 @@ def _bounds(rule: Rule) -> tuple[float | None, float | None]:
     return given.get("min"), given.get("max")
 
 
-def _all(tests: list[Column]) -> Column:
-    result = F.lit(True)
-    for t in tests:
-        result = result & t
-    return result
-
-
 def violation(rule: Rule) -> str:
-    """The status of a violated rule; only WARNING severity softens it."""
-    return WARNING if rule.severity == "WARNING" and rule.rule_type != UNIQUE else FAIL
+    """The status of a violated rule; only WARNING severity softens it, and not for UNIQUE."""
+    return WARNING if rule.severity == WARNING and rule.rule_type != UNIQUE else FAIL
 
 
-def status_of(rule: Rule, name: str, dtype: T.DataType, checks: dict[str, Check] = CHECKS) -> Column:
+def status_of(cell: Cell, rule: Rule, checks: dict[str, Check] = CHECKS) -> Column:
     """The status of ``rule`` for every row."""
-    cell = Cell(quoted(name), dtype)
     outcome = checks[rule.rule_type](cell, rule)
-    status = F.when(outcome, PASS).when(~outcome, violation(rule)).otherwise(NOT_APPLICABLE)
-    failed = per_row_error(cell, rule)
-    return status if failed is None else F.when(failed, ERROR).otherwise(status)
+    if isinstance(outcome, Column):
+        return F.when(outcome, PASS).when(~outcome, violation(rule)).otherwise(NOT_APPLICABLE)
+    # A range cannot be checked on a present value that is not a number.
+    failed = (f"when not {cell.missing} and {cell.number} is null then '{ERROR}'"
+              if checks[rule.rule_type] is value_range else "")
+    return F.expr(f"case {failed} when {outcome} then '{PASS}' when not ({outcome}) then '{violation(rule)}' "
+                  f"else '{NOT_APPLICABLE}' end")

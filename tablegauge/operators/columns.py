@@ -10,43 +10,48 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tablegauge.functions.missing import literal
+
 # Columns aggregated together.  Wider tables are split into blocks, because generated code has a size limit;
 # each block reads its own columns only.
 COLUMN_BLOCK = 48
 
-Metric = Callable[[str, T.DataType], Column]
+# From a column's name and type to an aggregate, as SQL text.
+Metric = Callable[[str, T.DataType], str]
+
+ROWS: Metric = lambda name, dtype: "count(1)"
 
 
-def quoted(name: str) -> Column:
-    """A column by its literal name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def column_types(df: DataFrame) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in df.schema.fields}
 
 
 def empty_frame(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
-def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric], schema: str) -> DataFrame:
-    """``(column, <metrics>)`` with one row per entry of ``columns``.
+def name_lines(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A table ``(column)`` of given names."""
+    return df.sparkSession.range(1).selectExpr(f"explode(array({', '.join(map(literal, names))})) as column")
 
-    ``metrics`` maps an output name to a function from (column name, type) to an aggregate.
-    """
+
+def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric], schema: str) -> DataFrame:
+    """``(column, <metrics>)`` with one row per entry of ``columns``; ``metrics`` maps names to aggregates."""
     if not columns:
         return empty_frame(df, schema)
+    types = column_types(df)
     blocks = [columns[i:i + COLUMN_BLOCK] for i in range(0, len(columns), COLUMN_BLOCK)]
-    return reduce(DataFrame.unionByName, (_one_block(df, block, metrics) for block in blocks))
+    return reduce(DataFrame.unionByName, (_one_block(df, block, types, metrics) for block in blocks))
 
 
-def _one_block(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric]) -> DataFrame:
-    types = {f.name: f.dataType for f in df.schema.fields}
+def _one_block(df: DataFrame, columns: Sequence[str], types: dict[str, T.DataType],
+               metrics: dict[str, Metric]) -> DataFrame:
     aggregates, rows = [], []
     for i, name in enumerate(columns):
-        cells = [F.lit(name).alias("column")]
-        for metric, build in metrics.items():
-            aggregates.append(build(name, types[name]).alias(f"{metric}_{i}"))
-            cells.append(F.col(f"{metric}_{i}").alias(metric))
-        rows.append(F.struct(*cells))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+        aggregates += [f"{build(name, types[name])} as {metric}_{i}" for metric, build in metrics.items()]
+        cells = [f"{literal(name)} as column", *[f"{metric}_{i} as {metric}" for metric in metrics]]
+        rows.append(f"struct({', '.join(cells)})")
+    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")

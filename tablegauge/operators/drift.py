@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from tablegauge.functions.missing import as_number, is_numeric
+from tablegauge.functions.missing import is_numeric, literal, number
 from tablegauge.functions.rounding import round_even
-from tablegauge.operators.columns import empty_frame, per_column, quoted
+from tablegauge.operators.columns import column_types, empty_frame, per_column
 
 # ---------------------------------------------------------------- schemas
 # A schema is a table (column, dtype), see `sources.inference.infer_schema`.
@@ -98,13 +98,13 @@ def ks_distances(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _sizes(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    return per_column(df, columns, {name: lambda c, t: F.count(as_number(quoted(c), t))}, f"column string, {name} bigint")
+    return per_column(df, columns, {name: lambda c, t: f"count({number(c, t)})"}, f"column string, {name} bigint")
 
 
 def _side(df: DataFrame, columns: list[str], is_old: int) -> DataFrame:
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cells = [F.struct(F.lit(c).alias("column"), as_number(quoted(c), types[c]).alias("v")) for c in columns]
-    return df.select(F.inline(F.array(*cells)), F.lit(is_old).alias("is_old")).where("v is not null")
+    types = column_types(df)
+    cells = [f"struct({literal(c)} as column, {number(c, types[c])} as v)" for c in columns]
+    return df.selectExpr(f"inline(array({', '.join(cells)}))", f"{is_old} as is_old").where("v is not null")
 
 
 def _walk_segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,9 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablegauge.functions.missing import is_missing
+from tablegauge.functions.missing import missing, quoted
 from tablegauge.functions.rounding import round_even
-from tablegauge.operators.columns import quoted
 
 DEFAULT_HEALTH_THRESHOLD = 60.0
 
@@ -46,8 +45,8 @@ def fit_trend(history: DataFrame, value_col: str, keys: Sequence[str] = (), time
 
     Slope and intercept are NULL for a single run; a series without values has no line.
     """
-    present = history.where(~is_missing(quoted(value_col), history.schema[value_col].dataType)).select(
-        *keys, time_col, value_col)
+    absent = missing(value_col, history.schema[value_col].dataType)
+    present = history.where(f"not {absent}").select(*keys, time_col, value_col)
     points = run_positions(present, keys, time_col, [value_col]).withColumn("y", quoted(value_col).cast("double"))
     lines = points.groupBy(*keys) if keys else points.groupBy()
     fitted = lines.agg(

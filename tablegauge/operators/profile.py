@@ -8,16 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from tablegauge.functions.missing import as_number, is_missing, is_numeric, null_if_missing
+from tablegauge.functions.missing import ident, is_numeric, literal, missing, number, number_literal, value_or_null
 from tablegauge.functions.rounding import percent, ratio, round_even
-from tablegauge.functions.text import (
-    EMAIL_PATTERN, PHONE_PATTERN, cell_text, compact_key, matches_from_start,
-)
-from tablegauge.operators.columns import empty_frame, per_column, quoted
+from tablegauge.functions.text import EMAIL_PATTERN, PHONE_PATTERN, cell_text, compact_key, matches_from_start
+from tablegauge.operators.columns import ROWS, column_types, empty_frame, name_lines, per_column
 from tablegauge.operators.quantiles import column_quantiles
 
 NULLS_SCHEMA = "column string, null_count bigint, null_pct double"
@@ -34,24 +31,28 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 # ---------------------------------------------------------------- missing values and completeness
 
+def missing_counts(df: DataFrame) -> DataFrame:
+    return per_column(df, df.columns, {
+        "n_rows": ROWS, "null_count": lambda c, t: f"count_if({missing(c, t)})",
+    }, "column string, n_rows bigint, null_count bigint")
+
+
 def null_analysis(df: DataFrame) -> DataFrame:
     """Missing values per column; the percentage is NULL for a table without rows."""
-    counts = per_column(df, df.columns, {
-        "n_rows": lambda c, t: F.count(F.lit(1)),
-        "null_count": lambda c, t: F.count_if(is_missing(quoted(c), t)),
-    }, "column string, n_rows bigint, null_count bigint")
+    counts = missing_counts(df)
     return counts.select("column", "null_count", percent(F.col("null_count"), F.col("n_rows")).alias("null_pct"))
 
 
 def completeness_score(df: DataFrame) -> DataFrame:
     """Share of present cells in the whole table, one row."""
-    filled = reduce(
-        lambda a, b: a + b,
-        [F.count_if(~is_missing(quoted(f.name), f.dataType)) for f in df.schema.fields],
-        F.lit(0).cast("bigint"),
-    )
-    counts = df.agg(filled.alias("filled"), (F.count(F.lit(1)) * F.lit(len(df.columns))).alias("cells"))
-    return counts.select(F.coalesce(percent(F.col("filled"), F.col("cells")), F.lit(0.0)).alias("completeness_pct"))
+    return completeness(missing_counts(df))
+
+
+def completeness(counts: DataFrame) -> DataFrame:
+    """The same from `missing_counts`."""
+    cells = counts.agg(
+        F.sum(F.col("n_rows") - F.col("null_count")).alias("filled"), F.sum("n_rows").alias("cells"))
+    return cells.select(F.coalesce(percent(F.col("filled"), F.col("cells")), F.lit(0.0)).alias("completeness_pct"))
 
 
 # ---------------------------------------------------------------- duplicates and cardinality
@@ -62,8 +63,9 @@ def duplicate_detection(df: DataFrame) -> DataFrame:
     Grouping combines equal rows before the shuffle, so many copies of one row travel as one; long text
     travels as its digest.
     """
-    keys = [compact_key(quoted(f.name), f.dataType).alias(f"k{i}") for i, f in enumerate(df.schema.fields)]
-    groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("copies"))
+    keys = [f"k{i}" for i in range(len(df.columns))]
+    keyed = df.selectExpr(*[f"{compact_key(c, t)} as {k}" for k, (c, t) in zip(keys, column_types(df).items())])
+    groups = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     counts = groups.agg(
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
@@ -81,8 +83,7 @@ def cardinality_analysis(df: DataFrame, approximate: bool = False) -> DataFrame:
     """
     if approximate:
         counts = per_column(df, df.columns, {
-            "n_rows": lambda c, t: F.count(F.lit(1)),
-            "unique_count": lambda c, t: F.approx_count_distinct(compact_key(quoted(c), t)),
+            "n_rows": ROWS, "unique_count": lambda c, t: f"approx_count_distinct({compact_key(c, t)})",
         }, "column string, n_rows bigint, unique_count bigint")
     else:
         counts = _exact_cardinality(df)
@@ -92,28 +93,26 @@ def cardinality_analysis(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 def _exact_cardinality(df: DataFrame) -> DataFrame:
     stacked = []
-    for family, members in _value_families(df).items():
-        cells = [F.struct(F.lit(c).alias("column"), key.cast(family).alias("value")) for c, key in members]
-        values = df.select(F.inline(F.array(*cells))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+    for family, keys in _value_families(df).items():
+        cells = [f"struct({literal(c)} as column, cast({key} as {family}) as value)" for c, key in keys.items()]
+        values = df.selectExpr(f"inline(array({', '.join(cells)}))").groupBy("column", "value").agg(
+            F.count(F.lit(1)).alias("rows"))
         stacked.append(values.groupBy("column").agg(
             F.count("value").alias("unique_count"), F.sum("rows").alias("n_rows")))
     if not stacked:
         return empty_frame(df, "column string, unique_count bigint, n_rows bigint")
     counted = reduce(DataFrame.unionByName, stacked)
-    # A table without rows still has one line per column; the list of columns is as small as the schema.
-    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in df.columns])).alias("column"))
-    return names.join(F.broadcast(counted), "column", "left").select(
-        "column",
-        F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
-        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-    )
+    # A table without rows still has one line per column; either side has one line per column.
+    counted = F.broadcast(reduce(DataFrame.unionByName, stacked))
+    return name_lines(df, df.columns).join(counted, "column", "left").select(
+        "column", F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
-def _value_families(df: DataFrame) -> dict[str, list[tuple[str, Column]]]:
-    """Columns by the type their values are compared in, so that numbers are never turned into text."""
-    families: dict[str, list[tuple[str, Column]]] = {}
-    for f in df.schema.fields:
-        t = f.dataType
+def _value_families(df: DataFrame) -> dict[str, dict[str, str]]:
+    """Keys of the columns by the type they are compared in, so that numbers are never turned into text."""
+    families: dict[str, dict[str, str]] = {}
+    for name, t in column_types(df).items():
         if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             family = "bigint"
         elif isinstance(t, (T.FloatType, T.DoubleType)):
@@ -122,7 +121,7 @@ def _value_families(df: DataFrame) -> dict[str, list[tuple[str, Column]]]:
             family = t.simpleString()
         else:
             family = "string"
-        families.setdefault(family, []).append((f.name, compact_key(quoted(f.name), t)))
+        families.setdefault(family, {})[name] = compact_key(name, t)
     return families
 
 
@@ -146,10 +145,10 @@ def pattern_validation(df: DataFrame) -> DataFrame:
     if not patterns:
         return empty_frame(df, PATTERNS_SCHEMA)
     counts = per_column(df, list(patterns), {
-        "pattern": lambda c, t: F.any_value(F.lit(patterns[c][0])),
-        "present": lambda c, t: F.count_if(~is_missing(quoted(c), t)),
-        "matched": lambda c, t: F.count_if(
-            matches_from_start(cell_text(null_if_missing(quoted(c), t), t), patterns[c][1])),
+        "pattern": lambda c, t: f"any_value({literal(patterns[c][0])})",
+        "present": lambda c, t: f"count({value_or_null(c, t)})",
+        "matched": lambda c, t: f"count_if(not {missing(c, t)} and "
+                                f"{matches_from_start(cell_text(c, t), patterns[c][1])})",
     }, PATTERNS_SCHEMA)
     return counts.where("present > 0").select(
         "column", "pattern", percent(F.col("matched"), F.col("present")).alias("match_pct"))
@@ -159,8 +158,8 @@ def pattern_validation(df: DataFrame) -> DataFrame:
 
 def numeric_values(df: DataFrame) -> DataFrame:
     """The numeric columns only, as doubles with missing values as NULL."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    return df.select(*[as_number(quoted(c), fields[c]).alias(c) for c in numeric_columns(df)])
+    types = column_types(df)
+    return df.selectExpr(*[f"{number(c, types[c])} as {ident(c)}" for c in numeric_columns(df)])
 
 
 def statistical_profile(df: DataFrame) -> DataFrame:
@@ -174,12 +173,12 @@ def statistical_profile(df: DataFrame) -> DataFrame:
 
 def statistics(numbers: DataFrame, medians: dict[str, float]) -> DataFrame:
     moments = per_column(numbers, numbers.columns, {
-        "n_rows": lambda c, t: F.count(F.lit(1)),
-        "mean": lambda c, t: F.avg(quoted(c)),
-        "std": lambda c, t: F.stddev_samp(quoted(c)),
-        "min": lambda c, t: F.min(quoted(c)),
-        "max": lambda c, t: F.max(quoted(c)),
-        "median": lambda c, t: F.any_value(F.lit(medians.get(c)).cast("double")),
+        "n_rows": ROWS,
+        "mean": lambda c, t: f"avg({ident(c)})",
+        "std": lambda c, t: f"stddev_samp({ident(c)})",
+        "min": lambda c, t: f"min({ident(c)})",
+        "max": lambda c, t: f"max({ident(c)})",
+        "median": lambda c, t: f"any_value({number_literal(medians[c]) if c in medians else 'double(null)'})",
     }, "n_rows bigint, " + STATISTICS_SCHEMA)
     return moments.where("n_rows > 0").drop("n_rows")
 
@@ -198,32 +197,32 @@ def outlier_detection(df: DataFrame, method: str = "iqr") -> DataFrame:
 
 
 def iqr_outliers(numbers: DataFrame, quartiles: dict[str, tuple[float, float]]) -> DataFrame:
-    def test(column: str) -> Column:
+    def test(column: str) -> str:
         q1, q3 = quartiles[column]
-        spread = 1.5 * (q3 - q1)
-        return (quoted(column) < F.lit(q1 - spread)) | (quoted(column) > F.lit(q3 + spread))
+        spread, v = 1.5 * (q3 - q1), ident(column)
+        return f"{v} < {number_literal(q1 - spread)} or {v} > {number_literal(q3 + spread)}"
     return _count_outliers(numbers, [c for c in numbers.columns if c in quartiles], test)
 
 
 def zscore_outliers(numbers: DataFrame) -> DataFrame:
     found = per_column(numbers, numbers.columns, {
-        "mean": lambda c, t: F.avg(quoted(c)),
-        "deviation": lambda c, t: F.stddev_pop(quoted(c)),
+        "mean": lambda c, t: f"avg({ident(c)})",
+        "deviation": lambda c, t: f"stddev_pop({ident(c)})",
     }, "column string, mean double, deviation double")
     moments = {r["column"]: (r["mean"], r["deviation"]) for r in found.collect() if r["mean"] is not None}
 
-    def test(column: str) -> Column:
+    def test(column: str) -> str:
         mean, deviation = moments[column]
         if deviation == 0:
-            return F.lit(False)
-        return F.abs((quoted(column) - F.lit(mean)) / F.lit(deviation)) > F.lit(3.0)
+            return "false"
+        return f"abs(({ident(column)} - {number_literal(mean)}) / {number_literal(deviation)}) > 3.0D"
     return _count_outliers(numbers, [c for c in numbers.columns if c in moments], test)
 
 
-def _count_outliers(numbers: DataFrame, columns: list[str], test: Callable[[str], Column]) -> DataFrame:
+def _count_outliers(numbers: DataFrame, columns: list[str], test: Callable[[str], str]) -> DataFrame:
     counts = per_column(numbers, columns, {
-        "present": lambda c, t: F.count(quoted(c)),
-        "outlier_count": lambda c, t: F.count_if(test(c)),
+        "present": lambda c, t: f"count({ident(c)})",
+        "outlier_count": lambda c, t: f"count_if({test(c)})",
     }, "column string, present bigint, outlier_count bigint")
     return counts.select(
         "column", "outlier_count", percent(F.col("outlier_count"), F.col("present")).alias("outlier_pct"))

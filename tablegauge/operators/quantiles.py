@@ -12,12 +12,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tablegauge.operators.columns import COLUMN_BLOCK, quoted
+from tablegauge.functions.missing import ident, number_literal
+from tablegauge.operators.columns import COLUMN_BLOCK
 
 # A bracket is narrowed by sketches until this share of its column, within these limits, is left to be sorted.
 SORTED_SHARE = 1e-6
@@ -102,7 +101,7 @@ def column_quantiles(numbers: DataFrame, probs: Sequence[float]) -> dict[str, li
 
 
 def _block_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float]]:
-    counts = df.agg(*[F.count(quoted(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
+    counts = df.selectExpr(*[f"count({ident(c)})" for c in columns]).first()
     quantiles = [
         _Quantile(p, n, _Bracket(c, None, None, 0, 0, n, 0)) for c, n in zip(columns, counts) if n > 0 for p in probs]
 
@@ -122,22 +121,23 @@ def _block_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> d
     return out
 
 
-def _within(column: str, low: float | None, high: float | None) -> Column:
+def _within(column: str, low: float | None, high: float | None) -> str:
     """The column's values strictly between the bounds, others as NULL."""
-    v = quoted(column)
-    tests = ([v > F.lit(low)] if low is not None else []) + ([v < F.lit(high)] if high is not None else [])
-    return F.when(reduce(and_, tests), v) if tests else v
+    v = ident(column)
+    tests = [f"{v} > {number_literal(low)}"] if low is not None else []
+    tests += [f"{v} < {number_literal(high)}"] if high is not None else []
+    return f"case when {' and '.join(tests)} then {v} end" if tests else v
 
 
 def _measure(df: DataFrame, intervals: list[tuple[str, float | None, float | None]]) -> list[_Bracket]:
     """Exact counts for every interval, in one pass."""
     upto = []                                    # counts of values < low, <= low, < high, <= high
     for column, low, high in intervals:
-        v = quoted(column)
-        upto += [F.lit(0), F.lit(0)] if low is None else [F.count_if(v < F.lit(low)), F.count_if(v <= F.lit(low))]
-        upto += [F.count(v), F.count(v)] if high is None else [
-            F.count_if(v < F.lit(high)), F.count_if(v <= F.lit(high))]
-    row = df.agg(*[a.alias(str(i)) for i, a in enumerate(upto)]).first()
+        v = ident(column)
+        for bound, unbounded in ((low, "0"), (high, f"count({v})")):
+            tests = ("<", "<=")
+            upto += [unbounded if bound is None else f"count_if({v} {t} {number_literal(bound)})" for t in tests]
+    row = df.selectExpr("count(1)", *upto).first()[1:]
     brackets = []
     for i, interval in enumerate(intervals):
         below, to_low, before_high, to_high = row[4 * i:4 * i + 4]
@@ -184,10 +184,11 @@ def _propose(df: DataFrame, quantiles: list[_Quantile],
         wanted[b] += [min(max(x, 0.0), 1.0) for x in bounds]
 
     sketches = []
-    for i, (b, shares) in enumerate(wanted.items()):
+    for b, shares in wanted.items():
         sketches.append(
-            F.percentile_approx(_within(b.column, b.low, b.high), shares, SKETCH_ACCURACY).alias(str(i)))
-    found = dict(zip(wanted, rows.agg(*sketches).first()))
+            f"percentile_approx({_within(b.column, b.low, b.high)}, "
+            f"array({', '.join(map(number_literal, shares))}), {SKETCH_ACCURACY})")
+    found = dict(zip(wanted, rows.selectExpr(*sketches).first()))
     if any(f is None for f in found.values()):                   # the sample missed a bracket altogether
         return _propose(df, quantiles, share=1.0)
     return [(found[q.bracket][s], found[q.bracket][s + 1]) for q, s in zip(quantiles, slots)]
@@ -202,16 +203,15 @@ def _inner_values(df: DataFrame, quantiles: list[_Quantile]) -> dict[tuple[_Brac
     if not ranks:
         return {}
     brackets = list(ranks)
-    cells, wanted = [], []
-    for i, b in enumerate(brackets):
-        cells.append(F.struct(F.lit(i).alias("bracket"), _within(b.column, b.low, b.high).alias("v")))
-        wanted += [F.lit(i), F.array(*[F.lit(r) for r in sorted(ranks[b])])]
-    counted = df.select(F.inline(F.array(*cells))).where("v is not null").groupBy("bracket", "v").count()
+    cells = [f"struct({i} as bracket, {_within(b.column, b.low, b.high)} as v)" for i, b in enumerate(brackets)]
+    wanted = [f"{i}, array({', '.join(f'{r}L' for r in sorted(ranks[b]))})" for i, b in enumerate(brackets)]
+    counted = df.selectExpr(f"inline(array({', '.join(cells)}))").where("v is not null").groupBy("bracket", "v").count()
     # A bracket has at most SORTED_MOST values, so one task can sort it.
     in_order = Window.partitionBy("bracket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = (
         counted.withColumn("upto", F.sum("count").over(in_order))
-        .withColumn("rank", F.explode(F.element_at(F.create_map(*wanted), F.col("bracket"))))
+        .selectExpr("*", f"explode(element_at(map({', '.join(wanted)}), bracket)) as rank")
         .where("rank < upto and rank >= upto - count")
+        .select("bracket", "rank", "v")
     )
-    return {(brackets[r["bracket"]], r["rank"]): r["v"] for r in hits.select("bracket", "rank", "v").collect()}
+    return {(brackets[r["bracket"]], r["rank"]): r["v"] for r in hits.collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,12 +10,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablegauge.functions.lineage import cut_lineage
+from tablegauge.functions.missing import quoted
 from tablegauge.functions.text import cell_text, matches_from_start
 from tablegauge.operators.catalog import Rule
 from tablegauge.operators.checks import (
-    CHECKS, ERROR, FAIL, NOT_APPLICABLE, PASS, UNIQUE, BadParameter, Check, status_of, violation,
+    CHECKS, ERROR, FAIL, NOT_APPLICABLE, PASS, UNIQUE, WARNING, BadParameter, Cell, Check, status_of, violation,
 )
-from tablegauge.operators.columns import empty_frame, quoted
+from tablegauge.operators.columns import column_types, empty_frame
 from tablegauge.operators.uniqueness import key_counts, mark_repeated
 
 RESULT_SCHEMA = (
@@ -25,9 +27,11 @@ ROLLUP_SCHEMA = (
     "rule_id string, rule_name string, dimension string, severity string, total bigint, passed bigint, "
     "failed bigint, warnings bigint, not_applicable bigint, errors bigint"
 )
+LABELS = ["rule_id", "rule_name", "dimension", "attribute", "severity"]
+ROLLUP_LABELS = ["rule_id", "rule_name", "dimension", "severity"]
 RECORD_ID_COLUMN = "customer_id"
 
-# Rules aggregated together in one roll-up pass; see COLUMN_BLOCK.
+# Rules aggregated together in one roll-up pass; keeps the generated code small.
 RULE_BLOCK = 32
 
 
@@ -38,7 +42,9 @@ class CompiledCatalog:
         self.single: list[tuple[Rule, str]] = []       # one line for the whole rule, with its status
         self.cell: list[tuple[Rule, Column]] = []      # one status per row
         self.unique: list[Rule] = []                   # needs the whole column
-        types = {f.name: f.dataType for f in df.schema.fields}
+        types = column_types(df)
+        bad_patterns = _bad_patterns(
+            df.sparkSession, {r.parameter for r in catalog if r.rule_type == "REGEX" and r.parameter is not None})
         for rule in catalog:
             if not rule.enabled:
                 continue
@@ -46,34 +52,28 @@ class CompiledCatalog:
                 self.single.append((rule, NOT_APPLICABLE))
             elif rule.rule_type == UNIQUE:
                 self.unique.append(rule)
-            elif rule.rule_type not in checks:
+            elif rule.rule_type not in checks or (rule.rule_type == "REGEX" and rule.parameter in bad_patterns):
                 self.single.append((rule, ERROR))
             else:
                 try:
-                    status = status_of(rule, rule.attribute, types[rule.attribute], checks)
+                    status = status_of(Cell(rule.attribute, types[rule.attribute]), rule, checks)
                 except BadParameter:
                     self.single.append((rule, ERROR))
                 else:
                     self.cell.append((rule, status))
-        self._drop_bad_patterns(df.sparkSession)
 
-    def _drop_bad_patterns(self, spark: SparkSession) -> None:
-        """A pattern the regular-expression engine rejects makes its rule an ERROR, not the whole job."""
-        patterns = {rule.parameter for rule, _ in self.cell if rule.rule_type == "REGEX"}
-        if not patterns or _all_compile(spark, patterns):
-            return
-        bad = {p for p in patterns if not _all_compile(spark, {p})}
-        broken = [rule for rule, _ in self.cell if rule.rule_type == "REGEX" and rule.parameter in bad]
-        self.cell = [(rule, status) for rule, status in self.cell if rule not in broken]
-        self.single += [(rule, ERROR) for rule in broken]
 
-
-def _all_compile(spark: SparkSession, patterns: set[str]) -> bool:
-    try:
-        spark.range(1).select(*[matches_from_start(F.lit(""), p) for p in sorted(patterns)]).head()
-    except PySparkException:
-        return False
-    return True
+def _bad_patterns(spark: SparkSession, patterns: set[str]) -> set[str]:
+    """Patterns the regular-expression engine rejects; their rules become an ERROR line, not a failed job."""
+    def compiles(some: set[str]) -> bool:
+        try:
+            spark.range(1).selectExpr(*[matches_from_start("''", p) for p in some]).head()
+        except PySparkException:
+            return False
+        return True
+    if not patterns or compiles(patterns):
+        return set()
+    return {p for p in patterns if not compiles({p})}
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
@@ -90,23 +90,24 @@ def apply_rules(df: DataFrame, catalog: Sequence[Rule], id_cols: Sequence[str] |
     own column and the ids.
     """
     compiled = CompiledCatalog(df, catalog, checks)
+    types = column_types(df)
     source, index = _identify(df, id_cols, stable=bool(compiled.unique))
     record = _record_id(df, index)
     parts = []
     if compiled.cell:
         lines = [
-            F.struct(*_labels(rule), status.alias("status"), _value(df, rule).alias("value"))
-            for rule, status in compiled.cell
+            F.struct(F.lit(i + 1).alias("rule"), status.alias("status"),
+                     F.expr(f"{cell_text(rule.attribute, types[rule.attribute])} as value"))
+            for i, (rule, status) in enumerate(compiled.cell)
         ]
-        parts.append(source.select(index, record, F.inline(F.array(*lines))))
+        stacked = source.select(index, record, F.inline(F.array(*lines)))
+        parts.append(_labelled(stacked, [r for r, _ in compiled.cell], LABELS, ["status", "value"]))
     for rule in compiled.unique:
-        narrow = source.select(index, record, quoted(rule.attribute).alias("__attribute"))
-        marked = mark_repeated(narrow, "__attribute", "__repeated")
-        parts.append(marked.select(
-            "row_index", "record_id", *_labels(rule),
-            F.when(F.col("__repeated"), FAIL).otherwise(PASS).alias("status"),
-            cell_text(F.col("__attribute"), df.schema[rule.attribute].dataType).alias("value"),
-        ))
+        narrow = source.select(index, record, quoted(rule.attribute).alias("attribute_value"))
+        marked = mark_repeated(narrow, "attribute_value", "repeated").selectExpr(
+            "row_index", "record_id", "1 as rule", f"case when repeated then '{FAIL}' else '{PASS}' end as status",
+            f"{cell_text('attribute_value', types[rule.attribute])} as value")
+        parts.append(_labelled(marked, [rule], LABELS, ["status", "value"]))
     if compiled.single:
         parts.append(_single_lines(df.sparkSession, compiled.single))
     if not parts:
@@ -133,23 +134,21 @@ def _record_id(df: DataFrame, index: Column) -> Column:
     return index.alias("record_id")
 
 
-def _labels(rule: Rule) -> list[Column]:
-    return [F.lit(getattr(rule, name)).cast("string").alias(name)
-            for name in ("rule_id", "rule_name", "dimension", "attribute", "severity")]
-
-
-def _value(df: DataFrame, rule: Rule) -> Column:
-    return cell_text(quoted(rule.attribute), df.schema[rule.attribute].dataType)
+def _labelled(lines: DataFrame, rules: Sequence[Rule], labels: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Replace the position ``rule`` by the rule's labels, from a constant array."""
+    text = json.dumps([{name: getattr(r, name) for name in labels} for r in rules])
+    schema = f"array<struct<{', '.join(f'{name}: string' for name in labels)}>>"
+    label = F.element_at(F.from_json(F.lit(text), schema), F.col("rule"))
+    ids = [c for c in ("row_index", "record_id") if c in lines.columns]
+    return lines.withColumn("label", label).select(*ids, *[f"label.{name}" for name in labels], *measures)
 
 
 def _single_lines(spark: SparkSession, rules: list[tuple[Rule, str]]) -> DataFrame:
-    nothing = F.lit(None).cast("string")
-    lines = [
-        F.struct(nothing.alias("row_index"), nothing.alias("record_id"), *_labels(rule),
-                 F.lit(status).alias("status"), nothing.alias("value"))
-        for rule, status in rules
-    ]
-    return spark.range(1).select(F.inline(F.array(*lines)))
+    lines = [f"struct({i + 1} as rule, '{status}' as status)" for i, (_, status) in enumerate(rules)]
+    stacked = spark.range(1).selectExpr(
+        "cast(null as string) as row_index", "cast(null as string) as record_id", f"inline(array({', '.join(lines)}))",
+        "cast(null as string) as value")
+    return _labelled(stacked, [r for r, _ in rules], LABELS, ["status", "value"])
 
 
 # ---------------------------------------------------------------- fused roll-up
@@ -164,14 +163,10 @@ def rule_rollup(df: DataFrame, catalog: Sequence[Rule], checks: dict[str, Check]
         _rollup_block(df, compiled.cell[i:i + RULE_BLOCK]) for i in range(0, len(compiled.cell), RULE_BLOCK)
     ]
     for rule in compiled.unique:
-        keys = key_counts(df, rule.attribute)
-        counts = keys.agg(
-            F.coalesce(F.sum("__copies"), F.lit(0)).alias("total"),
-            F.count_if(F.col("__copies") == 1).alias("passed"),
-        )
-        parts.append(counts.where("total > 0").select(
-            *_rollup_labels(rule), "total", "passed", (F.col("total") - F.col("passed")).alias("failed"),
-            *[F.lit(0).cast("bigint").alias(c) for c in ("warnings", "not_applicable", "errors")]))
+        counts = key_counts(df, rule.attribute).selectExpr(
+            "1 as rule", "coalesce(sum(__copies), 0L) as total", "count_if(__copies = 1) as passed")
+        parts.append(_rollup_lines(counts.selectExpr(
+            "*", "total - passed as failed", "0L as warnings", "0L as not_applicable", "0L as errors"), [rule]))
     if compiled.single:
         parts.append(rollup_results(_single_lines(df.sparkSession, compiled.single)))
     if not parts:
@@ -179,31 +174,29 @@ def rule_rollup(df: DataFrame, catalog: Sequence[Rule], checks: dict[str, Check]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _rollup_labels(rule: Rule) -> list[Column]:
-    return [c for c, name in zip(_labels(rule), ("rule_id", "rule_name", "dimension", "attribute", "severity"))
-            if name != "attribute"]
+_COUNTS = ["total", "passed", "failed", "warnings", "not_applicable", "errors"]
+_STATUS_COUNTS = {PASS: "passed", FAIL: "failed", WARNING: "warnings", NOT_APPLICABLE: "not_applicable",
+                  ERROR: "errors"}
+
+
+def _rollup_lines(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    return _labelled(counts.where("total > 0"), rules, ROLLUP_LABELS, _COUNTS)
 
 
 def _rollup_block(df: DataFrame, rules: list[tuple[Rule, Column]]) -> DataFrame:
     statuses = df.select(*[status.alias(f"s{i}") for i, (_, status) in enumerate(rules)])
-    aggregates, lines = [F.count(F.lit(1)).alias("total")], []
+    aggregates, lines = ["count(1) as total"], []
     for i, (rule, _) in enumerate(rules):
-        for status in (PASS, violation(rule), NOT_APPLICABLE, ERROR):
-            aggregates.append(F.count_if(F.col(f"s{i}") == F.lit(status)).alias(f"{status}_{i}"))
-        zero, violated = F.lit(0).cast("bigint"), F.col(f"{violation(rule)}_{i}")
-        lines.append(F.struct(
-            *_rollup_labels(rule), F.col("total").alias("total"), F.col(f"{PASS}_{i}").alias("passed"),
-            (violated if violation(rule) == FAIL else zero).alias("failed"),
-            (zero if violation(rule) == FAIL else violated).alias("warnings"),
-            F.col(f"{NOT_APPLICABLE}_{i}").alias("not_applicable"), F.col(f"{ERROR}_{i}").alias("errors"),
-        ))
-    return statuses.agg(*aggregates).where("total > 0").select(F.inline(F.array(*lines)))
+        possible = {PASS, violation(rule), NOT_APPLICABLE, ERROR}
+        aggregates += [f"count_if(s{i} = '{status}') as {_STATUS_COUNTS[status]}_{i}" for status in possible]
+        cells = [f"{name}_{i} as {name}" if status in possible else f"0L as {name}"
+                 for status, name in _STATUS_COUNTS.items()]
+        lines.append(f"struct({i + 1} as rule, total, {', '.join(cells)})")
+    counts = statuses.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(lines)}))")
+    return _rollup_lines(counts, [rule for rule, _ in rules])
 
 
 def rollup_results(results: DataFrame) -> DataFrame:
     """The same counts from long results."""
-    def count(status: str, name: str) -> Column:
-        return F.count_if(F.col("status") == F.lit(status)).alias(name)
-    return results.groupBy("rule_id", "rule_name", "dimension", "severity").agg(
-        F.count(F.lit(1)).alias("total"), count(PASS, "passed"), count(FAIL, "failed"),
-        count("WARNING", "warnings"), count(NOT_APPLICABLE, "not_applicable"), count(ERROR, "errors"))
+    counts = [F.expr(f"count_if(status = '{status}') as {name}") for status, name in _STATUS_COUNTS.items()]
+    return results.groupBy(*ROLLUP_LABELS).agg(F.count(F.lit(1)).alias("total"), *counts)

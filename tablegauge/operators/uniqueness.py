@@ -7,25 +7,20 @@ keys of at most 65 bytes), the rest by a shuffle join in which no key is frequen
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, functions as F
 
+from tablegauge.functions.missing import quoted
 from tablegauge.functions.text import compact_key
-from tablegauge.operators.columns import quoted
 
 HOT_KEYS = 10_000
 HOT_COPIES = 1_000
 _KEY, _COPIES = "__key", "__copies"
 
 
-def unique_key(name: str, dtype: T.DataType) -> Column:
-    return compact_key(quoted(name), dtype).alias(_KEY)
-
-
 def key_counts(df: DataFrame, name: str) -> DataFrame:
     """``(__key, __copies)`` for every value of the column; missing values are one key."""
-    return df.select(unique_key(name, df.schema[name].dataType)).groupBy(_KEY).agg(
-        F.count(F.lit(1)).alias(_COPIES))
+    keyed = df.selectExpr(f"{compact_key(name, df.schema[name].dataType)} as {_KEY}")
+    return keyed.groupBy(_KEY).agg(F.count(F.lit(1)).alias(_COPIES))
 
 
 def mark_repeated(df: DataFrame, name: str, flag: str) -> DataFrame:
@@ -36,7 +31,7 @@ def mark_repeated(df: DataFrame, name: str, flag: str) -> DataFrame:
         .orderBy(F.desc(_COPIES), F.asc(_KEY)).limit(HOT_KEYS)
         .select(F.col(_KEY).alias("__hot"))
     )
-    keyed = df.withColumn(_KEY, unique_key(name, df.schema[name].dataType))
+    keyed = df.selectExpr("*", f"{compact_key(name, df.schema[name].dataType)} as {_KEY}")
     is_hot = F.col(_KEY).eqNullSafe(F.col("__hot"))
     hot_rows = keyed.join(F.broadcast(hot), is_hot, "left_semi").withColumn(flag, F.lit(True))
     cold = repeated.select(F.col(_KEY).alias("__cold"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tablegauge.operators import drift, forecast, results
 from tablegauge.operators.catalog import Rule, customer_rules
@@ -61,9 +61,11 @@ def trends(history: History, dataset_name: str) -> Trends:
     )
 
 
-def schema_changes(history: History, dataset_name: str, df: DataFrame) -> DataFrame:
-    """Differences to the newest stored schema of the dataset; everything is ``added`` if there is none."""
-    snapshots = history.snapshots.where(history.snapshots["dataset_name"] == dataset_name)
+def schema_changes(history: History, dataset_name: str, df: DataFrame) -> DataFrame | None:
+    """Differences to the newest stored schema of the dataset; None on its first run."""
+    snapshots = history.snapshots.where(F.col("dataset_name") == F.lit(dataset_name))
+    if snapshots.isEmpty():
+        return None
     return drift.compare_schemas(schema_table(get_latest_schema(snapshots)), infer_schema(df))
 
 

@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablegauge.functions.lineage import cut_lineage
 from tablegauge.functions.rounding import percent
 from tablegauge.operators import profile as p
-from tablegauge.operators.columns import per_column, quoted
 from tablegauge.operators.quantiles import column_quantiles
-from tablegauge.functions.missing import is_missing
 from tablegauge.sources.summary import dataset_fingerprint, dataset_summary
 
 
@@ -42,16 +40,10 @@ def run_full_profile(df: DataFrame) -> Profile:
     pass and written to the checkpoint folder (a few rows each); completeness, health and quality are derived
     from them.
     """
-    counts = cut_lineage(per_column(df, df.columns, {
-        "n_rows": lambda c, t: F.count(F.lit(1)),
-        "null_count": lambda c, t: F.count_if(is_missing(quoted(c), t)),
-    }, "column string, n_rows bigint, null_count bigint"))
+    counts = cut_lineage(p.missing_counts(df))
     nulls = counts.select(
         "column", "null_count", percent(F.col("null_count"), F.col("n_rows")).alias("null_pct"))
-    filled = counts.agg(
-        F.sum(F.col("n_rows") - F.col("null_count")).alias("filled"), F.sum("n_rows").alias("cells"))
-    completeness = filled.select(
-        F.coalesce(percent(F.col("filled"), F.col("cells")), F.lit(0.0)).alias("completeness_pct"))
+    completeness = p.completeness(counts)
 
     numbers = p.numeric_values(df)
     quartiles = column_quantiles(numbers, [0.25, 0.5, 0.75])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from tablegauge.functions.missing import ident, literal
 from tablegauge.functions.text import INTEGER_TEXT, NUMBER_TEXT, strip_blanks
-from tablegauge.operators.columns import empty_frame, per_column, quoted
+from tablegauge.operators.columns import empty_frame, per_column
 
 # The texts a delimited file uses for "no value".
 MISSING_TOKENS = [
@@ -28,14 +29,20 @@ def _text_columns(df: DataFrame) -> list[str]:
 
 def normalize_missing(df: DataFrame, tokens: Iterable[str] = tuple(MISSING_TOKENS)) -> DataFrame:
     """Turn missing-value tokens in text columns into NULL."""
-    tokens, text = list(tokens), set(_text_columns(df))
-    return df.select(*[
-        F.when(~quoted(c).isin(tokens), quoted(c)).alias(c) if c in text else quoted(c) for c in df.columns
+    text, listed = set(_text_columns(df)), _listed(tokens)
+    return df.selectExpr(*[
+        f"case when {ident(c)} not in {listed} then {ident(c)} end as {ident(c)}" if c in text else ident(c)
+        for c in df.columns
     ])
 
 
-def _is_bigint(c: Column) -> Column:
-    return c.rlike(INTEGER_TEXT) & strip_blanks(c).try_cast("bigint").isNotNull()
+def _listed(tokens: Iterable[str]) -> str:
+    return f"({', '.join(map(literal, tokens))})"
+
+
+def _fits_bigint(name: str) -> str:
+    c = ident(name)
+    return f"({c} rlike {literal(INTEGER_TEXT)} and try_cast({strip_blanks(c)} as bigint) is not null)"
 
 
 def infer_types(df: DataFrame, string_cols: Iterable[str] = ()) -> DataFrame:
@@ -47,10 +54,10 @@ def infer_types(df: DataFrame, string_cols: Iterable[str] = ()) -> DataFrame:
     keep = set(string_cols)
     candidates = [c for c in _text_columns(df) if c not in keep]
     counts = per_column(df, candidates, {
-        "present": lambda c, t: F.count(quoted(c)),
-        "not_bigint": lambda c, t: F.count_if(~_is_bigint(quoted(c))),
-        "not_double": lambda c, t: F.count_if(~quoted(c).rlike(NUMBER_TEXT)),
-        "not_boolean": lambda c, t: F.count_if(~quoted(c).isin(TRUE_TOKENS + FALSE_TOKENS)),
+        "present": lambda c, t: f"count({ident(c)})",
+        "not_bigint": lambda c, t: f"count_if({ident(c)} is not null and not {_fits_bigint(c)})",
+        "not_double": lambda c, t: f"count_if(not {ident(c)} rlike {literal(NUMBER_TEXT)})",
+        "not_boolean": lambda c, t: f"count_if({ident(c)} not in {_listed(TRUE_TOKENS + FALSE_TOKENS)})",
     }, "column string, present bigint, not_bigint bigint, not_double bigint, not_boolean bigint")
     narrowest = (
         F.when(F.col("present") == 0, "double")
@@ -63,22 +70,25 @@ def infer_types(df: DataFrame, string_cols: Iterable[str] = ()) -> DataFrame:
     fixed = [f for f in df.schema.fields if f.name not in candidates]
     if not fixed:
         return inferred
-    rows = F.array(*[
-        F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype")) for f in fixed])
-    return inferred.unionByName(df.sparkSession.range(1).select(F.inline(rows)))
+    return inferred.unionByName(_schema_lines(df, fixed))
+
+
+def _schema_lines(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    lines = [f"struct({literal(f.name)} as column, {literal(f.dataType.simpleString())} as dtype)" for f in fields]
+    return df.sparkSession.range(1).selectExpr(f"inline(array({', '.join(lines)}))")
 
 
 def cast_text(df: DataFrame, dtypes: dict[str, str]) -> DataFrame:
     """Cast text columns to the types found by `infer_types`."""
-    def converted(name: str) -> Column:
-        c, wanted = quoted(name), dtypes.get(name)
+    def converted(name: str) -> str:
+        c, wanted = ident(name), dtypes.get(name)
         if wanted in ("bigint", "double"):
-            return strip_blanks(c).cast(wanted).alias(name)
+            return f"cast({strip_blanks(c)} as {wanted}) as {c}"
         if wanted == "boolean":
-            return c.isin(TRUE_TOKENS).alias(name)
-        return c.alias(name)
+            return f"{c} in {_listed(TRUE_TOKENS)} as {c}"
+        return c
     text = set(_text_columns(df))
-    return df.select(*[converted(c) if c in text else quoted(c) for c in df.columns])
+    return df.selectExpr(*[converted(c) if c in text else ident(c) for c in df.columns])
 
 
 def infer_and_cast(df: DataFrame, string_cols: Iterable[str] = ()) -> DataFrame:
@@ -92,6 +102,4 @@ def infer_schema(df: DataFrame) -> DataFrame:
     """``(column, dtype)`` of a typed DataFrame, for comparison with another version of the dataset."""
     if not df.columns:
         return empty_frame(df, SCHEMA_TABLE)
-    rows = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"))
-            for f in df.schema.fields]
-    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    return _schema_lines(df, df.schema.fields)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablegauge.operators.columns import quoted
+from tablegauge.functions.missing import quoted
 
 DEFAULT_SAMPLE = 200_000
 DEFAULT_SEED = 42

@@ -2,41 +2,38 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from tablegauge.functions.missing import ident, literal
 from tablegauge.functions.rounding import round_even
-from tablegauge.operators.columns import quoted
+from tablegauge.functions.text import NESTED_TYPES
+from tablegauge.operators.columns import column_types
 from tablegauge.sources.inference import infer_schema
 
 FINGERPRINT_DIGITS = 12
 
+# Bytes of a value by type; other fixed-width types have 8, text and nested values their length.
+WIDTHS = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+
 
-def _bytes_of(name: str, dtype: T.DataType) -> Column:
-    """Logical size of a value: its fixed width, or the bytes of its text."""
-    c = quoted(name)
-    widths = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+def _bytes_of(name: str, dtype: T.DataType) -> str:
+    c = ident(name)
     if isinstance(dtype, (T.StringType, T.BinaryType)):
-        size = F.octet_length(c)
-    elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-        size = F.octet_length(F.to_json(c))
-    else:
-        size = F.when(c.isNotNull(), F.lit(widths.get(type(dtype), 8)))
-    return F.coalesce(F.sum(size.cast("bigint")), F.lit(0))
+        return f"coalesce(sum(cast(octet_length({c}) as bigint)), 0L)"
+    if isinstance(dtype, NESTED_TYPES):
+        return f"coalesce(sum(cast(octet_length(to_json({c})) as bigint)), 0L)"
+    return f"count({c}) * {WIDTHS.get(type(dtype), 8)}L"
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
     """Rows, columns, logical megabytes and column names; one row, one pass."""
-    size = reduce(lambda a, b: a + b, [_bytes_of(f.name, f.dataType) for f in df.schema.fields], F.lit(0))
-    counts = df.agg(F.count(F.lit(1)).alias("row_count"), size.alias("bytes"))
+    sizes = [_bytes_of(c, t) for c, t in column_types(df).items()]
+    counts = df.selectExpr("count(1) as row_count", f"{' + '.join(['0L', *sizes])} as bytes")
+    names = f"cast(array({', '.join(map(literal, df.columns))}) as array<string>) as columns"
     return counts.select(
-        "row_count",
-        F.lit(len(df.columns)).alias("column_count"),
-        round_even(F.col("bytes") / F.lit(1024.0 * 1024.0), 2).alias("memory_usage_mb"),
-        F.array(*[F.lit(c) for c in df.columns]).cast("array<string>").alias("columns"),
-    )
+        "row_count", F.lit(len(df.columns)).alias("column_count"),
+        round_even(F.col("bytes") / F.lit(1024.0 * 1024.0), 2).alias("memory_usage_mb"), F.expr(names))
 
 
 def _json_text(col: Column) -> Column:
