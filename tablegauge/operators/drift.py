@@ -49,7 +49,8 @@ def has_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- distributions
 
-_SEGMENTS = "column string, first double, olds bigint, news bigint, highest double, lowest double"
+_SEGMENTS = ("column string, n_old bigint, n_new bigint, first double, olds bigint, news bigint, "
+             "highest double, lowest double")
 DRIFT_SCHEMA = "column string, ks_statistic double, p_value double, drift_detected boolean"
 
 
@@ -85,7 +86,7 @@ def ks_distances(old: DataFrame, new: DataFrame) -> DataFrame:
         .sortWithinPartitions("column", "v")
         .select("column", "v", "olds", (F.col("rows") - F.col("olds")).alias("news"), "n_old", "n_new")
     )
-    segments = ranged.mapInPandas(_walk_segment, _SEGMENTS).join(F.broadcast(sizes), "column")
+    segments = ranged.mapInPandas(_walk_segment, _SEGMENTS)
     # One line per column and task from here on.
     earlier = Window.partitionBy("column").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -116,7 +117,8 @@ def _walk_segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if line is not None:
                     yield pd.DataFrame([line])
                 column = name
-                line = {"column": name, "first": piece["v"].iloc[0], "olds": 0, "news": 0,
+                line = {"column": name, "n_old": piece["n_old"].iloc[0], "n_new": piece["n_new"].iloc[0],
+                        "first": piece["v"].iloc[0], "olds": 0, "news": 0,
                         "highest": float("-inf"), "lowest": float("inf")}
             olds = line["olds"] + piece["olds"].cumsum()
             news = line["news"] + piece["news"].cumsum()

@@ -22,8 +22,7 @@ def run_positions(history: DataFrame, keys: Sequence[str], time_col: str, value_
     A long series is numbered day by day and the days are put one after the other, so that no series has to fit
     into one task.
     """
-    day = F.date_trunc("day", quoted(time_col).cast("timestamp_ntz"))
-    dated = history.withColumn("__day", day)
+    dated = history.withColumn("__day", quoted(time_col).cast("date"))
     parts = [*keys, "__day"]
     in_day = Window.partitionBy(*parts).orderBy(time_col, *value_cols)
     numbered = dated.withColumn("__in_day", F.row_number().over(in_day) - 1)

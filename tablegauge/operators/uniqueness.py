@@ -1,8 +1,9 @@
 """Repeated values of a column, without gathering the copies of a value in one task.
 
 The keys are counted first; counting combines on the map side, so a value that fills a third of the table is
-one row per task after it.  The few most frequent keys are then handled by a broadcast join (at most `HOT_KEYS`
-keys of at most 65 bytes), the rest by a shuffle join in which no key is frequent any more.
+one row per task after it.  Keys that hold more than 1 / `HOT_KEYS` of the rows are then handled by a broadcast
+join (there are fewer than `HOT_KEYS` of them, of at most 65 bytes each), the rest by a shuffle join in which
+no key is frequent any more.
 """
 
 from __future__ import annotations
@@ -26,11 +27,8 @@ def key_counts(df: DataFrame, name: str) -> DataFrame:
 def mark_repeated(df: DataFrame, name: str, flag: str) -> DataFrame:
     """``df`` with a boolean ``flag``: the value of ``name`` occurs more than once."""
     repeated = key_counts(df, name).where(F.col(_COPIES) > 1)
-    hot = (
-        repeated.where(F.col(_COPIES) > HOT_COPIES)
-        .orderBy(F.desc(_COPIES), F.asc(_KEY)).limit(HOT_KEYS)
-        .select(F.col(_KEY).alias("__hot"))
-    )
+    frequent = df.selectExpr(f"greatest({HOT_COPIES}L, cast(count(1) / {HOT_KEYS} as bigint))").scalar()
+    hot = repeated.where(F.col(_COPIES) > frequent).select(F.col(_KEY).alias("__hot"))
     keyed = df.selectExpr("*", f"{compact_key(name, df.schema[name].dataType)} as {_KEY}")
     is_hot = F.col(_KEY).eqNullSafe(F.col("__hot"))
     hot_rows = keyed.join(F.broadcast(hot), is_hot, "left_semi").withColumn(flag, F.lit(True))
