@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -86,7 +86,7 @@ def ks_distances(old: DataFrame, new: DataFrame) -> DataFrame:
         .sortWithinPartitions("column", "v")
         .select("column", "v", "olds", (F.col("rows") - F.col("olds")).alias("news"), "n_old", "n_new")
     )
-    segments = ranged.mapInPandas(_walk_segment, _SEGMENTS)
+    segments = ranged.mapInPandas(_segment_walker(), _SEGMENTS)
     # One line per column and task from here on.
     earlier = Window.partitionBy("column").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -108,26 +108,31 @@ def _side(df: DataFrame, columns: list[str], is_old: int) -> DataFrame:
     return df.selectExpr(f"inline(array({', '.join(cells)}))", f"{is_old} as is_old").where("v is not null")
 
 
-def _walk_segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One sorted partition to one line per column in it."""
-    column, line = None, None
-    for batch in batches:
-        for name, piece in batch.groupby("column", sort=False):
-            if name != column:
-                if line is not None:
-                    yield pd.DataFrame([line])
-                column = name
-                line = {"column": name, "n_old": piece["n_old"].iloc[0], "n_new": piece["n_new"].iloc[0],
-                        "first": piece["v"].iloc[0], "olds": 0, "news": 0,
-                        "highest": float("-inf"), "lowest": float("inf")}
-            olds = line["olds"] + piece["olds"].cumsum()
-            news = line["news"] + piece["news"].cumsum()
-            difference = olds / piece["n_old"] - news / piece["n_new"]
-            line["highest"] = max(line["highest"], difference.max())
-            line["lowest"] = min(line["lowest"], difference.min())
-            line["olds"], line["news"] = int(olds.iloc[-1]), int(news.iloc[-1])
-    if line is not None:
-        yield pd.DataFrame([line])
+def _segment_walker() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The walk over one sorted partition: one line per column in it.
+
+    It is an inner function, so that it travels to the workers by value and they need not have this package.
+    """
+    def walk(batches):
+        column, line = None, None
+        for batch in batches:
+            for name, piece in batch.groupby("column", sort=False):
+                if name != column:
+                    if line is not None:
+                        yield pd.DataFrame([line])
+                    column = name
+                    line = {"column": name, "n_old": piece["n_old"].iloc[0], "n_new": piece["n_new"].iloc[0],
+                            "first": piece["v"].iloc[0], "olds": 0, "news": 0,
+                            "highest": float("-inf"), "lowest": float("inf")}
+                olds = line["olds"] + piece["olds"].cumsum()
+                news = line["news"] + piece["news"].cumsum()
+                difference = olds / piece["n_old"] - news / piece["n_new"]
+                line["highest"] = max(line["highest"], difference.max())
+                line["lowest"] = min(line["lowest"], difference.min())
+                line["olds"], line["news"] = int(olds.iloc[-1]), int(news.iloc[-1])
+        if line is not None:
+            yield pd.DataFrame([line])
+    return walk
 
 
 def ks_p_value(distance: Column, n_old: Column, n_new: Column) -> Column:

@@ -25,6 +25,14 @@ WORST = 5
 HEALTH_THRESHOLD = 10.2
 MISSING_ATTRIBUTE = Rule("X-001", "Validity", "Missing column", "fax", "NOT_NULL", None, "ERROR")
 UNKNOWN_TYPE = Rule("X-002", "Validity", "Unknown type", "name", "SOUNDS_LIKE", None, "ERROR")
+ORDER_RULES = [
+    Rule("ORD-001", "Completeness", "Order key mandatory", "o_orderkey", "NOT_NULL", None, "CRITICAL"),
+    Rule("ORD-002", "Uniqueness", "Order key unique", "o_orderkey", "UNIQUE", None, "CRITICAL"),
+    Rule("ORD-003", "Uniqueness", "One order per customer", "o_custkey", "UNIQUE", None, "WARNING"),
+    Rule("ORD-004", "Validity", "Price range", "o_totalprice", "RANGE", '{"min": 1000, "max": 400000}', "ERROR"),
+    Rule("ORD-005", "Consistency", "Known status", "o_orderstatus", "ENUM", '["F", "O"]', "WARNING"),
+    Rule("ORD-006", "Validity", "Priority format", "o_orderpriority", "REGEX", r"^[1-4]-[A-Z]+$", "ERROR"),
+]
 UNIQUE_TEXT = Rule("DOC-001", "Uniqueness", "Text Unique", "text", "UNIQUE", None, "ERROR")
 
 
@@ -162,6 +170,9 @@ def registered() -> dict[str, Query]:
         "overall_rule_score": _dirty(lambda df: r.overall_rule_score(_rollup(df))),
         "exception_totals": _dirty(lambda df: r.exception_totals(_all_results(df))),
         "rule_rollup_fused": _dirty(_rollup),
+        "rule_rollup_orders": _on("orders", lambda df: rule_rollup(df, ORDER_RULES)),
+        "exceptions_orders": _on(
+            "orders", lambda df: r.exceptions(apply_rules(df, ORDER_RULES, ["o_orderkey"]))),
         # profile
         "null_analysis": _dirty(p.null_analysis),
         "duplicate_rows": _dirty(p.duplicate_detection),

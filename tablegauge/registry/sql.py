@@ -5,7 +5,7 @@ from __future__ import annotations
 from tablegauge.operators.catalog import CUSTOMER_RULES
 from tablegauge.registry import inputs as i
 from tablegauge.registry.queries import (
-    FIRST_RULES, HEALTH_THRESHOLD, MISSING_ATTRIBUTE, SAMPLE_ROWS, UNIQUE_TEXT, UNKNOWN_TYPE, WORST,
+    FIRST_RULES, HEALTH_THRESHOLD, MISSING_ATTRIBUTE, ORDER_RULES, SAMPLE_ROWS, UNIQUE_TEXT, UNKNOWN_TYPE, WORST,
 )
 from tablegauge.sources.inference import FALSE_TOKENS, MISSING_TOKENS, TRUE_TOKENS
 
@@ -160,6 +160,30 @@ def count_status(status: str) -> str:
     return f"count(*) FILTER (WHERE status = '{status}')"
 
 
+ROLLUP = f"""SELECT rule_id, rule_name, dimension, severity, count(*) AS total,
+ {count_status('PASS')} AS passed, {count_status('FAIL')} AS failed, {count_status('WARNING')} AS warnings,
+ {count_status('NOT_APPLICABLE')} AS not_applicable, {count_status('ERROR')} AS errors
+FROM results GROUP BY rule_id, rule_name, dimension, severity"""
+
+
+def order_results() -> str:
+    """Long results of the order rules; the columns have no missing values."""
+    passed = {
+        "ORD-001": "o_orderkey IS NOT NULL", "ORD-002": "count(*) OVER (PARTITION BY o_orderkey) = 1",
+        "ORD-003": "count(*) OVER (PARTITION BY o_custkey) = 1", "ORD-004": "o_totalprice BETWEEN 1000 AND 400000",
+        "ORD-005": "o_orderstatus IN ('F', 'O')", "ORD-006": "regexp_matches(o_orderpriority, '^[1-4]-[A-Z]+$')",
+    }
+    parts = []
+    for rule in ORDER_RULES:
+        bad = "WARNING" if rule.severity == "WARNING" and rule.rule_type != "UNIQUE" else "FAIL"
+        parts.append(f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS record_id, {text(rule.rule_id)} AS rule_id, {text(rule.rule_name)} AS rule_name,
+ {text(rule.dimension)} AS dimension, {text(rule.attribute)} AS attribute, {text(rule.severity)} AS severity,
+ CASE WHEN {passed[rule.rule_id]} THEN 'PASS' ELSE '{bad}' END AS status, CAST({rule.attribute} AS VARCHAR) AS value
+FROM orders""")
+    return f"WITH results AS ({union(parts)})"
+
+
 DIMENSIONS = f"""{RESULTS} SELECT dimension,
  COALESCE({pct(count_status('PASS'), f"count(*) - {count_status('NOT_APPLICABLE')}")}, 100.0) AS pass_rate_pct,
  count(*) AS total_checks, {count_status('FAIL')} AS failed, {count_status('WARNING')} AS warnings
@@ -308,10 +332,9 @@ FROM documents""",
  count(*) FILTER (WHERE status = 'FAIL' AND severity = 'CRITICAL') AS critical_issues FROM results""",
         "exception_totals": f"""{RESULTS} SELECT count(*) AS violations, count(DISTINCT record_id) AS records
 FROM ({EXCEPTIONS}) e""",
-        "rule_rollup_fused": f"""{RESULTS} SELECT rule_id, rule_name, dimension, severity, count(*) AS total,
- {count_status('PASS')} AS passed, {count_status('FAIL')} AS failed, {count_status('WARNING')} AS warnings,
- {count_status('NOT_APPLICABLE')} AS not_applicable, {count_status('ERROR')} AS errors
-FROM results GROUP BY rule_id, rule_name, dimension, severity""",
+        "rule_rollup_fused": f"{RESULTS} {ROLLUP}",
+        "rule_rollup_orders": f"{order_results()} {ROLLUP}",
+        "exceptions_orders": f"{order_results()} {EXCEPTIONS}",
         "null_analysis": f"WITH {DIRTY} {nulls('dirty', i.DIRTY_COLUMNS)}",
         "duplicate_rows": f"WITH {DIRTY}, {duplicates('dirty', i.DIRTY_COLUMNS)}",
         "duplicate_rows_lineitem": f"WITH {duplicates('lineitem', LINEITEM_COLUMNS)}",

@@ -1,11 +1,18 @@
 """Schema comparison and the two-sample test, against numpy."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from compare import SF_DIR
 from tablegauge.operators import drift
 
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def schema(spark, pairs):
     return spark.createDataFrame(pairs, "column string, dtype string")
@@ -83,3 +90,17 @@ def test_small_and_missing_columns(spark):
     assert drift.detect_data_drift(one, many).count() == 0
     assert [r["column"] for r in drift.detect_data_drift(many, many).collect()] == ["a"]
     assert drift.detect_data_drift(one.selectExpr("'x' as t"), many).count() == 0
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    """Run outside the repository, with the package on the driver's path only."""
+    script = (
+        f"import sys; sys.path.insert(0, {REPO!r})\n"
+        "import __spark_entry__ as driver\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"print('lines', driver.queries()['ks_drift'](spark, {SF_DIR!r}).count())\n")
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=clean, capture_output=True, text=True,
+                          timeout=300)
+    assert "lines 3" in done.stdout, done.stderr[-2000:]
