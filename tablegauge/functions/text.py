@@ -13,11 +13,15 @@ PHONE_PATTERN = r"^\+?\d{7,15}$"
 # Plain decimals with an optional exponent, or an infinity / not-a-number word, with blanks around.
 # Type suffixes such as 1.0d, which a cast to DOUBLE would accept, are not numbers here.
 _DECIMAL = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
-_WORD = r"[+-]?(?:[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])"
-NUMBER_TEXT = rf"(?U)\A\s*(?:{_DECIMAL}|{_WORD})\s*\z"
-INTEGER_TEXT = r"(?U)\A\s*[+-]?[0-9]+\s*\z"
-NAN_TEXT = r"(?U)\A\s*[+-]?[nN][aA][nN]\s*\z"
-OUTER_BLANKS = r"(?U)\A\s+|\s+\z"
+_INFINITY = r"[+-]?[iI][nN][fF](?:[iI][nN][iI][tT][yY])?"
+_NAN = r"[+-]?[nN][aA][nN]"
+NUMBER_TEXT = rf"\A\s*(?:{_DECIMAL}|{_INFINITY}|{_NAN})\s*\z"
+INTEGER_TEXT = r"\A\s*[+-]?[0-9]+\s*\z"
+_PLAIN_NUMBER = rf"\A\s*(?:{_DECIMAL}|{_INFINITY})\s*\z"
+_NAN_ONLY = rf"\A{_NAN}\z"
+# What needs a second look if it is not a plain number: digit separators, blanks outside ASCII, signed NaN.
+_UNUSUAL_TEXT = r"_|[^\x00-\x7F]|[nN][aA][nN]"
+_OUTER_BLANKS = r"(?U)\A\s+|\s+\z"
 
 # A grouping key never gets wider than this many bytes, except for the digest that replaces longer values.
 KEY_BYTES = 64
@@ -40,19 +44,19 @@ def matches_from_start(text: str, pattern: str) -> str:
 
     ``(?U)`` makes ``\\d``, ``\\s`` and ``\\w`` Unicode-aware, ``(?d)`` makes ``\\n`` the only line end.
     """
-    return f"({text} rlike {literal(f'(?Ud){chr(92)}A(?:{pattern})')})"
-
-
-def strip_blanks(text: str) -> str:
-    """Drops every kind of outer white space; ``trim`` removes blanks only."""
-    return f"regexp_replace({text}, {literal(OUTER_BLANKS)}, '')"
+    anchored = rf"(?Ud)\A(?:{pattern})"
+    return f"({text} rlike {literal(anchored)})"
 
 
 def parse_number(text: str) -> str:
     """Text to DOUBLE.  NULL when the text is not a number; underscores between digits are allowed."""
     plain = f"regexp_replace({text}, {literal('(?<=[0-9])_(?=[0-9])')}, '')"
-    return (f"(case when {plain} rlike {literal(NAN_TEXT)} then double('NaN') "
-            f"when {plain} rlike {literal(NUMBER_TEXT)} then try_cast({strip_blanks(plain)} as double) end)")
+    bare = f"regexp_replace({plain}, {literal(_OUTER_BLANKS)}, '')"
+    return (f"(case when {text} rlike {literal(_PLAIN_NUMBER)} "
+            f"then try_cast({text} as double) "
+            f"when not {text} rlike {literal(_UNUSUAL_TEXT)} then null "
+            f"when {bare} rlike {literal(_NAN_ONLY)} then double('NaN') "
+            f"when {bare} rlike {literal(NUMBER_TEXT)} then try_cast({bare} as double) end)")
 
 
 def compact_key(name: str, dtype: T.DataType) -> str:

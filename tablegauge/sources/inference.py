@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tablegauge.functions.missing import ident, literal
-from tablegauge.functions.text import INTEGER_TEXT, NUMBER_TEXT, strip_blanks
+from tablegauge.functions.text import INTEGER_TEXT, NUMBER_TEXT
 from tablegauge.operators.columns import empty_frame, per_column
 
 # The texts a delimited file uses for "no value".
@@ -40,33 +40,35 @@ def _listed(tokens: Iterable[str]) -> str:
     return f"({', '.join(map(literal, tokens))})"
 
 
-def _fits_bigint(name: str) -> str:
+# The kinds of text, from narrow to wide; a boolean text is never a number.
+_BIGINT, _DOUBLE, _BOOLEAN, _STRING = range(4)
+
+
+def _kind(name: str) -> str:
     c = ident(name)
-    return f"({c} rlike {literal(INTEGER_TEXT)} and try_cast({strip_blanks(c)} as bigint) is not null)"
+    # Patterns first: a cast that fails costs far more than a match.  19 digits may exceed a bigint.
+    is_bigint = f"{c} rlike {literal(INTEGER_TEXT)} and (length({c}) < 19 or try_cast({c} as bigint) is not null)"
+    return (f"case when {c} is null then null when {is_bigint} then {_BIGINT} "
+            f"when {c} rlike {literal(NUMBER_TEXT)} then {_DOUBLE} "
+            f"when {c} in {_listed(TRUE_TOKENS + FALSE_TOKENS)} then {_BOOLEAN} else {_STRING} end as {c}")
 
 
 def infer_types(df: DataFrame, string_cols: Iterable[str] = ()) -> DataFrame:
     """``(column, dtype)`` with the narrowest of bigint, double, boolean, string for every text column.
 
-    One pass counts, per column, the values that do not fit each candidate.  Columns that already have a type,
-    and those named in ``string_cols``, keep theirs.  A column without values is a double.
+    One pass classifies every value once and keeps the narrowest and the widest kind per column.  Columns that
+    already have a type, and those named in ``string_cols``, keep theirs.  A column without values is a double.
     """
     keep = set(string_cols)
     candidates = [c for c in _text_columns(df) if c not in keep]
-    counts = per_column(df, candidates, {
-        "present": lambda c, t: f"count({ident(c)})",
-        "not_bigint": lambda c, t: f"count_if({ident(c)} is not null and not {_fits_bigint(c)})",
-        "not_double": lambda c, t: f"count_if(not {ident(c)} rlike {literal(NUMBER_TEXT)})",
-        "not_boolean": lambda c, t: f"count_if({ident(c)} not in {_listed(TRUE_TOKENS + FALSE_TOKENS)})",
-    }, "column string, present bigint, not_bigint bigint, not_double bigint, not_boolean bigint")
-    narrowest = (
-        F.when(F.col("present") == 0, "double")
-        .when(F.col("not_bigint") == 0, "bigint")
-        .when(F.col("not_double") == 0, "double")
-        .when(F.col("not_boolean") == 0, "boolean")
-        .otherwise("string")
-    )
-    inferred = counts.select("column", narrowest.alias("dtype"))
+    kinds = per_column(df.selectExpr(*map(_kind, candidates)), candidates, {
+        "least": lambda c, t: f"min({ident(c)})", "most": lambda c, t: f"max({ident(c)})",
+    }, "column string, least int, most int")
+    dtype = (
+        f"case when most is null then 'double' when most = {_BIGINT} then 'bigint' "
+        f"when most = {_DOUBLE} then 'double' when least = {_BOOLEAN} and most = {_BOOLEAN} then 'boolean' "
+        f"else 'string' end as dtype")
+    inferred = kinds.selectExpr("column", dtype)
     fixed = [f for f in df.schema.fields if f.name not in candidates]
     if not fixed:
         return inferred
@@ -83,7 +85,7 @@ def cast_text(df: DataFrame, dtypes: dict[str, str]) -> DataFrame:
     def converted(name: str) -> str:
         c, wanted = ident(name), dtypes.get(name)
         if wanted in ("bigint", "double"):
-            return f"cast({strip_blanks(c)} as {wanted}) as {c}"
+            return f"cast({c} as {wanted}) as {c}"
         if wanted == "boolean":
             return f"{c} in {_listed(TRUE_TOKENS)} as {c}"
         return c
