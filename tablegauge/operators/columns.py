@@ -38,12 +38,13 @@ def name_lines(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.sparkSession.range(1).selectExpr(f"explode(array({', '.join(map(literal, names))})) as column")
 
 
-def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric], schema: str) -> DataFrame:
+def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric], schema: str,
+               block: int = COLUMN_BLOCK) -> DataFrame:
     """``(column, <metrics>)`` with one row per entry of ``columns``; ``metrics`` maps names to aggregates."""
     if not columns:
         return empty_frame(df, schema)
     types = column_types(df)
-    blocks = [columns[i:i + COLUMN_BLOCK] for i in range(0, len(columns), COLUMN_BLOCK)]
+    blocks = [columns[i:i + block] for i in range(0, len(columns), block)]
     return reduce(DataFrame.unionByName, (_one_block(df, block, types, metrics) for block in blocks))
 
 

@@ -11,11 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from tablegauge.functions.lineage import cut_lineage
 from tablegauge.functions.missing import ident, is_numeric, literal, missing, number, number_literal, value_or_null
 from tablegauge.functions.rounding import percent, ratio, round_even
 from tablegauge.functions.text import EMAIL_PATTERN, PHONE_PATTERN, cell_text, compact_key, matches_from_start
 from tablegauge.operators.columns import ROWS, column_types, empty_frame, name_lines, per_column
 from tablegauge.operators.quantiles import column_quantiles
+from tablegauge.sources.summary import bytes_of
 
 NULLS_SCHEMA = "column string, null_count bigint, null_pct double"
 STATISTICS_SCHEMA = "column string, mean double, std double, min double, max double, median double"
@@ -39,7 +41,11 @@ def missing_counts(df: DataFrame) -> DataFrame:
 
 def null_analysis(df: DataFrame) -> DataFrame:
     """Missing values per column; the percentage is NULL for a table without rows."""
-    counts = missing_counts(df)
+    return null_shares(missing_counts(df))
+
+
+def null_shares(counts: DataFrame) -> DataFrame:
+    """The same from `missing_counts`."""
     return counts.select("column", "null_count", percent(F.col("null_count"), F.col("n_rows")).alias("null_pct"))
 
 
@@ -150,7 +156,12 @@ def pattern_validation(df: DataFrame) -> DataFrame:
         "matched": lambda c, t: f"count_if(not {missing(c, t)} and "
                                 f"{matches_from_start(cell_text(c, t), patterns[c][1])})",
     }, PATTERNS_SCHEMA)
-    return counts.where("present > 0").select(
+    return pattern_shares(counts)
+
+
+def pattern_shares(counts: DataFrame) -> DataFrame:
+    """From lines ``(column, pattern, present, matched)``; columns without values have none."""
+    return counts.where("pattern is not null and present > 0").select(
         "column", "pattern", percent(F.col("matched"), F.col("present")).alias("match_pct"))
 
 
@@ -228,6 +239,47 @@ def _count_outliers(numbers: DataFrame, columns: list[str], test: Callable[[str]
         "column", "outlier_count", percent(F.col("outlier_count"), F.col("present")).alias("outlier_pct"))
 
 
+# ---------------------------------------------------------------- everything one scan can tell
+
+# Columns per aggregate here, where each column has a dozen of them.
+FACT_BLOCK = 16
+FACTS_SCHEMA = (
+    "column string, n_rows bigint, null_count bigint, present bigint, bytes bigint, is_number boolean, mean double, "
+    "std double, min double, max double, pattern string, matched bigint"
+)
+
+
+def column_facts(df: DataFrame) -> DataFrame:
+    """All numbers per column that a single pass gives: missing values, size, moments, extremes, pattern matches."""
+    patterns = named_patterns(df.columns)
+
+    def moment(function: str) -> Callable[[str, T.DataType], str]:
+        return lambda c, t: f"{function}({number(c, t)})" if is_numeric(t) else "double(null)"
+
+    def matched(c: str, t: T.DataType) -> str:
+        if c not in patterns:
+            return "0L"
+        return f"count_if(not {missing(c, t)} and {matches_from_start(cell_text(c, t), patterns[c][1])})"
+    return per_column(df, df.columns, {
+        "n_rows": ROWS,
+        "null_count": lambda c, t: f"count_if({missing(c, t)})",
+        "present": lambda c, t: f"count({value_or_null(c, t)})",
+        "bytes": bytes_of,
+        "is_number": lambda c, t: str(is_numeric(t)).lower(),
+        "mean": moment("avg"), "std": moment("stddev_samp"), "min": moment("min"), "max": moment("max"),
+        "pattern": lambda c, t: literal(patterns[c][0] if c in patterns else None),
+        "matched": matched,
+    }, FACTS_SCHEMA, FACT_BLOCK)
+
+
+def statistics_of(facts: DataFrame, medians: dict[str, float]) -> DataFrame:
+    """`statistical_profile` from `column_facts`."""
+    known = ", ".join(f"{literal(c)}, {number_literal(m)}" for c, m in medians.items())
+    median = f"try_element_at(map({known}), column)" if known else "double(null)"
+    return facts.where("is_number and n_rows > 0").selectExpr(
+        "column", "mean", "std", "min", "max", f"{median} as median")
+
+
 # ---------------------------------------------------------------- scores
 
 def column_health(nulls: DataFrame, outliers: DataFrame) -> DataFrame:
@@ -252,7 +304,9 @@ def quality_score(completeness: Column, duplicate_pct: Column, average_health: C
 
 def overall_quality_score(df: DataFrame) -> DataFrame:
     """The table's quality from 0 to 100, one row."""
-    return blend_quality(completeness_score(df), duplicate_detection(df), column_health_score(df))
+    counts = cut_lineage(missing_counts(df))                   # one line per column, used twice
+    health = column_health(null_shares(counts), outlier_detection(df))
+    return blend_quality(completeness(counts), duplicate_detection(df), health)
 
 
 def blend_quality(completeness: DataFrame, duplicates: DataFrame, health: DataFrame) -> DataFrame:

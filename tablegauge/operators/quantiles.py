@@ -88,22 +88,24 @@ class _Quantile:
         return lower + (upper - lower) * weight
 
 
-def column_quantiles(numbers: DataFrame, probs: Sequence[float]) -> dict[str, list[float]]:
+def column_quantiles(numbers: DataFrame, probs: Sequence[float],
+                     counts: dict[str, int] | None = None) -> dict[str, list[float]]:
     """Exact quantiles of every column of ``numbers`` (doubles, missing as NULL; see `numeric_values`).
 
-    Columns without values are left out.  Runs jobs.  The result has ``len(probs)`` numbers per column, so it is
+    ``counts`` are the numbers of values per column, if they are known already.  Columns without values are left out.  Runs jobs.  The result has ``len(probs)`` numbers per column, so it is
     as small as the schema.
     """
     out: dict[str, list[float]] = {}
     for i in range(0, len(numbers.columns), COLUMN_BLOCK):
-        out.update(_block_quantiles(numbers, numbers.columns[i:i + COLUMN_BLOCK], list(probs)))
+        block = numbers.columns[i:i + COLUMN_BLOCK]
+        known = counts or dict(zip(block, numbers.selectExpr(*[f"count({ident(c)})" for c in block]).first()))
+        out.update(_block_quantiles(numbers, {c: known[c] for c in block if known[c] > 0}, list(probs)))
     return out
 
 
-def _block_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float]]:
-    counts = df.selectExpr(*[f"count({ident(c)})" for c in columns]).first()
+def _block_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float]) -> dict[str, list[float]]:
     quantiles = [
-        _Quantile(p, n, _Bracket(c, None, None, 0, 0, n, 0)) for c, n in zip(columns, counts) if n > 0 for p in probs]
+        _Quantile(p, n, _Bracket(c, None, None, 0, 0, n, 0)) for c, n in counts.items() for p in probs]
 
     def too_wide(q: _Quantile) -> bool:
         return q.open and q.bracket.inside > _clamp(q.n * SORTED_SHARE, SORTED_LEAST, SORTED_MOST)

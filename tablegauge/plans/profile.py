@@ -7,10 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tablegauge.functions.lineage import cut_lineage
-from tablegauge.functions.rounding import percent
 from tablegauge.operators import profile as p
 from tablegauge.operators.quantiles import column_quantiles
-from tablegauge.sources.summary import dataset_fingerprint, dataset_summary
+from tablegauge.sources.summary import dataset_fingerprint, summary_line
 
 
 @dataclass(frozen=True)
@@ -36,24 +35,26 @@ class Profile:
 def run_full_profile(df: DataFrame) -> Profile:
     """Profile a table, computing every shared number once.
 
-    Missing counts, quartiles with the median, outliers, duplicates and the summary are each computed by one
-    pass and written to the checkpoint folder (a few rows each); completeness, health and quality are derived
-    from them.
+    One scan gives all facts that need no second look at the data; quartiles with the median, outliers,
+    duplicates and distinct values each add their own.  These tables of a few rows are written to the checkpoint
+    folder, and everything else is derived from them.
     """
-    counts = cut_lineage(p.missing_counts(df))
-    nulls = counts.select(
-        "column", "null_count", percent(F.col("null_count"), F.col("n_rows")).alias("null_pct"))
-    completeness = p.completeness(counts)
-
+    facts = cut_lineage(p.column_facts(df))
+    present = {r["column"]: r["present"] for r in facts.where("is_number").select("column", "present").collect()}
     numbers = p.numeric_values(df)
-    quartiles = column_quantiles(numbers, [0.25, 0.5, 0.75])
+    quartiles = column_quantiles(numbers, [0.25, 0.5, 0.75], present)
     outliers = cut_lineage(p.iqr_outliers(numbers, {c: (q[0], q[2]) for c, q in quartiles.items()}))
-    statistics = p.statistics(numbers, {c: q[1] for c, q in quartiles.items()})
     duplicates = cut_lineage(p.duplicate_detection(df))
+    cardinality = cut_lineage(p.cardinality_analysis(df))
+
+    nulls = p.null_shares(facts)
+    completeness = p.completeness(facts)
     health = p.column_health(nulls, outliers)
+    size = facts.agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("row_count"), F.sum("bytes").alias("bytes"))
     return Profile(
-        summary=dataset_summary(df), fingerprint=dataset_fingerprint(df), nulls=nulls, duplicates=duplicates,
-        cardinality=p.cardinality_analysis(df), patterns=p.pattern_validation(df), statistics=statistics,
-        outliers=outliers, completeness=completeness, column_health=health,
+        summary=summary_line(size, df.columns), fingerprint=dataset_fingerprint(df), nulls=nulls,
+        duplicates=duplicates, cardinality=cardinality, patterns=p.pattern_shares(facts),
+        statistics=p.statistics_of(facts, {c: q[1] for c, q in quartiles.items()}), outliers=outliers,
+        completeness=completeness, column_health=health,
         quality=p.blend_quality(completeness, duplicates, health),
     )

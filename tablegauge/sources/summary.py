@@ -17,7 +17,7 @@ FINGERPRINT_DIGITS = 12
 WIDTHS = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
 
 
-def _bytes_of(name: str, dtype: T.DataType) -> str:
+def bytes_of(name: str, dtype: T.DataType) -> str:
     c = ident(name)
     if isinstance(dtype, (T.StringType, T.BinaryType)):
         return f"coalesce(sum(cast(octet_length({c}) as bigint)), 0L)"
@@ -28,11 +28,16 @@ def _bytes_of(name: str, dtype: T.DataType) -> str:
 
 def dataset_summary(df: DataFrame) -> DataFrame:
     """Rows, columns, logical megabytes and column names; one row, one pass."""
-    sizes = [_bytes_of(c, t) for c, t in column_types(df).items()]
+    sizes = [bytes_of(c, t) for c, t in column_types(df).items()]
     counts = df.selectExpr("count(1) as row_count", f"{' + '.join(['0L', *sizes])} as bytes")
-    names = f"cast(array({', '.join(map(literal, df.columns))}) as array<string>) as columns"
+    return summary_line(counts, df.columns)
+
+
+def summary_line(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """From a row ``(row_count, bytes)``."""
+    names = f"cast(array({', '.join(map(literal, columns))}) as array<string>) as columns"
     return counts.select(
-        "row_count", F.lit(len(df.columns)).alias("column_count"),
+        "row_count", F.lit(len(columns)).alias("column_count"),
         round_even(F.col("bytes") / F.lit(1024.0 * 1024.0), 2).alias("memory_usage_mb"), F.expr(names))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablegauge.operators import profile as p, quantiles as q, views
 from tablegauge.operators.columns import COLUMN_BLOCK
 from tablegauge.plans.profile import run_full_profile
+from tablegauge.sources.summary import dataset_fingerprint, dataset_summary
 
 NAN = float("nan")
 
@@ -169,7 +170,8 @@ def test_full_profile_equals_the_single_operators(spark):
 
     def rows(x):
         return sorted(map(str, x.select(*sorted(x.columns)).collect()))
-    for got, want in ((profile.nulls, p.null_analysis(df)), (profile.duplicates, p.duplicate_detection(df)),
+    for got, want in ((profile.summary, dataset_summary(df)), (profile.fingerprint, dataset_fingerprint(df)),
+                      (profile.nulls, p.null_analysis(df)), (profile.duplicates, p.duplicate_detection(df)),
                       (profile.cardinality, p.cardinality_analysis(df)), (profile.patterns, p.pattern_validation(df)),
                       (profile.statistics, p.statistical_profile(df)), (profile.outliers, p.outlier_detection(df)),
                       (profile.completeness, p.completeness_score(df)),
@@ -177,7 +179,9 @@ def test_full_profile_equals_the_single_operators(spark):
                       (profile.quality, p.overall_quality_score(df))):
         assert rows(got) == rows(want)
     assert set(profile.as_dict()) >= {"summary", "fingerprint", "nulls", "quality"}
-    run_full_profile(df.where("false")).quality.collect()
+    empty = run_full_profile(df.where("false"))
+    assert empty.statistics.count() == 0 and empty.summary.first()["row_count"] == 0
+    assert rows(empty.quality) == rows(p.overall_quality_score(df.where("false")))
 
 
 def test_views(spark):
