@@ -135,8 +135,9 @@ def status_of(cell: Cell, rule: Rule, checks: dict[str, Check] = CHECKS) -> Colu
     outcome = checks[rule.rule_type](cell, rule)
     if isinstance(outcome, Column):
         return F.when(outcome, PASS).when(~outcome, violation(rule)).otherwise(NOT_APPLICABLE)
-    # A range cannot be checked on a present value that is not a number.
+    # A range cannot be checked on a present value that is not a number.  Satisfied rows are decided first, so
+    # that their number is parsed once.
     failed = (f"when not {cell.missing} and {cell.number} is null then '{ERROR}'"
               if checks[rule.rule_type] is value_range else "")
-    return F.expr(f"case {failed} when {outcome} then '{PASS}' when not ({outcome}) then '{violation(rule)}' "
+    return F.expr(f"case when {outcome} then '{PASS}' {failed} when not ({outcome}) then '{violation(rule)}' "
                   f"else '{NOT_APPLICABLE}' end")

@@ -42,6 +42,7 @@ class CompiledCatalog:
         self.single: list[tuple[Rule, str]] = []       # one line for the whole rule, with its status
         self.cell: list[tuple[Rule, Column]] = []      # one status per row
         self.unique: list[Rule] = []                   # needs the whole column
+        self.custom = any(checks[r.rule_type] not in CHECKS.values() for r in catalog if r.rule_type in checks)
         types = column_types(df)
         bad_patterns = _bad_patterns(
             df.sparkSession, {r.parameter for r in catalog if r.rule_type == "REGEX" and r.parameter is not None})
@@ -63,6 +64,14 @@ class CompiledCatalog:
                     self.cell.append((rule, status))
 
 
+    def needed_columns(self, df: DataFrame) -> list[str]:
+        """Columns the rules look at, and the record id; all of them if a check is not a built-in one."""
+        if self.custom:
+            return df.columns
+        used = {rule.attribute for rule, _ in self.cell} | {rule.attribute for rule in self.unique}
+        return [c for c in df.columns if c in used or c == RECORD_ID_COLUMN]
+
+
 def _bad_patterns(spark: SparkSession, patterns: set[str]) -> set[str]:
     """Patterns the regular-expression engine rejects; their rules become an ERROR line, not a failed job."""
     def compiles(some: set[str]) -> bool:
@@ -91,7 +100,7 @@ def apply_rules(df: DataFrame, catalog: Sequence[Rule], id_cols: Sequence[str] |
     """
     compiled = CompiledCatalog(df, catalog, checks)
     types = column_types(df)
-    source, index = _identify(df, id_cols, stable=bool(compiled.unique))
+    source, index = _identify(df, compiled, id_cols)
     record = _record_id(df, index)
     parts = []
     if compiled.cell:
@@ -115,13 +124,14 @@ def apply_rules(df: DataFrame, catalog: Sequence[Rule], id_cols: Sequence[str] |
     return reduce(DataFrame.unionByName, parts)
 
 
-def _identify(df: DataFrame, id_cols: Sequence[str] | None, stable: bool) -> tuple[DataFrame, Column]:
+def _identify(df: DataFrame, compiled: CompiledCatalog,
+              id_cols: Sequence[str] | None) -> tuple[DataFrame, Column]:
     if id_cols:
         texts = [quoted(c).cast("string") for c in id_cols]
         key = texts[0] if len(texts) == 1 else F.to_json(F.array(*texts))
         return df, key.alias("row_index")
-    if stable:
-        numbered = with_row_index(df, "__row")
+    if compiled.unique:                     # the rows are read several times and must keep their numbers
+        numbered = with_row_index(df.select(*map(quoted, compiled.needed_columns(df))), "__row")
     else:
         numbered = df.withColumn("__row", F.monotonically_increasing_id())
     return numbered, F.col("__row").cast("string").alias("row_index")

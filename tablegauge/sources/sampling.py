@@ -27,11 +27,13 @@ def exact_sample(df: DataFrame, n: int, id_cols: Sequence[str], seed: int = DEFA
     digest = F.md5(F.concat_ws("-", *[quoted(c).cast("string") for c in id_cols], F.lit(str(seed))))
     keyed = df.withColumn("__digest", digest)
     share = (n + 10 * n ** 0.5 + 100) / total
-    if share < 0.5:
-        cut = format(min(int(share * _PREFIX_SPACE), _PREFIX_SPACE - 1), f"0{_DIGEST_PREFIX}x")
+    while share < 0.5:
+        cut = format(int(share * _PREFIX_SPACE), f"0{_DIGEST_PREFIX}x")
         candidates = keyed.where(F.col("__digest") < F.lit(cut))
         if candidates.count() >= n:
             keyed = candidates
+            break
+        share *= 2
     return keyed.orderBy("__digest", *[quoted(c) for c in id_cols]).limit(n).drop("__digest")
 
 

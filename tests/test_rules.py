@@ -230,6 +230,16 @@ def test_rows_are_numbered_without_id_columns(spark):
     assert all(x["record_id"] == x["row_index"] for x in lines)
 
 
+def test_numbered_rows_keep_what_the_rules_need(spark):
+    """Without id columns a UNIQUE rule writes the numbered rows out, with the columns the rules look at."""
+    df = customers(spark).withColumn("other", F.lit(7))
+    lines = apply_rules(df, customer_rules())
+    assert lines.count() == 44
+    checks = {**CHECKS, "OTHER": lambda cell, r_: F.col("other") == 7}
+    found = apply_rules(df, [rule("UNIQUE", attribute="name"), rule("OTHER", attribute="name")], checks=checks)
+    assert sorted(x["status"] for x in found.collect()) == ["PASS"] * 8
+
+
 def test_columns_with_odd_names(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], ["id", "x.y `z`"])
     lines = apply_rules(df, [rule("NOT_NULL", attribute="x.y `z`"), rule("UNIQUE", attribute="x.y `z`")], ["id"])

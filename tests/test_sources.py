@@ -111,6 +111,7 @@ def test_sample_survives_a_cut_that_is_too_sharp(spark, monkeypatch):
     # One id holds most rows, so the cut on the digest may leave too few; the full sort takes over.
     df = spark.range(4000).select(F.when(F.col("id") < 3900, F.lit(-1)).otherwise(F.col("id")).alias("id"))
     assert exact_sample(df, 200, ["id"]).count() == 200
+    assert exact_sample(df, 30, ["id"]).count() == 30
     assert 0 < sampling.fraction_sample(df, 400).count() < 900
 
 
