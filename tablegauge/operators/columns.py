@@ -38,6 +38,11 @@ def name_lines(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.sparkSession.range(1).selectExpr(f"explode(array({', '.join(map(literal, names))})) as column")
 
 
+def name_at(names: Sequence[str], position: str) -> str:
+    """The name at a 1-based position.  Stacked values carry the position; it is much smaller than a name."""
+    return f"element_at(array({', '.join(map(literal, names))}), {position})"
+
+
 def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, Metric], schema: str,
                block: int = COLUMN_BLOCK) -> DataFrame:
     """``(column, <metrics>)`` with one row per entry of ``columns``; ``metrics`` maps names to aggregates."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 
 from tablegauge.functions.missing import is_numeric, literal, number
 from tablegauge.functions.rounding import round_even
-from tablegauge.operators.columns import column_types, empty_frame, per_column
+from tablegauge.operators.columns import column_types, empty_frame, name_at, per_column
 
 # ---------------------------------------------------------------- schemas
 # A schema is a table (column, dtype), see `sources.inference.infer_schema`.
@@ -49,7 +48,7 @@ def has_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- distributions
 
-_SEGMENTS = ("column string, n_old bigint, n_new bigint, first double, olds bigint, news bigint, "
+_SEGMENTS = ("c int, n_old bigint, n_new bigint, first double, olds bigint, news bigint, "
              "highest double, lowest double")
 DRIFT_SCHEMA = "column string, ks_statistic double, p_value double, drift_detected boolean"
 
@@ -73,29 +72,33 @@ def ks_distances(old: DataFrame, new: DataFrame) -> DataFrame:
     columns = _comparable(old, new)
     if not columns:
         return empty_frame(old, "column string, distance double, n_old bigint, n_new bigint")
-    sizes = _sizes(old, columns, "n_old").join(F.broadcast(_sizes(new, columns, "n_new")), "column")
-    sides = [_side(old, columns, 1), _side(new, columns, 0)]
+    names = f"array({', '.join(map(literal, columns))})"
+    sizes = (
+        _sizes(old, columns, "n_old").join(F.broadcast(_sizes(new, columns, "n_new")), "column")
+        .selectExpr(f"int(array_position({names}, column)) as c", "n_old", "n_new")
+        .where("n_old >= 2 and n_new >= 2")
+    )
     counted = (
-        reduce(DataFrame.unionByName, sides).groupBy("column", "v")
+        _side(old, columns, 1).unionByName(_side(new, columns, 0)).groupBy("c", "v")
         .agg(F.sum("is_old").alias("olds"), F.count(F.lit(1)).alias("rows"))
     )
     ranged = (
-        counted.join(F.broadcast(sizes), "column")               # one line per column
-        .where("n_old >= 2 and n_new >= 2")
-        .repartitionByRange(F.col("column"), F.col("v"))
-        .sortWithinPartitions("column", "v")
-        .select("column", "v", "olds", (F.col("rows") - F.col("olds")).alias("news"), "n_old", "n_new")
+        counted.join(F.broadcast(sizes), "c")                    # one line per column
+        .select("c", "v", "olds", (F.col("rows") - F.col("olds")).alias("news"), "n_old", "n_new")
+        .repartitionByRange(F.col("c"), F.col("v"))
+        .sortWithinPartitions("c", "v")
     )
     segments = ranged.mapInPandas(_segment_walker(), _SEGMENTS)
     # One line per column and task from here on.
-    earlier = Window.partitionBy("column").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("c").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
 
     def share(part: str, whole: str) -> Column:
         return F.coalesce(F.sum(part).over(earlier), F.lit(0)) / F.col(whole)
     start = share("olds", "n_old") - share("news", "n_new")
-    placed = segments.select("column", "n_old", "n_new", "highest", "lowest", start.alias("start"))
+    placed = segments.select("c", "n_old", "n_new", "highest", "lowest", start.alias("start"))
     gap = F.greatest(F.abs(F.col("start") + F.col("highest")), F.abs(F.col("start") + F.col("lowest")))
-    return placed.groupBy("column", "n_old", "n_new").agg(F.max(gap).alias("distance"))
+    distances = placed.groupBy("c", "n_old", "n_new").agg(F.max(gap).alias("distance"))
+    return distances.selectExpr(f"{name_at(columns, 'c')} as column", "distance", "n_old", "n_new")
 
 
 def _sizes(df: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -104,7 +107,7 @@ def _sizes(df: DataFrame, columns: list[str], name: str) -> DataFrame:
 
 def _side(df: DataFrame, columns: list[str], is_old: int) -> DataFrame:
     types = column_types(df)
-    cells = [f"struct({literal(c)} as column, {number(c, types[c])} as v)" for c in columns]
+    cells = [f"struct({i + 1} as c, {number(c, types[c])} as v)" for i, c in enumerate(columns)]
     return df.selectExpr(f"inline(array({', '.join(cells)}))", f"{is_old} as is_old").where("v is not null")
 
 
@@ -114,22 +117,21 @@ def _segment_walker() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     It is an inner function, so that it travels to the workers by value and they need not have this package.
     """
     def walk(batches):
-        column, line = None, None
+        line = None
         for batch in batches:
-            for name, piece in batch.groupby("column", sort=False):
-                if name != column:
+            for c, piece in batch.groupby("c", sort=False):
+                if line is None or c != line["c"]:
                     if line is not None:
                         yield pd.DataFrame([line])
-                    column = name
-                    line = {"column": name, "n_old": piece["n_old"].iloc[0], "n_new": piece["n_new"].iloc[0],
+                    line = {"c": c, "n_old": piece["n_old"].iloc[0], "n_new": piece["n_new"].iloc[0],
                             "first": piece["v"].iloc[0], "olds": 0, "news": 0,
                             "highest": float("-inf"), "lowest": float("inf")}
-                olds = line["olds"] + piece["olds"].cumsum()
-                news = line["news"] + piece["news"].cumsum()
-                difference = olds / piece["n_old"] - news / piece["n_new"]
+                olds = line["olds"] + piece["olds"].to_numpy().cumsum()
+                news = line["news"] + piece["news"].to_numpy().cumsum()
+                difference = olds / line["n_old"] - news / line["n_new"]
                 line["highest"] = max(line["highest"], difference.max())
                 line["lowest"] = min(line["lowest"], difference.min())
-                line["olds"], line["news"] = int(olds.iloc[-1]), int(news.iloc[-1])
+                line["olds"], line["news"] = int(olds[-1]), int(news[-1])
         if line is not None:
             yield pd.DataFrame([line])
     return walk

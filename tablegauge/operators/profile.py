@@ -15,7 +15,7 @@ from tablegauge.functions.lineage import cut_lineage
 from tablegauge.functions.missing import ident, is_numeric, literal, missing, number, number_literal, value_or_null
 from tablegauge.functions.rounding import percent, ratio, round_even
 from tablegauge.functions.text import EMAIL_PATTERN, PHONE_PATTERN, cell_text, compact_key, matches_from_start
-from tablegauge.operators.columns import ROWS, column_types, empty_frame, name_lines, per_column
+from tablegauge.operators.columns import ROWS, column_types, empty_frame, name_at, name_lines, per_column
 from tablegauge.operators.quantiles import column_quantiles
 from tablegauge.sources.summary import bytes_of
 
@@ -100,11 +100,11 @@ def cardinality_analysis(df: DataFrame, approximate: bool = False) -> DataFrame:
 def _exact_cardinality(df: DataFrame) -> DataFrame:
     stacked = []
     for family, keys in _value_families(df).items():
-        cells = [f"struct({literal(c)} as column, cast({key} as {family}) as value)" for c, key in keys.items()]
-        values = df.selectExpr(f"inline(array({', '.join(cells)}))").groupBy("column", "value").agg(
+        cells = [f"struct({i + 1} as c, cast({key} as {family}) as value)" for i, key in enumerate(keys.values())]
+        values = df.selectExpr(f"inline(array({', '.join(cells)}))").groupBy("c", "value").agg(
             F.count(F.lit(1)).alias("rows"))
-        stacked.append(values.groupBy("column").agg(
-            F.count("value").alias("unique_count"), F.sum("rows").alias("n_rows")))
+        counts = values.groupBy("c").agg(F.count("value").alias("unique_count"), F.sum("rows").alias("n_rows"))
+        stacked.append(counts.selectExpr(f"{name_at(list(keys), 'c')} as column", "unique_count", "n_rows"))
     if not stacked:
         return empty_frame(df, "column string, unique_count bigint, n_rows bigint")
     counted = reduce(DataFrame.unionByName, stacked)
