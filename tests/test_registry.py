@@ -4,8 +4,10 @@ import pytest
 
 import __spark_entry__ as driver
 from compare import SF_DIR, differences, engine
+from tablegauge.registry.queries import registered
+from tablegauge.registry.sql import oracles
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = registered(), oracles()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +24,10 @@ def test_query(spark, duck, name):
     assert differences(spark, duck, QUERIES[name], SQL[name]) == []
 
 
+def test_entry_point_has_every_query():
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
+
+
 def test_entry(spark):
     df = driver.entry(spark)
     assert df.columns == ["dimension", "pass_rate_pct", "total_checks", "failed", "warnings"]
