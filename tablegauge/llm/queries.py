@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablegauge.llm import decontaminate, secrets
+from tablegauge.llm import decontaminate, packing, secrets, substrings
 from tablegauge.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +21,27 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated_windows(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", F.col("item").alias("item_id"), "n_windows", "n_changed")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer()).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def _secret_sql() -> str:
     quote = lambda p: "'" + p.replace("'", "''") + "'"
     kinds = []
@@ -52,7 +68,7 @@ def _secret_sql() -> str:
 
 
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op7_best_fit_packing)}
 
 
 def oracles() -> dict[str, str]:
