@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablegauge.llm import decontaminate, packing, secrets, substrings
-from tablegauge.llm.shared import table
+from tablegauge.llm import decontaminate, packing, secrets, substrings, warc
+from tablegauge.llm.shared import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select(
+        F.expr("try_cast(page as long)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.expr("try_cast(refers as long)").alias("refers_to"), "n_segments", "intact")
+
+
 def _secret_sql() -> str:
     quote = lambda p: "'" + p.replace("'", "''") + "'"
     kinds = []
@@ -68,7 +76,7 @@ def _secret_sql() -> str:
 
 
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op7_best_fit_packing, op9_warc)}
 
 
 def oracles() -> dict[str, str]:
