@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablegauge.llm import decontaminate, packing, secrets, substrings, warc
+from tablegauge.llm import decontaminate, nearjoin, packing, secrets, substrings, warc
 from tablegauge.llm.shared import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id", F.col("item").alias("item_id"), "n_windows", "n_changed")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -76,7 +80,7 @@ def _secret_sql() -> str:
 
 
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op7_best_fit_packing, op9_warc)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op4_ngram_jaccard_join, op7_best_fit_packing, op9_warc)}
 
 
 def oracles() -> dict[str, str]:
