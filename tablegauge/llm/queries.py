@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablegauge.llm import decontaminate, nearjoin, packing, secrets, substrings, warc
+from tablegauge.llm import decontaminate, language, nearjoin, packing, secrets, substrings, toxicity, warc
 from tablegauge.llm.shared import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,15 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.tag_toxicity(docs, model)
+    # A null id has no remainder; such a row could not have been matched to a label either.
+    return found.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted",
+                        F.size("spans").alias("n_spans"))
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -54,6 +63,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("try_cast(refers as long)").alias("refers_to"), "n_segments", "intact")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~language.held_out()))
+    found = language.identify(docs, model)
+    return found.select("doc_id", F.coalesce(language.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score",
+                        F.size("spans").alias("n_spans"))
+
+
 def _secret_sql() -> str:
     quote = lambda p: "'" + p.replace("'", "''") + "'"
     kinds = []
@@ -80,7 +97,8 @@ def _secret_sql() -> str:
 
 
 def registered() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op4_ngram_jaccard_join, op7_best_fit_packing, op9_warc)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_toxicity,
+                                   op7_best_fit_packing, op9_warc, op10_language_id)}
 
 
 def oracles() -> dict[str, str]:
