@@ -2,7 +2,7 @@
 
 Only documents are labelled, so the labels of training tokens come from them: a token of a toxic document is taken for
 toxic if one of its features is found in toxic documents so often, and in clean ones so rarely, that chance does not
-explain it; a second round relabels toxic documents with the marginals of the first.  The field has two states and
+explain it; further rounds relabel toxic documents with the marginals of the one before.  The field has two states and
 hashed features of the word (whole, beginnings, end).  Forward-backward gives the marginal of each token; the document
 score is a logistic function of their maximum and sum, and runs of probable tokens are the offending spans.
 """
@@ -37,8 +37,8 @@ class Training:
     segment: int = 64
     segments: int = 9_000
     epochs: int = 3
-    rounds: int = 2
-    chance: float = 1e-5
+    rounds: int = 3
+    chance: float = 1e-4
 
 
 @dataclass
@@ -136,9 +136,10 @@ def token_probabilities(model: Model, feats: np.ndarray, owner: np.ndarray, n_te
 
 
 def _document_values(p: np.ndarray, owner: np.ndarray, n_texts: int) -> np.ndarray:
+    """Maximum and sum of the marginals; those below a tenth would only add up to the length of a text."""
     top = np.zeros(n_texts)
     np.maximum.at(top, owner, p)
-    total = np.bincount(owner, weights=p, minlength=n_texts)
+    total = np.bincount(owner, weights=np.where(p > 0.1, p, 0), minlength=n_texts)
     count = np.bincount(owner, minlength=n_texts)
     return np.stack([top, np.log1p(total), np.log1p(count) / 10, np.ones(n_texts)], axis=1)
 
@@ -217,7 +218,7 @@ def fit(texts: list[str], toxic: np.ndarray, options: Training = Training()) ->
     label = _weak_labels(feats, owner, toxic, options.bits, options.chance)
     rows = _segments(owner, n, options.segment)
     model = None
-    for _ in range(options.rounds):
+    for number in range(options.rounds):
         marked = np.where(rows >= 0, label[rows], False).any(axis=1)
         other = np.flatnonzero(~marked & ~toxic[owner[rows[:, 0]]])
         marked = np.flatnonzero(marked)
@@ -226,11 +227,12 @@ def fit(texts: list[str], toxic: np.ndarray, options: Training = Training()) ->
         model = _train_field(feats, label, rows[used], options, rng)
         p = token_probabilities(model, feats, owner, n)
         label = (p > 0.5) & toxic[owner]
-        # A toxic text without a probable token has its likeliest ones.
-        top = np.zeros(n)
-        np.maximum.at(top, owner, p)
-        has = np.bincount(owner[label], minlength=n) > 0
-        label |= toxic[owner] & ~has[owner] & (p >= top[owner]) & (p > 0.05)
+        if number + 2 < options.rounds:
+            # On the way, a toxic text without a probable token has its likeliest ones: rarer words are found by them.
+            top = np.zeros(n)
+            np.maximum.at(top, owner, p)
+            has = np.bincount(owner[label], minlength=n) > 0
+            label |= toxic[owner] & ~has[owner] & (p >= top[owner]) & (p > 0.05)
     model.document = _logistic(_document_values(p, owner, n), toxic.astype(float))
     return model
 
