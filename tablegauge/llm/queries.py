@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablegauge.llm import decontaminate, language, nearjoin, packing, secrets, substrings, toxicity, warc
+from tablegauge.llm import (
+    decontaminate, language, nearjoin, neighbours, packing, preference, secrets, substrings, toxicity, warc,
+)
 from tablegauge.llm.shared import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +46,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("spans").alias("n_spans"))
 
 
+def op6_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -55,6 +61,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = preference.conversations(table(spark, sf_dir, "conversations"))
+    alike = preference.paired_turns(convs, preference.reference_pairs(convs))
+    return preference.format_pairs(preference.swapped_replies(convs).unionAll(alike))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -96,10 +108,40 @@ def _secret_sql() -> str:
         "FROM docs LEFT JOIN (SELECT * FROM found WHERE ok) f USING (doc) GROUP BY doc")
 
 
+def _preference_sql() -> str:
+    t = preference.Template()
+    line = lambda x: x.replace("\n", "' || chr(10) || '")
+    turn = f"'{line(t.before)}' || x.role || '{line(t.after)}' || x.text || '{line(t.end)}'"
+    text = lambda a: f"array_to_string(list_transform({a}, lambda x: {turn}), '')"
+    fixed, end = len(t.before) + len(t.after), len(t.end)
+    before = lambda a: (f"coalesce(list_sum(list_transform({a}[1:i - 1], lambda y: "
+                        f"{fixed + end} + length(y.role) + length(y.text))), 0)::BIGINT")
+    mask = lambda a: (
+        f"array_to_string(list_transform(list_filter(range(1, len({a}) + 1), lambda i: {a}[i].role = '{t.learned}'), "
+        f"lambda i: ({before(a)} + {fixed} + length({a}[i].role)) || ':' || "
+        f"({before(a)} + {fixed + end} + length({a}[i].role) + length({a}[i].text))), ',')")
+    return f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns
+      FROM t GROUP BY conv_id),
+k AS (SELECT conv_id, turns, min(conv_id) OVER (PARTITION BY turns[1]) AS head FROM c),
+s AS (SELECT conv_id, turns, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = '{t.learned}') AS pos FROM c),
+b AS (SELECT conv_id AS chosen_id, conv_id AS rejected_id, turns[1:pos[-1]] AS c,
+             list_concat(turns[1:pos[-1] - 1], [turns[pos[-2]]]) AS r
+      FROM s WHERE len(pos) > 1 AND turns[pos[-1]] <> turns[pos[-2]]
+      UNION ALL SELECT k.head, k.conv_id, a.turns, k.turns FROM k JOIN c a ON a.conv_id = k.head WHERE k.conv_id <> k.head),
+n AS (SELECT *, list_min(list_filter(range(0, least(len(c), len(r)) + 1), lambda i: i = least(len(c), len(r))
+             OR c[i + 1] IS DISTINCT FROM r[i + 1])) AS n FROM b),
+m AS (SELECT chosen_id, rejected_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM n)
+SELECT chosen_id, rejected_id, n AS n_prompt, {text('p')} AS prompt, {text('c')} AS chosen, {mask('c')} AS chosen_mask,
+       {text('r')} AS rejected, {mask('r')} AS rejected_mask FROM m"""
+
+
 def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_toxicity,
-                                   op7_best_fit_packing, op9_warc, op10_language_id)}
+                                   op6_cross_polytope_neighbours, op7_best_fit_packing, op8_preference_formatting, op9_warc, op10_language_id)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_secret_scan": _secret_sql()}
+    return {"op1_secret_scan": _secret_sql(), "op8_preference_formatting": _preference_sql()}
