@@ -93,13 +93,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """Each text that holds a window of a benchmark item: ``text_key`` (xxhash64 of the text), ``item``, ``n_windows``,
     ``n_changed`` (windows whose placeholders hold other values than the item's).
 
-    Null and empty texts and items leak nothing.  Repeated texts are one row, repeated items count once each time their
-    id differs.  An item with fewer words than a window is found only as a whole text.  Empty tables give no rows.
+    Null and empty texts and items leak nothing.  Repeated texts are one row, repeated items are one, and of several
+    texts under one item id the one with the most windows counts.  An item with fewer words than a window is found only as a whole text.  Empty tables give no rows.
     """
     body = docs.select(quoted(text_col).cast("string").alias("body"))
     body = body.select(F.xxhash64("body").alias("text_key"), "body").filter("body != ''")
-    items = benchmark.select(quoted(item_col).alias("item"), quoted(item_text_col).cast("string").alias("body"))
-    items = items.filter("body != ''")
+    items = benchmark.select(quoted(item_col).alias("id"), quoted(item_text_col).cast("string").alias("body"))
+    items = items.filter("body != ''").select(F.xxhash64("id", "body").alias("item"), "id", "body").distinct()
     wanted = cut_lineage(_benchmark_windows(items, options))
     if is_small(wanted, options.broadcast_rows):
         wanted = F.broadcast(wanted)
@@ -113,12 +113,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     texts = body.join(keys, "text_key").dropDuplicates(["text_key", "body"])
     valued = lambda df, key, name: df.select(key, F.expr(tokens("body", values=True)).alias(name))
     paired = (hits.join(valued(texts, "text_key", "d"), "text_key")
-              .join(valued(items, F.col("item").alias("item"), "b"), "item"))
+              .join(valued(items, "item", "b"), "item"))
     span = f"sequence(0, least({options.words}, size(b)) - 1)"
-    at_start = f"if(m.q + j = 0, regexp_replace(d[m.at + j], '^{NAME}', ''), d[m.at + j])"
-    same = f"forall({span}, j -> {shape(at_start)} <=> {shape('b[m.q + j]')})"
-    slots = (f"transform(filter({span}, j -> ascii(b[m.q + j]) between 1 and 3), "
-             "j -> named_struct('b', b[m.q + j], 'd', d[m.at + j]))")
+    at_start = f"if(m.q + j = 0, regexp_replace(get(d, m.at + j), '^{NAME}', ''), get(d, m.at + j))"
+    same = f"forall({span}, j -> {shape(at_start)} <=> {shape('get(b, m.q + j)')})"
+    slots = (f"transform(filter({span}, j -> ascii(get(b, m.q + j)) between 1 and 3), "
+             "j -> named_struct('b', get(b, m.q + j), 'd', get(d, m.at + j)))")
     checked = paired.select("text_key", "item", F.expr(
         f"transform(filter(hits, m -> {same}), m -> {slots})").alias("slots"))
     one_to_one = ("size(array_distinct(s)) = size(array_distinct(s.b)) and "
@@ -127,8 +127,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         checked.select("text_key", "item", F.expr(f"filter(slots, s -> {one_to_one})").alias("ok"))
         .select("text_key", "item", F.expr("size(ok)").cast("long").alias("n_windows"),
                 F.expr("size(filter(ok, s -> exists(s, x -> x.b != x.d)))").cast("long").alias("n_changed"))
-        .filter("n_windows > 0")
-        .groupBy("text_key", "item").agg(F.max("n_windows").alias("n_windows"), F.max("n_changed").alias("n_changed"))
+        .filter("n_windows > 0").join(items.select("item", "id"), "item")
+        .groupBy("text_key", F.col("id").alias("item")).agg(F.max("n_windows").alias("n_windows"), F.max("n_changed").alias("n_changed"))
     )
 
 
