@@ -5,6 +5,9 @@ anchor of a window is the smallest hash among its 8-word grams, so equal windows
 anchor never falls short of the count of a window that has it.  Second pass: only windows whose anchor is estimated to
 occur again are grouped, by 128-bit hashes of all their words, and every occurrence but the first is removed.  A sketch
 that is too small for its input lets more windows through, but loses none.
+
+Before the shuffle a task keeps the first of its own occurrences of a window only: the others are repeated for certain
+and travel as runs.  So a window that a third of all documents hold comes once from each task.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tablegauge.functions.missing import quoted
@@ -116,7 +120,43 @@ def _merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _repeated_windows(sketch, bits: int, rows: int, window: int, gram: int):
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """First occurrences one by one, and runs of the others; ids of several chunks in the order of the table."""
+        h1, h2, at = (np.concatenate([x[i] for x in held]) for i in range(3))
+        ids, ties = pa.concat_arrays([x[3] for x in held]), np.concatenate([x[4] for x in held])
+        shift = np.cumsum([0] + [len(x[3]) for x in held[:-1]])
+        text = np.concatenate([x[5] + n for x, n in zip(held, shift)])
+        # Texts in the order of the result: by id, nulls last, then by the hash.
+        by_id = np.asarray(pc.rank(ids, sort_keys="ascending", null_placement="at_end", tiebreaker="dense"))
+        order = np.lexsort((ties, by_id))
+        step = np.ones(len(ids), np.int64)
+        step[1:] = (by_id[order][1:] != by_id[order][:-1]) | (ties[order][1:] != ties[order][:-1])
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.cumsum(step)
+        order = np.lexsort((at, rank[text], h2, h1))
+        h1, h2, at, text = h1[order], h2[order], at[order], text[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        yield rows_of(h1[new], h2[new], ids, ties, text[new], at[new], np.zeros(int(new.sum()), np.int32))
+        # A repeated row is the same place once more.
+        first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        other = (at != at[first]) | (rank[text] != rank[text[first]])
+        text, at = text[other], at[other]
+        if len(at):
+            order = np.lexsort((at, text))
+            text, at = text[order], at[order]
+            cut = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(at, prepend=-2) > 1))
+            length = np.diff(np.append(cut, len(at))).astype(np.int32)
+            key = mixed(at[cut].astype(np.uint64) ^ ties[text[cut]].view(np.uint64)).view(np.int64)
+            yield rows_of(key, key, ids, ties, text[cut], at[cut], length)
+
+    def rows_of(h1, h2, ids, ties, text, at, length):
+        return pa.record_batch({
+            "h1": pa.array(h1), "h2": pa.array(h2), "id": ids.take(pa.array(text)), "tie": pa.array(ties[text]),
+            "start": pa.array(at.astype(np.int32)), "run": pa.array(length)})
+
     def run(batches):
+        held, size = [], 0
         for part, text in chunks(batches, "body"):
             anchors, _, at, words, owner = _anchors(text, window, gram)
             maybe = np.ones(len(anchors), bool)
@@ -128,27 +168,54 @@ def _repeated_windows(sketch, bits: int, rows: int, window: int, gram: int):
             begins = np.searchsorted(owner, np.arange(len(text)))
             h1, h2 = (grams(words, owner, window, seed)[0][maybe].view(np.int64) for seed in (1, 2))
             at = at[maybe]
-            rows_of = pa.array(owner[at])
-            yield pa.record_batch({
-                "h1": pa.array(h1), "h2": pa.array(h2), "id": part.column("id").take(rows_of),
-                "tie": part.column("tie").take(rows_of), "start": pa.array((at - begins[owner[at]]).astype(np.int32))})
+            used, of = np.unique(owner[at], return_inverse=True)
+            picked = pa.array(used)
+            held.append((h1, h2, at - begins[owner[at]], part.column("id").take(picked),
+                         np.asarray(part.column("tie").take(picked)), of))
+            size += len(at)
+            if size > _FLUSH // 2:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
 
     return run
 
 
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by window and place: all but the first of each window, and the runs that are repeated for certain."""
+    last, first = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h1, h2, tie, start, run = (np.asarray(batch.column(c)) for c in ("h1", "h2", "tie", "start", "run"))
+        new = np.ones(len(h1), bool)
+        new[0] = last != (h1[0], h2[0])
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        # The place of each window's first row, which may lie in an earlier batch.
+        at = np.maximum.accumulate(np.where(new, np.arange(len(h1)), -1))
+        first_tie, first_start = tie[at], start[at]
+        if not new[0]:
+            first_tie[at < 0], first_start[at < 0] = first
+        later = ~new & ((tie != first_tie) | (start != first_start))
+        last, first = (h1[-1], h2[-1]), (first_tie[-1], first_start[-1])
+        yield batch.filter(pa.array(later | (run > 0))).select(["id", "tie", "start", "run"])
+
+
 def _strip(window: int):
     def run(batches):
         for part, text in chunks(batches, "body"):
             starts, ends, owner = text.words()
             n_words = np.bincount(owner, minlength=len(text))
             begins = np.cumsum(n_words) - n_words
-            lists = part.column("starts")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = part.column("runs")
             of = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            first = np.repeat(begins, of) + flat
+            inner = lists.flatten()
+            first = np.repeat(begins, of) + np.asarray(inner.field("start")).astype(np.int64)
+            covered = np.maximum(np.asarray(inner.field("run")), 1) - 1 + window
             edge = np.zeros(len(starts) + 1, np.int64)
             np.add.at(edge, first, 1)
-            np.add.at(edge, first + window, -1)
+            np.add.at(edge, first + covered, -1)
             kept = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
             n_kept = np.bincount(owner[kept], minlength=len(text))
             # Each kept word with the blank behind it, without that blank for the last one of a text.
@@ -203,18 +270,13 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         repeated[row["row"], row["block"] * step: (row["block"] + 1) * step] = np.frombuffer(row["repeated"], np.uint8)
     shared = spark.sparkContext.broadcast(repeated)
 
-    found = docs.mapInArrow(_repeated_windows(shared, bits, sketch.rows, window, gram),
-                            f"h1 long, h2 long, id {kind}, tie long, start int")
-    place = F.struct(F.isnull("id").alias("last"), "id", "tie", "start")
-    first = (found.select("h1", "h2", place.alias("place")).groupBy("h1", "h2")
-             .agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
-             .select(F.expr("h1 ^ 1").alias("k1"), F.col("h2").alias("k2"), "first"))
-    # The changed key makes Spark deal both sides out for the join, so that a very common window can be split.
+    place = f"id {kind}, tie long, start int, run int"
+    found = docs.mapInArrow(_repeated_windows(shared, bits, sketch.rows, window, gram), f"h1 long, h2 long, {place}")
     again = (
-        found.select(F.expr("h1 ^ 1").alias("k1"), F.col("h2").alias("k2"), "id", "tie", "start").join(first, ["k1", "k2"])
-        .filter(~F.col("first").eqNullSafe(place)).groupBy("tie", F.col("id").alias("of"))
-        .agg(F.collect_list("start").alias("starts"))
+        found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", F.asc_nulls_last("id"), "tie", "start")
+        .mapInArrow(_later, place)
+        .groupBy("tie", F.col("id").alias("of")).agg(F.collect_list(F.struct("start", "run")).alias("runs"))
     )
     both = docs.join(again, (docs["tie"] == again["tie"]) & docs["id"].eqNullSafe(again["of"]), "left")
-    return both.select(docs["id"], "body", "starts").mapInArrow(
+    return both.select(docs["id"], "body", "runs").mapInArrow(
         _strip(window), f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
