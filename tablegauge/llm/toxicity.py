@@ -26,16 +26,16 @@ PREFIXES = (3, 4, 5, 6)
 class Training:
     """The sample: at most ``toxic_rows`` and ``clean_rows`` labelled texts of at most ``max_chars`` characters.
 
-    It is what the driver holds (about 30 MB of ordinary text).  Training uses at most ``segments`` stretches of
+    It is what the driver holds: 36 MB of text at most, and about 30 times the text in tokens and features.  Training uses at most ``segments`` stretches of
     ``segment`` tokens; longer texts are chains of that many tokens one after another.
     """
 
-    toxic_rows: int = 2500
-    clean_rows: int = 7500
-    max_chars: int = 20_000
+    toxic_rows: int = 1500
+    clean_rows: int = 4500
+    max_chars: int = 6_000
     bits: int = 18
     segment: int = 64
-    segments: int = 9_000
+    segments: int = 8_000
     epochs: int = 3
     rounds: int = 3
     chance: float = 1e-4
@@ -126,12 +126,14 @@ def token_probabilities(model: Model, feats: np.ndarray, owner: np.ndarray, n_te
     if not len(owner):
         return np.empty(0)
     rows = _segments(owner, n_texts, model.segment)
-    score = np.append(model.weights[feats].sum(axis=1) + model.weights[-1], 0.0)
     out = np.empty(len(owner))
-    for first in range(0, len(rows), 4096):
-        part = rows[first: first + 4096]
-        p, _ = _marginals(score[part], part >= 0, model.transition, model.start)
-        out[part[part >= 0]] = p[part >= 0]
+    for first in range(0, len(rows), 2048):
+        part = rows[first: first + 2048]
+        real = part >= 0
+        score = np.zeros(part.shape)
+        score[real] = model.weights[feats[part[real]]].sum(axis=1) + model.weights[-1]
+        p, _ = _marginals(score, real, model.transition, model.start)
+        out[part[real]] = p[real]
     return out
 
 
@@ -246,12 +248,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, options: Training = Trai
     known = labels.select(quoted(id_col).alias("id"), quoted(label_col).alias("label")).dropna().dropDuplicates()
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("body")).dropna()
     rows = rows.filter(F.length("body") <= options.max_chars)
-    both = rows.join(known, "id").select("body", "label", F.xxhash64("body").alias("order"))
-    out: dict[str, bool] = {}
+    rows = rows.select("id", "body", F.xxhash64("body").alias("h"))
+    # Only hashes are matched and sorted; the texts of the chosen ones are fetched after that.
+    keys = rows.select("id", "h").join(known, "id").select("label", "h").distinct()
+    chosen: dict[int, bool] = {}
     for label, most in ((0, options.clean_rows), (1, options.toxic_rows)):
-        for row in both.filter(F.col("label") == label).orderBy("order", "body").limit(most).collect():
-            out[row["body"]] = bool(label)
-    return list(out), np.array(list(out.values()), bool)
+        for row in keys.filter(F.col("label") == label).orderBy("h").limit(most).collect():
+            chosen[row["h"]] = bool(label)
+    picked = docs.sparkSession.createDataFrame([(h,) for h in chosen], "h long")      # at most all rows of the sample
+    texts = rows.select("h", "body").join(F.broadcast(picked), "h").groupBy("h").agg(F.min("body").alias("body"))
+    found = sorted(texts.collect())
+    return [r["body"] for r in found], np.array([chosen[r["h"]] for r in found], bool)
 
 
 def _runs(hit: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
