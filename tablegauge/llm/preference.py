@@ -90,10 +90,11 @@ def paired_turns(convs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Pairs that name an unknown conversation give no row; a repeated pair gives repeated rows.
     """
-    left = convs.select(F.col("conv").alias("chosen_id"), F.col("turns").alias("c"))
+    # The hash beside the id makes Spark deal both sides out, so that one that is often chosen can be split.
+    left = convs.select(F.xxhash64("conv").alias("h"), F.col("conv").alias("chosen_id"), F.col("turns").alias("c"))
     right = convs.select(F.col("conv").alias("rejected_id"), F.col("turns").alias("r"))
     return (pairs.select(F.col("chosen").alias("chosen_id"), F.col("rejected").alias("rejected_id"))
-            .join(right, "rejected_id").join(left, "chosen_id").select("chosen_id", "rejected_id", "c", "r"))
+            .join(right, "rejected_id").withColumn("h", F.xxhash64("chosen_id")).join(left, ["h", "chosen_id"]).select("chosen_id", "rejected_id", "c", "r"))
 
 
 def format_pairs(both: DataFrame, template: Template = Template()) -> DataFrame:
