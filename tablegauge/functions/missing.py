@@ -9,7 +9,9 @@ round trips to the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+
+from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql import types as T
 
 NUMERIC_TYPES = (
@@ -18,7 +20,14 @@ NUMERIC_TYPES = (
 
 
 def ident(name: str) -> str:
-    """A column by its literal name, dots and backticks included."""
+    """A column by its literal name, dots and backticks included.
+
+    A name that reads like a variable would be replaced when SQL text is parsed, and cannot be written in another
+    way; the session then no longer replaces variables.
+    """
+    session = SparkSession.getActiveSession() if "${" in name else None
+    if session is not None:
+        session.conf.set("spark.sql.variable.substitute", "false")
     return "`" + name.replace("`", "``") + "`"
 
 
@@ -30,6 +39,9 @@ def literal(text: str | None) -> str:
     """A text constant; raw where possible, so that backslashes mean themselves."""
     if text is None:
         return "cast(null as string)"
+    if "${" in text:
+        # In one piece it would be taken for a variable of the session or the process.
+        return "(" + " || ".join(literal(part) for part in re.split(r"(?<=\$)(?=\{)", text)) + ")"
     for quote in ("'", '"'):
         if quote not in text:
             return f"r{quote}{text}{quote}"

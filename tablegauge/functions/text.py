@@ -16,6 +16,7 @@ _DECIMAL = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _INFINITY = r"[+-]?[iI][nN][fF](?:[iI][nN][iI][tT][yY])?"
 _NAN = r"[+-]?[nN][aA][nN]"
 NUMBER_TEXT = rf"\A\s*(?:{_DECIMAL}|{_INFINITY}|{_NAN})\s*\z"
+NAN_TEXT = rf"\A\s*{_NAN}\s*\z"
 INTEGER_TEXT = r"\A\s*[+-]?[0-9]+\s*\z"
 _PLAIN_NUMBER = rf"\A\s*(?:{_DECIMAL}|{_INFINITY})\s*\z"
 _NAN_ONLY = rf"\A{_NAN}\z"
@@ -66,10 +67,8 @@ def compact_key(name: str, dtype: T.DataType) -> str:
     65 bytes and no short value has, so the two kinds cannot be confused.
     """
     c = ident(name)
-    if isinstance(dtype, T.MapType):
-        return _short_or_digest(f"to_json(array_sort(map_entries({c})))")
     if isinstance(dtype, NESTED_TYPES):
-        return _short_or_digest(f"to_json({c}, map('ignoreNullFields', 'false'))")
+        return f"(case when {c} is not null then {_short_or_digest(encoded(c, dtype))} end)"
     if isinstance(dtype, (T.StringType, T.BinaryType)):
         return _short_or_digest(c)
     return value_or_null(name, dtype)
@@ -78,3 +77,31 @@ def compact_key(name: str, dtype: T.DataType) -> str:
 def _short_or_digest(value: str) -> str:
     return (f"(case when octet_length({value}) > {KEY_BYTES} then concat('#', sha2({value}, 256)) "
             f"else cast({value} as string) end)")
+
+
+def encoded(value: str, dtype: T.DataType, depth: int = 0) -> str:
+    """Text that is equal exactly when two values of one type are (SQL), never NULL.
+
+    Texts carry their length, so that parts cannot run into each other; maps are in the order of their entries;
+    both zeros are one value, and so are all NaNs; timestamps keep their microseconds.
+    """
+    x = f"x{depth}"
+    if isinstance(dtype, T.ArrayType):
+        body = f"array_join(transform({value}, {x} -> {encoded(x, dtype.elementType, depth + 1)}), '')"
+        body = f"concat('[', {body}, ']')"
+    elif isinstance(dtype, T.MapType):
+        pair = f"concat({encoded(x + '.key', dtype.keyType, depth + 1)}, {encoded(x + '.value', dtype.valueType, depth + 1)})"
+        body = f"concat('{{', array_join(array_sort(transform(map_entries({value}), {x} -> {pair})), ''), '}}')"
+    elif isinstance(dtype, T.StructType):
+        fields = [encoded(f"{value}.{ident(f.name)}", f.dataType, depth) for f in dtype.fields]
+        body = f"concat('(', {', '.join([*fields, chr(39) + ')' + chr(39)])})"
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        body = f"concat(case when isnan({value}) then 'nan' when {value} = 0 then '0' else cast({value} as string) end, ';')"
+    elif isinstance(dtype, T.TimestampType):
+        body = f"concat(cast(unix_micros({value}) as string), ';')"
+    elif isinstance(dtype, T.BinaryType):
+        body = f"concat(hex({value}), ';')"
+    else:
+        text = f"to_json(struct({value}))" if isinstance(dtype, T.VariantType) else f"cast({value} as string)"
+        body = f"concat(octet_length({text}), ':', {text})"
+    return f"(case when {value} is null then '-' else {body} end)"

@@ -3,7 +3,7 @@
 A check turns an attribute and the rule's parameter into a boolean expression per row: true (satisfied), false
 (violated) or NULL (does not apply).  All checks of a catalogue are evaluated in the same projection, inside
 generated code.  New rule types are added to a copy of `CHECKS`; a check may return SQL text or any Column, so a
-pandas UDF works as well.
+pandas UDF works as well, and the text ``ERROR`` instead of a boolean where it cannot be executed.
 """
 
 from __future__ import annotations
@@ -133,8 +133,11 @@ def violation(rule: Rule) -> str:
 def status_of(cell: Cell, rule: Rule, checks: dict[str, Check] = CHECKS) -> Column:
     """The status of ``rule`` for every row."""
     outcome = checks[rule.rule_type](cell, rule)
-    if isinstance(outcome, Column):
-        return F.when(outcome, PASS).when(~outcome, violation(rule)).otherwise(NOT_APPLICABLE)
+    if checks[rule.rule_type] not in CHECKS.values():
+        # A check of one's own may return booleans, or the text ERROR for a value it cannot be executed on.
+        said = (outcome if isinstance(outcome, Column) else F.expr(outcome)).cast("string")
+        return (F.when(said == "true", PASS).when(said == "false", violation(rule)).when(said == ERROR, ERROR)
+                .otherwise(NOT_APPLICABLE))
     # A range cannot be checked on a present value that is not a number.  Satisfied rows are decided first, so
     # that their number is parsed once.
     failed = (f"when not {cell.missing} and {cell.number} is null then '{ERROR}'"

@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from tablegauge.functions.missing import is_numeric, literal, number
+from tablegauge.functions.missing import is_numeric, number
 from tablegauge.functions.rounding import round_even
-from tablegauge.operators.columns import column_types, empty_frame, name_at, per_column
+from tablegauge.operators.columns import column_types, empty_frame, name_at
 
 # ---------------------------------------------------------------- schemas
 # A schema is a table (column, dtype), see `sources.inference.infer_schema`.
@@ -50,7 +50,8 @@ def has_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 _SEGMENTS = ("c int, n_old bigint, n_new bigint, first double, olds bigint, news bigint, "
              "highest double, lowest double")
-DRIFT_SCHEMA = "column string, ks_statistic double, p_value double, drift_detected boolean"
+DRIFT_SCHEMA = ("column string, n_old bigint, n_new bigint, ks_statistic double, p_value double, "
+                "drift_detected boolean")
 
 
 def _comparable(old: DataFrame, new: DataFrame) -> list[str]:
@@ -72,16 +73,13 @@ def ks_distances(old: DataFrame, new: DataFrame) -> DataFrame:
     columns = _comparable(old, new)
     if not columns:
         return empty_frame(old, "column string, distance double, n_old bigint, n_new bigint")
-    names = f"array({', '.join(map(literal, columns))})"
-    sizes = (
-        _sizes(old, columns, "n_old").join(F.broadcast(_sizes(new, columns, "n_new")), "column")
-        .selectExpr(f"int(array_position({names}, column)) as c", "n_old", "n_new")
-        .where("n_old >= 2 and n_new >= 2")
-    )
     counted = (
         _side(old, columns, 1).unionByName(_side(new, columns, 0)).groupBy("c", "v")
         .agg(F.sum("is_old").alias("olds"), F.count(F.lit(1)).alias("rows"))
     )
+    # From the same counts: Spark shuffles them once for both.
+    sizes = counted.groupBy("c").agg(F.sum("olds").alias("n_old"), F.sum(F.col("rows") - F.col("olds")).alias("n_new"))
+    sizes = sizes.where("n_old >= 2 and n_new >= 2")
     ranged = (
         counted.join(F.broadcast(sizes), "c")                    # one line per column
         .select("c", "v", "olds", (F.col("rows") - F.col("olds")).alias("news"), "n_old", "n_new")
@@ -101,10 +99,6 @@ def ks_distances(old: DataFrame, new: DataFrame) -> DataFrame:
     return distances.selectExpr(f"{name_at(columns, 'c')} as column", "distance", "n_old", "n_new")
 
 
-def _sizes(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    return per_column(df, columns, {name: lambda c, t: f"count({number(c, t)})"}, f"column string, {name} bigint")
-
-
 def _side(df: DataFrame, columns: list[str], is_old: int) -> DataFrame:
     types = column_types(df)
     cells = [f"struct({i + 1} as c, {number(c, types[c])} as v)" for i, c in enumerate(columns)]
@@ -157,10 +151,11 @@ def ks_p_value(distance: Column, n_old: Column, n_new: Column) -> Column:
 def detect_data_drift(old: DataFrame, new: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test for every column that is numeric on both sides.
 
-    Columns with fewer than two values on a side are left out.  The verdict uses the unrounded p-value.
+    ``n_old`` and ``n_new`` say how many values were compared: the p-value is the limiting distribution's, which is
+    rough for a handful.  Columns with fewer than two values on a side are left out.  The verdict uses the unrounded p-value.
     """
     tested = ks_distances(old, new).withColumn(
         "p", ks_p_value(F.col("distance"), F.col("n_old"), F.col("n_new")))
     return tested.select(
-        "column", round_even(F.col("distance"), 4).alias("ks_statistic"),
+        "column", "n_old", "n_new", round_even(F.col("distance"), 4).alias("ks_statistic"),
         round_even(F.col("p"), 4).alias("p_value"), (F.col("p") < F.lit(alpha)).alias("drift_detected"))

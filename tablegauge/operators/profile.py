@@ -7,14 +7,13 @@ cardinality shuffle, and they shuffle keys of bounded width that were combined b
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from tablegauge.functions.lineage import cut_lineage
 from tablegauge.functions.missing import ident, is_numeric, literal, missing, number, number_literal, value_or_null
 from tablegauge.functions.rounding import percent, ratio, round_even
-from tablegauge.functions.text import EMAIL_PATTERN, PHONE_PATTERN, cell_text, compact_key, matches_from_start
+from tablegauge.functions.text import EMAIL_PATTERN, PHONE_PATTERN, cell_text, compact_key, encoded, matches_from_start
 from tablegauge.operators.columns import ROWS, column_types, empty_frame, name_at, name_lines, per_column
 from tablegauge.operators.quantiles import column_quantiles
 from tablegauge.sources.summary import bytes_of
@@ -66,12 +65,11 @@ def completeness(counts: DataFrame) -> DataFrame:
 def duplicate_detection(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row, one row with the count and the percentage.
 
-    Grouping combines equal rows before the shuffle, so many copies of one row travel as one; long text
-    travels as its digest.
+    A row travels as one digest of 32 bytes, however wide it is; grouping combines equal ones before the shuffle.
     """
-    keys = [f"k{i}" for i in range(len(df.columns))]
-    keyed = df.selectExpr(*[f"{compact_key(c, t)} as {k}" for k, (c, t) in zip(keys, column_types(df).items())])
-    groups = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    cells = [encoded(value_or_null(c, t), t) for c, t in column_types(df).items()]
+    row = f"unhex(sha2(concat({', '.join(cells)}), 256))" if cells else "cast('' as binary)"
+    groups = df.selectExpr(f"{row} as row_key").groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
     counts = groups.agg(
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"),
         F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
@@ -83,8 +81,8 @@ def duplicate_detection(df: DataFrame) -> DataFrame:
 def cardinality_analysis(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct present values per column and their ratio to all rows.
 
-    Exact by default: the columns are stacked per value type and counted by a two-level grouping, the first
-    level of which combines before it shuffles.  ``approximate=True`` uses one sketch per column instead and
+    Exact by default: one scan stacks the columns, a field for each value type, and a two-level grouping counts
+    them, the first level of which combines before it shuffles.  ``approximate=True`` uses one sketch per column instead and
     does not shuffle any values.
     """
     if approximate:
@@ -98,18 +96,22 @@ def cardinality_analysis(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def _exact_cardinality(df: DataFrame) -> DataFrame:
-    stacked = []
-    for family, keys in _value_families(df).items():
-        cells = [f"struct({i + 1} as c, cast({key} as {family}) as value)" for i, key in enumerate(keys.values())]
-        values = df.selectExpr(f"inline(array({', '.join(cells)}))").groupBy("c", "value").agg(
-            F.count(F.lit(1)).alias("rows"))
-        counts = values.groupBy("c").agg(F.count("value").alias("unique_count"), F.sum("rows").alias("n_rows"))
-        stacked.append(counts.selectExpr(f"{name_at(list(keys), 'c')} as column", "unique_count", "n_rows"))
-    if not stacked:
+    if not df.columns:
         return empty_frame(df, "column string, unique_count bigint, n_rows bigint")
-    counted = reduce(DataFrame.unionByName, stacked)
+    families = _value_families(df)
+    fields = {family: f"v{i}" for i, family in enumerate(families)}
+    cells = []
+    for family, keys in families.items():
+        for name, key in keys.items():
+            values = [f"cast({key if family == f else 'null'} as {f}) as {v}" for f, v in fields.items()]
+            cells.append(f"struct({len(cells) + 1} as c, {', '.join(values)})")
+    names = [name for keys in families.values() for name in keys]
+    values = df.selectExpr(f"inline(array({', '.join(cells)}))").groupBy("c", *fields.values()).agg(
+        F.count(F.lit(1)).alias("rows"))
+    present = " or ".join(f"{v} is not null" for v in fields.values())
+    counts = values.groupBy("c").agg(F.expr(f"count_if({present})").alias("unique_count"), F.sum("rows").alias("n_rows"))
     # A table without rows still has one line per column; either side has one line per column.
-    counted = F.broadcast(reduce(DataFrame.unionByName, stacked))
+    counted = F.broadcast(counts.selectExpr(f"{name_at(names, 'c')} as column", "unique_count", "n_rows"))
     return name_lines(df, df.columns).join(counted, "column", "left").select(
         "column", F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
         F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
@@ -211,7 +213,9 @@ def iqr_outliers(numbers: DataFrame, quartiles: dict[str, tuple[float, float]])
     def test(column: str) -> str:
         q1, q3 = quartiles[column]
         spread, v = 1.5 * (q3 - q1), ident(column)
-        return f"{v} < {number_literal(q1 - spread)} or {v} > {number_literal(q3 + spread)}"
+        tests = [f"{v} {sign} {number_literal(limit)}" for sign, limit in (("<", q1 - spread), (">", q3 + spread))
+                 if limit == limit]                                  # infinite quartiles may leave no limit
+        return " or ".join(tests) or "false"
     return _count_outliers(numbers, [c for c in numbers.columns if c in quartiles], test)
 
 
@@ -224,7 +228,8 @@ def zscore_outliers(numbers: DataFrame) -> DataFrame:
 
     def test(column: str) -> str:
         mean, deviation = moments[column]
-        if deviation == 0:
+        # With an infinity among the values nothing is a number of deviations away.
+        if deviation == 0 or mean != mean or deviation != deviation:
             return "false"
         return f"abs(({ident(column)} - {number_literal(mean)}) / {number_literal(deviation)}) > 3.0D"
     return _count_outliers(numbers, [c for c in numbers.columns if c in moments], test)
@@ -283,12 +288,16 @@ def statistics_of(facts: DataFrame, medians: dict[str, float]) -> DataFrame:
 # ---------------------------------------------------------------- scores
 
 def column_health(nulls: DataFrame, outliers: DataFrame) -> DataFrame:
-    """Health per column from its rounded missing and outlier percentages (weights 0.7 and 0.3)."""
-    penalty = (F.coalesce("null_pct", F.lit(0.0)) * F.lit(0.7)
+    """Health per column from its rounded missing and outlier percentages (weights 0.7 and 0.3).
+
+    NULL for a table without rows.
+    """
+    penalty = (F.col("null_pct") * F.lit(0.7)
                + F.coalesce("outlier_pct", F.lit(0.0)) * F.lit(0.3))
     joined = nulls.join(F.broadcast(outliers), "column", "left")      # one row per column on either side
     return joined.select(
-        "column", round_even(F.greatest(F.lit(100.0) - penalty, F.lit(0.0)), 2).alias("health_score"))
+        "column", F.when(F.col("null_pct").isNotNull(), round_even(
+            F.greatest(F.lit(100.0) - penalty, F.lit(0.0)), 2)).alias("health_score"))
 
 
 def column_health_score(df: DataFrame) -> DataFrame:
@@ -297,13 +306,12 @@ def column_health_score(df: DataFrame) -> DataFrame:
 
 def quality_score(completeness: Column, duplicate_pct: Column, average_health: Column) -> Column:
     """Weighted blend of completeness, absence of duplicates and average column health."""
-    health = F.coalesce(average_health, F.lit(100.0))
     return round_even(
-        completeness * F.lit(0.4) + (F.lit(100.0) - duplicate_pct) * F.lit(0.2) + health * F.lit(0.4), 2)
+        completeness * F.lit(0.4) + (F.lit(100.0) - duplicate_pct) * F.lit(0.2) + average_health * F.lit(0.4), 2)
 
 
 def overall_quality_score(df: DataFrame) -> DataFrame:
-    """The table's quality from 0 to 100, one row."""
+    """The table's quality from 0 to 100, one row; NULL for a table without rows."""
     counts = cut_lineage(missing_counts(df))                   # one line per column, used twice
     health = column_health(null_shares(counts), outlier_detection(df))
     return blend_quality(completeness(counts), duplicate_detection(df), health)

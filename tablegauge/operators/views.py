@@ -4,28 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Wider tables show the worst columns only.
-WIDE_TABLE = 15
-WORST_SHOWN = 20
 
-
-def worst_columns(measures: DataFrame, measure: str, ascending: bool, n_columns: int,
-                  n: int = WORST_SHOWN) -> DataFrame:
-    """The ``n`` worst of ``n_columns`` measured columns; all of them, in order, if the table is not wide."""
+def worst_columns(measures: DataFrame, measure: str, ascending: bool, n: int | None = None) -> DataFrame:
+    """The measured columns, worst first: the ``n`` worst, or all of them."""
     ranked = measures.orderBy(F.asc(measure) if ascending else F.desc(measure), F.asc("column"))
-    return ranked.limit(n) if n_columns > WIDE_TABLE else ranked
+    return ranked if n is None else ranked.limit(n)
 
 
-def worst_health(health: DataFrame, n_columns: int, n: int = WORST_SHOWN) -> DataFrame:
-    return worst_columns(health, "health_score", True, n_columns, n)
+def worst_health(health: DataFrame, n: int | None = None) -> DataFrame:
+    return worst_columns(health, "health_score", True, n)
 
 
-def worst_nulls(nulls: DataFrame, n_columns: int, n: int = WORST_SHOWN) -> DataFrame:
-    return worst_columns(nulls, "null_pct", False, n_columns, n)
+def worst_nulls(nulls: DataFrame, n: int | None = None) -> DataFrame:
+    return worst_columns(nulls, "null_pct", False, n)
 
 
-def worst_outliers(outliers: DataFrame, n_columns: int, n: int = WORST_SHOWN) -> DataFrame:
-    return worst_columns(outliers, "outlier_pct", False, n_columns, n)
+def worst_outliers(outliers: DataFrame, n: int | None = None) -> DataFrame:
+    return worst_columns(outliers, "outlier_pct", False, n)
 
 
 def quality_trend(runs: DataFrame) -> DataFrame:
@@ -36,4 +31,5 @@ def quality_trend(runs: DataFrame) -> DataFrame:
 
 
 def dimension_profile(summary: DataFrame) -> DataFrame:
-    return summary.orderBy("dimension")
+    """The dimension summary as a view; it is sorted already."""
+    return summary

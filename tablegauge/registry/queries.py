@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablegauge.functions.rounding import round_even
 from tablegauge.operators import catalog as c, drift, forecast, profile as p, results as r, views as v
 from tablegauge.operators.catalog import Rule, customer_rules
+from tablegauge.operators.checks import CHECKS
 from tablegauge.operators.rules import apply_rules, rule_rollup
 from tablegauge.plans.profile import run_full_profile
 from tablegauge.registry import inputs as i
@@ -33,6 +34,10 @@ ORDER_RULES = [
     Rule("ORD-005", "Consistency", "Known status", "o_orderstatus", "ENUM", '["F", "O"]', "WARNING"),
     Rule("ORD-006", "Validity", "Priority format", "o_orderpriority", "REGEX", r"^[1-4]-[A-Z]+$", "ERROR"),
 ]
+# Text that reads like a variable of the process is text like any other.
+DOLLAR_REGION = Rule("X-003", "Validity", "Region as written", "region", "ENUM", '["${env:HOME}", "South"]', "ERROR")
+OWN_CHECK = Rule("X-004", "Validity", "Even age", "age", "EVEN", None, "ERROR")
+UNIQUE_VECTOR = Rule("EMB-001", "Uniqueness", "Vector unique", "embedding", "UNIQUE", None, "ERROR")
 UNIQUE_TEXT = Rule("DOC-001", "Uniqueness", "Text Unique", "text", "UNIQUE", None, "ERROR")
 
 
@@ -92,6 +97,26 @@ def _all_results(df: DataFrame) -> DataFrame:
     return apply_rules(df, customer_rules(), ["customer_id"])
 
 
+def _even(cell, rule) -> str:
+    """A check of one's own: NULL where there is no age, ERROR where it is not a number."""
+    number = f"try_cast({cell.text} as bigint)"
+    return (f"case when {cell.missing} then null when {number} is null then 'ERROR' "
+            f"else cast({number} % 2 = 0 as string) end")
+
+
+def _dollar_regions(df: DataFrame) -> DataFrame:
+    written = df.withColumn("region", F.when(F.col("region") == "North", F.lit("${env:HOME}")).otherwise(F.col("region")))
+    return apply_rules(written, [DOLLAR_REGION], ["customer_id"])
+
+
+def _no_results(df: DataFrame) -> DataFrame:
+    """The summaries of a catalogue that has no rule for the table."""
+    results = apply_rules(df, [], ["customer_id"])
+    return r.overall_rule_score(results).unionByName(
+        r.exception_totals(results), allowMissingColumns=True).unionByName(
+        r.summarize_by_dimension(results), allowMissingColumns=True)
+
+
 def _rollup(df: DataFrame) -> DataFrame:
     return rule_rollup(df, customer_rules())
 
@@ -119,8 +144,28 @@ def _full_profile(df: DataFrame) -> DataFrame:
     return lines
 
 
+def _with_infinities(df: DataFrame) -> DataFrame:
+    """Account balances with infinities: one in a hundred, or in most rows."""
+    return df.selectExpr(
+        "case when c_custkey % 100 = 1 then double('Infinity') else c_acctbal end as few",
+        "case when c_custkey % 4 > 0 then double('Infinity') else c_acctbal end as many")
+
+
 # ---------------------------------------------------------------- history and forecasts
 
+def _run_line(df: DataFrame) -> DataFrame:
+    return h.run_line(run_full_profile(df))
+
+
+def _snapshot_line(spark: SparkSession, sf: str) -> DataFrame:
+    return h.snapshot_line(_inferred(i.dirty_customers(spark, sf)), "customers")
+
+
+def _run_history_by_id(df: DataFrame) -> DataFrame:
+    """The runs of the dataset whose fingerprint sorts first."""
+    return h.get_run_history(df, dataset_id=df.agg(F.min("dataset_id")).first()[0])
+
+
 def _metric_history(spark: SparkSession, sf: str) -> DataFrame:
     return h.get_column_metric_history(
         i.derived(spark, sf, i.METRICS, "events"), i.derived(spark, sf, i.RUNS, "events"))
@@ -144,6 +189,8 @@ def registered() -> dict[str, Query]:
         "infer_types": _dirty(_inferred),
         "infer_types_lineitem": _on("lineitem", _inferred),
         "exact_sample": _on("orders", lambda df: exact_sample(df, SAMPLE_ROWS, ["o_orderkey"])),
+        "exact_sample_most": lambda spark, sf: exact_sample(
+            i.table(spark, sf, "orders"), i.table(spark, sf, "orders").count() * 3 // 5, ["o_orderkey"]),
         "dataset_summary": _dirty(_summary),
         "dataset_summary_documents": _on("documents", _summary),
         "schema_fingerprint": _fingerprints,
@@ -164,6 +211,12 @@ def registered() -> dict[str, Query]:
         # rule execution and summaries
         "rule_results": _dirty(_all_results),
         "rule_missing_column": _apply([MISSING_ATTRIBUTE, *_rules_of("LENGTH")]),
+        "rule_enum_dollar": _dirty(_dollar_regions),
+        "rule_custom_error": _dirty(lambda df: apply_rules(df, [OWN_CHECK], ["customer_id"], {**CHECKS, "EVEN": _even})),
+        "rule_unique_embeddings": _on("embeddings", lambda df: r.exception_totals(
+            apply_rules(df.unionAll(df.where("vec_id % 7 = 0")), [UNIQUE_VECTOR], ["vec_id"]))),
+        "rule_results_numbered": _on("orders", lambda df: r.exception_totals(apply_rules(df, ORDER_RULES))),
+        "summary_of_nothing": _dirty(_no_results),
         "rule_unknown_type": _apply([UNKNOWN_TYPE, *_rules_of("LENGTH")]),
         "dimension_summary": _dirty(lambda df: r.summarize_by_dimension(_rollup(df))),
         "exceptions": _dirty(lambda df: r.get_exceptions(_all_results(df))),
@@ -177,6 +230,9 @@ def registered() -> dict[str, Query]:
         "null_analysis": _dirty(p.null_analysis),
         "duplicate_rows": _dirty(p.duplicate_detection),
         "duplicate_rows_lineitem": _on("lineitem", p.duplicate_detection),
+        "duplicate_rows_embeddings": _on("embeddings", lambda df: p.duplicate_detection(
+            df.unionAll(df.where("vec_id % 7 = 0")))),
+        "cardinality_embeddings": _on("embeddings", p.cardinality_analysis),
         "cardinality": _dirty(p.cardinality_analysis),
         "cardinality_lineitem": _on("lineitem", p.cardinality_analysis),
         "cardinality_documents": _on("documents", p.cardinality_analysis),
@@ -188,6 +244,10 @@ def registered() -> dict[str, Query]:
         "outliers_iqr_documents": _on("documents", p.outlier_detection),
         "outliers_zscore": _dirty(lambda df: p.outlier_detection(df, "zscore")),
         "outliers_zscore_documents": _on("documents", lambda df: p.outlier_detection(df, "zscore")),
+        "outliers_zscore_infinite": _on(
+            "customer", lambda df: p.outlier_detection(_with_infinities(df), "zscore")),
+        "outliers_iqr_infinite": _on("customer", lambda df: p.outlier_detection(_with_infinities(df))),
+        "overall_quality_empty": _on("customer", lambda df: p.overall_quality_score(df.where("c_custkey < 0"))),
         "completeness": _dirty(p.completeness_score),
         "column_health": _dirty(p.column_health_score),
         "overall_quality": _dirty(p.overall_quality_score),
@@ -203,6 +263,9 @@ def registered() -> dict[str, Query]:
         "ks_drift_orders": lambda spark, sf: drift.detect_data_drift(*i.orders_by_date(spark, sf)),
         # history
         "column_metrics": _dirty(_column_metrics),
+        "run_line": _dirty(_run_line),
+        "snapshot_line": _snapshot_line,
+        "run_history_by_id": _derived(i.RUNS, "events", _run_history_by_id),
         "run_history": _derived(i.RUNS, "events", lambda df: h.get_run_history(df, "set-1")),
         "column_metric_history": _metric_history,
         "latest_schema": _derived(i.SNAPSHOTS, "events", h.get_latest_schema),
@@ -220,10 +283,10 @@ def registered() -> dict[str, Query]:
             i.COLUMN_HISTORY, "events",
             lambda df: forecast.predict_columns_likely_to_fail(df, HEALTH_THRESHOLD)),
         # views
-        "worst_health": _wide(lambda df: v.worst_health(p.column_health_score(df), len(df.columns), WORST)),
-        "worst_nulls": _wide(lambda df: v.worst_nulls(p.null_analysis(df), len(df.columns), WORST)),
-        "worst_outliers": _wide(
-            lambda df: v.worst_outliers(p.outlier_detection(df), len(p.numeric_columns(df)), WORST)),
+        "worst_health": _wide(lambda df: v.worst_health(p.column_health_score(df), WORST)),
+        "worst_health_all": _wide(lambda df: v.worst_health(p.column_health_score(df))),
+        "worst_nulls": _wide(lambda df: v.worst_nulls(p.null_analysis(df), WORST)),
+        "worst_outliers": _wide(lambda df: v.worst_outliers(p.outlier_detection(df), WORST)),
         "quality_trend": _derived(i.RUNS, "events", v.quality_trend),
         "dimension_profile": _dirty(lambda df: v.dimension_profile(r.summarize_by_dimension(_rollup(df)))),
     }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from tablegauge.operators.catalog import CUSTOMER_RULES
 from tablegauge.registry import inputs as i
 from tablegauge.registry.queries import (
-    FIRST_RULES, HEALTH_THRESHOLD, MISSING_ATTRIBUTE, ORDER_RULES, SAMPLE_ROWS, UNIQUE_TEXT, UNKNOWN_TYPE, WORST,
+    DOLLAR_REGION, FIRST_RULES, HEALTH_THRESHOLD, MISSING_ATTRIBUTE, ORDER_RULES, OWN_CHECK, SAMPLE_ROWS, UNIQUE_TEXT,
+    UNKNOWN_TYPE, WORST,
 )
 from tablegauge.sources.inference import FALSE_TOKENS, MISSING_TOKENS, TRUE_TOKENS
 
@@ -16,6 +17,8 @@ LINEITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_q
 LINEITEM_COLUMNS = LINEITEM_NUMBERS + ["l_returnflag", "l_linestatus", "l_shipdate"]
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 DIRTY_NUMBERS = ["customer_id", "acctbal"]
+DIRTY_TYPES = ", ".join(f"('{c}', '{t}')" for c, t in zip(
+    i.DIRTY_COLUMNS, ["bigint", "string", "string", "string", "string", "string", "double"]))
 WIDE_NUMBERS = DIRTY_NUMBERS + [f"m{k}" for k in range(16)]
 
 DIRTY = ("base AS (" + i.DIRTY_BASE.format(customer="customer") + "), dirty AS ("
@@ -132,6 +135,11 @@ def outcome(rule_id: str) -> str:
             f"WHEN {passed} THEN 'PASS' ELSE {bad} END")
 
 
+def labels(rule) -> str:
+    return ", ".join(f"{text(getattr(rule, name))} AS {name}"
+                     for name in ("rule_id", "rule_name", "dimension", "attribute", "severity"))
+
+
 def rule_lines(*types: str) -> str:
     """Long results of the customer rules of the given types over `dirty`."""
     parts = []
@@ -269,11 +277,11 @@ def ks(table: str, is_old: str, columns: list[str]) -> str:
             FROM counted WINDOW w AS (PARTITION BY c ORDER BY v)),
  gaps AS (SELECT c, na, nb, max(abs(fa / na - fb / nb)) AS d, round_even(na * nb / (na + nb), 0) AS n
           FROM summed JOIN sizes USING (c) WHERE na >= 2 AND nb >= 2 GROUP BY c, na, nb),
- scaled AS (SELECT c, d, sqrt(n) * d + 1e0 / (6e0 * sqrt(n)) + (sqrt(n) * d - 1e0) / (4e0 * n) AS x FROM gaps),
- tested AS (SELECT c, d, CASE WHEN d <= 0 OR x < 0.2 THEN 1e0 ELSE least(greatest(list_sum(list_transform(
+ scaled AS (SELECT c, na, nb, d, sqrt(n) * d + 1e0 / (6e0 * sqrt(n)) + (sqrt(n) * d - 1e0) / (4e0 * n) AS x FROM gaps),
+ tested AS (SELECT c, na, nb, d, CASE WHEN d <= 0 OR x < 0.2 THEN 1e0 ELSE least(greatest(list_sum(list_transform(
    range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2e0 ELSE -2e0 END) * exp(-2e0 * k * k * x * x))), 0e0), 1e0) END AS p
    FROM scaled)
-SELECT c AS "column", {rounded('d', 4)} AS ks_statistic, {rounded('p', 4)} AS p_value, p < 0.05 AS drift_detected
+SELECT c AS "column", CAST(na AS BIGINT) AS n_old, CAST(nb AS BIGINT) AS n_new, {rounded('d', 4)} AS ks_statistic, {rounded('p', 4)} AS p_value, p < 0.05 AS drift_detected
 FROM tested"""
 
 
@@ -303,6 +311,8 @@ def oracles() -> dict[str, str]:
         "infer_types_lineitem": inferred("lineitem", LINEITEM_COLUMNS),
         "exact_sample": (f"SELECT * FROM orders ORDER BY md5(concat(CAST(o_orderkey AS VARCHAR), '-42')), o_orderkey "
                          f"LIMIT {SAMPLE_ROWS}"),
+        "exact_sample_most": ("SELECT * FROM orders ORDER BY md5(concat(CAST(o_orderkey AS VARCHAR), '-42')), o_orderkey "
+                              "LIMIT (SELECT CAST(count(*) AS BIGINT) * 3 // 5 FROM orders)"),
         "dataset_summary": f"WITH {DIRTY} {summary('dirty', i.DIRTY_COLUMNS, DIRTY_NUMBERS)}",
         "dataset_summary_documents": summary("documents", DOCUMENT_COLUMNS, ["doc_id", "n_chars"]),
         "schema_fingerprint": fingerprint(),
@@ -324,6 +334,26 @@ FROM documents""",
         "rule_not_repeated_digits": f"WITH {DIRTY} {rule_lines('NOT_REPEATED_DIGITS')}",
         "rule_results": f"{RESULTS} SELECT * FROM results",
         "rule_missing_column": (f"WITH {DIRTY} " + union([length_lines, single_line(MISSING_ATTRIBUTE, "NOT_APPLICABLE")])),
+        "rule_enum_dollar": f"""WITH {DIRTY}, written AS (SELECT customer_id,
+   CASE WHEN region = 'North' THEN '${{env:HOME}}' ELSE region END AS region FROM dirty)
+SELECT CAST(customer_id AS VARCHAR) AS row_index, CAST(customer_id AS VARCHAR) AS record_id, {labels(DOLLAR_REGION)},
+ CASE WHEN region IN ('${{env:HOME}}', 'South') THEN 'PASS' ELSE 'FAIL' END AS status, region AS value FROM written""",
+        "rule_custom_error": f"""WITH {DIRTY}
+SELECT CAST(customer_id AS VARCHAR) AS row_index, CAST(customer_id AS VARCHAR) AS record_id, {labels(OWN_CHECK)},
+ CASE WHEN age IS NULL THEN 'NOT_APPLICABLE' WHEN TRY_CAST(age AS BIGINT) IS NULL THEN 'ERROR'
+      WHEN TRY_CAST(age AS BIGINT) % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS status, age AS value FROM dirty""",
+        "rule_unique_embeddings": """WITH twice AS (SELECT * FROM embeddings UNION ALL
+   SELECT * FROM embeddings WHERE vec_id % 7 = 0),
+ counted AS (SELECT vec_id, count(*) OVER (PARTITION BY embedding) AS n FROM twice)
+SELECT count(*) AS violations, count(DISTINCT vec_id) AS records FROM counted WHERE n > 1""",
+        "rule_results_numbered": f"""{order_results()}, numbered AS (SELECT count(*) AS violations FROM ({EXCEPTIONS}) e),
+ failing AS (SELECT DISTINCT record_id FROM ({EXCEPTIONS}) e)
+SELECT violations, (SELECT count(*) FROM failing) AS records FROM numbered""",
+        "summary_of_nothing": """SELECT CAST(0 AS BIGINT) AS rules_executed, CAST(0 AS BIGINT) AS passed,
+ CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS warnings, CAST(0 AS BIGINT) AS critical_issues,
+ CAST(NULL AS BIGINT) AS violations, CAST(NULL AS BIGINT) AS records, CAST(NULL AS VARCHAR) AS dimension,
+ CAST(NULL AS DOUBLE) AS pass_rate_pct, CAST(NULL AS BIGINT) AS total_checks
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 0, 0, NULL, NULL, NULL""",
         "rule_unknown_type": f"WITH {DIRTY} " + union([length_lines, single_line(UNKNOWN_TYPE, "ERROR")]),
         "dimension_summary": DIMENSIONS,
         "exceptions": f"{RESULTS} {EXCEPTIONS} ORDER BY severity, rule_id, record_id",
@@ -338,6 +368,9 @@ FROM ({EXCEPTIONS}) e""",
         "null_analysis": f"WITH {DIRTY} {nulls('dirty', i.DIRTY_COLUMNS)}",
         "duplicate_rows": f"WITH {DIRTY}, {duplicates('dirty', i.DIRTY_COLUMNS)}",
         "duplicate_rows_lineitem": f"WITH {duplicates('lineitem', LINEITEM_COLUMNS)}",
+        "duplicate_rows_embeddings": ("WITH twice AS (SELECT * FROM embeddings UNION ALL SELECT * FROM embeddings "
+                                      f"WHERE vec_id % 7 = 0), {duplicates('twice', ['vec_id', 'embedding', 'label'])}"),
+        "cardinality_embeddings": cardinality("embeddings", ["vec_id", "embedding", "label"]),
         "cardinality": f"WITH {DIRTY} {cardinality('dirty', i.DIRTY_COLUMNS)}",
         "cardinality_lineitem": cardinality("lineitem", LINEITEM_COLUMNS),
         "cardinality_documents": cardinality("documents", DOCUMENT_COLUMNS),
@@ -354,6 +387,12 @@ UNION ALL SELECT 'phone', 'phone', {pct(
         "outliers_iqr_documents": outliers("documents", ["doc_id", "n_chars"]),
         "outliers_zscore": f"WITH {DIRTY} {outliers('dirty', DIRTY_NUMBERS, 'zscore')}",
         "outliers_zscore_documents": outliers("documents", ["doc_id", "n_chars"], "zscore"),
+        "outliers_zscore_infinite": """SELECT 'few' AS "column", CAST(0 AS BIGINT) AS outlier_count, 0.0e0 AS outlier_pct
+FROM customer HAVING count(c_acctbal) > 0 UNION ALL SELECT 'many', 0, 0.0e0 FROM customer HAVING count(c_acctbal) > 0""",
+        "outliers_iqr_infinite": f"""WITH x AS (
+ SELECT CASE WHEN c_custkey % 100 = 1 THEN CAST('Infinity' AS DOUBLE) ELSE c_acctbal END AS few FROM customer)
+{outliers('x', ['few'])} UNION ALL SELECT 'many', 0, 0.0e0 FROM customer HAVING count(*) > 0""",
+        "overall_quality_empty": "SELECT CAST(NULL AS DOUBLE) AS quality_score",
         "completeness": f"WITH {DIRTY} {completeness('dirty', i.DIRTY_COLUMNS)}",
         "column_health": (f"WITH {DIRTY}, {health('dirty', i.DIRTY_COLUMNS, DIRTY_NUMBERS)} "
                           f"SELECT {q}, health_score FROM health"),
@@ -375,6 +414,21 @@ FROM filled f, dup, (SELECT avg(health_score) AS average FROM health) h""",
                               ["o_orderkey", "o_custkey", "o_totalprice"]),
         "column_metrics": (f"WITH {DIRTY}, {health('dirty', i.DIRTY_COLUMNS, DIRTY_NUMBERS)} "
                            f"SELECT {q} AS column_name, null_pct, outlier_pct, health_score FROM health"),
+        "run_line": f"""WITH {DIRTY}, {health('dirty', i.DIRTY_COLUMNS, DIRTY_NUMBERS)},
+ filled AS ({completeness('dirty', i.DIRTY_COLUMNS)}), {duplicates('dirty', i.DIRTY_COLUMNS).replace(
+            ' SELECT n - m', ', dup AS (SELECT n - m', 1)}),
+ types("column", dtype) AS (VALUES {DIRTY_TYPES})
+SELECT (SELECT count(*) FROM dirty) AS row_count, CAST({len(i.DIRTY_COLUMNS)} AS INT) AS column_count,
+ {rounded("f.completeness_pct * 0.4e0 + (100 - dup.duplicate_pct) * 0.2e0 + h.average * 0.4e0", 2)} AS quality_score,
+ f.completeness_pct, dup.duplicate_pct, h.nulls AS avg_null_pct,
+ (SELECT substring(sha256('{{' || string_agg('"' || "column" || '": "' || dtype || '"', ', ' ORDER BY "column") || '}}'),
+         1, 12) FROM types) AS dataset_id
+FROM filled f, dup, (SELECT avg(health_score) AS average, {rounded('avg(null_pct)', 2)} AS nulls FROM health) h""",
+        "snapshot_line": f"""WITH {DIRTY}, seen AS ({inferred('dirty', i.DIRTY_COLUMNS)}),
+ line AS (SELECT '{{' || string_agg('"' || "column" || '": "' || dtype || '"', ', ' ORDER BY "column") || '}}' AS schema_json
+          FROM seen)
+SELECT 'customers' AS dataset_name, substring(sha256(schema_json), 1, 12) AS dataset_id, schema_json FROM line""",
+        "run_history_by_id": (f"WITH {RUNS} SELECT * FROM runs WHERE dataset_id = (SELECT min(dataset_id) FROM runs)"),
         "run_history": f"WITH {RUNS} SELECT * FROM runs WHERE dataset_name = 'set-1' ORDER BY run_timestamp",
         "column_metric_history": f"""WITH {RUNS}, {METRICS}
 SELECT r.run_timestamp, r.dataset_name, r.dataset_id, m.column_name, m.null_pct, m.outlier_pct, m.health_score
@@ -396,6 +450,8 @@ SELECT column_name AS {q}, {rounded('last_value', 2)} AS current_health_score,
  {predicted(1)} AS predicted_next_health_score, {predicted(1)} < {HEALTH_THRESHOLD} AS at_risk FROM trends""",
         "worst_health": (f"WITH {WIDE}, {health('wide', i.WIDE_COLUMNS, WIDE_NUMBERS)} "
                          f"SELECT {q}, health_score FROM health ORDER BY health_score, {q} LIMIT {WORST}"),
+        "worst_health_all": (f"WITH {WIDE}, {health('wide', i.WIDE_COLUMNS, WIDE_NUMBERS)} "
+                             f"SELECT {q}, health_score FROM health"),
         "worst_nulls": (f"WITH {WIDE}, {health('wide', i.WIDE_COLUMNS, WIDE_NUMBERS)} "
                         f"SELECT * FROM nulls ORDER BY null_pct DESC, {q} LIMIT {WORST}"),
         "worst_outliers": (f"WITH {WIDE}, {health('wide', i.WIDE_COLUMNS, WIDE_NUMBERS)} "

@@ -86,12 +86,10 @@ class History:
     def save_schema_snapshot(self, dataset_name: str, schema: DataFrame, dataset_label: str | None = None,
                              at: datetime | None = None) -> None:
         """Append a schema ``(column, dtype)`` with its fingerprint."""
-        named = schema.withColumn("dataset", F.lit(dataset_name))
-        text = schema_json(named).join(schema_fingerprint(named), "dataset")
-        self._append(text.select(
+        self._append(snapshot_line(schema, dataset_name).select(
             "dataset_id", F.lit(dataset_label or dataset_name).alias("dataset_label"),
             F.lit(at or datetime.now(timezone.utc)).cast("timestamp").alias("snapshot_timestamp"),
-            "schema_json", F.col("dataset").alias("dataset_name"),
+            "schema_json", "dataset_name",
         ), SNAPSHOTS, SNAPSHOTS_SCHEMA)
 
 
@@ -109,6 +107,13 @@ def run_line(profile) -> DataFrame:
     return parts.agg(*[F.max(c).alias(c) for c in names])
 
 
+def snapshot_line(schema: DataFrame, dataset_name: str) -> DataFrame:
+    """``(dataset_name, dataset_id, schema_json)`` of a schema ``(column, dtype)``."""
+    named = schema.withColumn("dataset", F.lit(dataset_name))
+    return schema_json(named).join(schema_fingerprint(named), "dataset").select(
+        F.col("dataset").alias("dataset_name"), "dataset_id", "schema_json")
+
+
 def column_metrics(nulls: DataFrame, outliers: DataFrame, health: DataFrame) -> DataFrame:
     """``(column_name, null_pct, outlier_pct, health_score)``; columns without outliers have 0.0."""
     return (
@@ -121,15 +126,22 @@ def column_metrics(nulls: DataFrame, outliers: DataFrame, health: DataFrame) ->
 
 # ---------------------------------------------------------------- queries
 
-def get_run_history(runs: DataFrame, dataset_name: str) -> DataFrame:
-    return runs.where(F.col("dataset_name") == F.lit(dataset_name)).orderBy("run_timestamp")
+def _of(df: DataFrame, dataset_name: str | None, dataset_id: str | None) -> DataFrame:
+    """Lines of a dataset by its name, by the fingerprint of its schema, by both, or all of them."""
+    for column, value in (("dataset_name", dataset_name), ("dataset_id", dataset_id)):
+        if value is not None:
+            df = df.where(F.col(column) == F.lit(value))
+    return df
+
 
+def get_run_history(runs: DataFrame, dataset_name: str | None = None, dataset_id: str | None = None) -> DataFrame:
+    return _of(runs, dataset_name, dataset_id).orderBy("run_timestamp")
 
-def get_column_metric_history(metrics: DataFrame, runs: DataFrame, dataset_name: str | None = None) -> DataFrame:
+
+def get_column_metric_history(metrics: DataFrame, runs: DataFrame, dataset_name: str | None = None,
+                              dataset_id: str | None = None) -> DataFrame:
     """Metrics with the time of their run, oldest first; of one dataset, or of all."""
-    if dataset_name is not None:
-        metrics = metrics.where(F.col("dataset_name") == F.lit(dataset_name))
-        runs = runs.where(F.col("dataset_name") == F.lit(dataset_name))
+    metrics, runs = _of(metrics, dataset_name, None), _of(runs, dataset_name, dataset_id)
     timed = runs.select("run_id", "run_timestamp", "dataset_name", "dataset_id")
     return (
         metrics.drop("dataset_name").join(timed, "run_id")
@@ -139,19 +151,23 @@ def get_column_metric_history(metrics: DataFrame, runs: DataFrame, dataset_name:
     )
 
 
-def get_latest_schema(snapshots: DataFrame) -> DataFrame:
-    """``(dataset_name, schema_json)`` of the newest snapshot of every dataset."""
-    return snapshots.groupBy("dataset_name").agg(
+def get_latest_schema(snapshots: DataFrame, dataset_name: str | None = None,
+                      dataset_id: str | None = None) -> DataFrame:
+    """``(dataset_name, schema_json)`` of the newest snapshot of every dataset, or of one."""
+    return _of(snapshots, dataset_name, dataset_id).groupBy("dataset_name").agg(
         F.max_by("schema_json", F.struct("snapshot_timestamp", "schema_json")).alias("schema_json"))
 
 
-def list_known_datasets(runs: DataFrame) -> DataFrame:
-    """Every dataset with the label of its last run, when that was, and how many runs there are; newest first."""
-    return runs.groupBy("dataset_name").agg(
+def list_known_datasets(runs: DataFrame, by: str = "dataset_name") -> DataFrame:
+    """Every dataset with the label of its last run, when that was, and how many runs there are; newest first.
+
+    ``by="dataset_id"`` tells datasets apart by the fingerprint of their schema.
+    """
+    return runs.groupBy(by).agg(
         F.max_by("dataset_label", F.struct("run_timestamp", "dataset_label")).alias("dataset_label"),
         F.max("run_timestamp").alias("last_run"),
         F.count(F.lit(1)).alias("run_count"),
-    ).orderBy(F.desc("last_run"), F.asc("dataset_name"))
+    ).orderBy(F.desc("last_run"), F.asc(by))
 
 
 def schema_table(latest: DataFrame) -> DataFrame:

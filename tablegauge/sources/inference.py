@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tablegauge.functions.missing import ident, literal
-from tablegauge.functions.text import INTEGER_TEXT, NUMBER_TEXT
+from tablegauge.functions.text import INTEGER_TEXT, NAN_TEXT, NUMBER_TEXT
 from tablegauge.operators.columns import empty_frame, per_column
 
 # The texts a delimited file uses for "no value".
@@ -84,8 +84,11 @@ def cast_text(df: DataFrame, dtypes: dict[str, str]) -> DataFrame:
     """Cast text columns to the types found by `infer_types`."""
     def converted(name: str) -> str:
         c, wanted = ident(name), dtypes.get(name)
-        if wanted in ("bigint", "double"):
-            return f"cast({c} as {wanted}) as {c}"
+        if wanted == "bigint":
+            return f"cast({c} as bigint) as {c}"
+        if wanted == "double":
+            # A signed "nan" counts as a number when types are inferred, but is none for a cast.
+            return f"(case when {c} rlike {literal(NAN_TEXT)} then double('NaN') else cast({c} as double) end) as {c}"
         if wanted == "boolean":
             return f"{c} in {_listed(TRUE_TOKENS)} as {c}"
         return c

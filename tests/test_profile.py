@@ -186,7 +186,7 @@ def test_full_profile_equals_the_single_operators(spark):
 
 def test_views(spark):
     measures = spark.createDataFrame([(f"c{i:02}", float(i % 7)) for i in range(18)], "column string, null_pct double")
-    worst = views.worst_nulls(measures, 18, 4).collect()
+    worst = views.worst_nulls(measures, 4).collect()
     assert [(x["column"], x["null_pct"]) for x in worst] == [("c06", 6.0), ("c13", 6.0), ("c05", 5.0), ("c12", 5.0)]
-    assert views.worst_nulls(measures, 18).count() == 18
-    assert views.worst_nulls(measures.limit(15), 15, 4).count() == 15       # not a wide table
+    assert views.worst_nulls(measures).count() == 18
+    assert views.worst_nulls(measures.limit(15), 4).count() == 4
