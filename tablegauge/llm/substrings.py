@@ -137,7 +137,10 @@ def _repeated_windows(sketch, bits: int, rows: int, window: int, gram: int):
         h1, h2, at, text = h1[order], h2[order], at[order], text[order]
         new = np.ones(len(at), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        yield rows_of(h1[new], h2[new], ids, ties, text[new], at[new], np.zeros(int(new.sum()), np.int32))
+        # In the order of the texts, neighbouring rows share their id, which compresses well.
+        kept = np.flatnonzero(new)
+        kept = kept[np.lexsort((at[kept], text[kept]))]
+        yield rows_of(h1[kept], h2[kept], ids, ties, text[kept], at[kept], np.zeros(len(kept), np.int32))
         # A repeated row is the same place once more.
         first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         other = (at != at[first]) | (rank[text] != rank[text[first]])
@@ -173,7 +176,7 @@ def _repeated_windows(sketch, bits: int, rows: int, window: int, gram: int):
             held.append((h1, h2, at - begins[owner[at]], part.column("id").take(picked),
                          np.asarray(part.column("tie").take(picked)), of))
             size += len(at)
-            if size > _FLUSH // 2:
+            if size > _FLUSH // 3:
                 yield from flush(held)
                 held, size = [], 0
         if held:
