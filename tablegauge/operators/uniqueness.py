@@ -15,6 +15,7 @@ from tablegauge.functions.text import compact_key
 
 HOT_KEYS = 10_000
 HOT_COPIES = 1_000
+SPREAD = 1_000_003
 _KEY, _COPIES = "__key", "__copies"
 
 
@@ -25,18 +26,25 @@ def key_counts(df: DataFrame, name: str) -> DataFrame:
 
 
 def mark_repeated(df: DataFrame, name: str, flag: str) -> DataFrame:
-    """``df`` with a boolean ``flag``: the value of ``name`` occurs more than once."""
-    repeated = key_counts(df, name).where(F.col(_COPIES) > 1)
-    frequent = df.selectExpr(f"greatest({HOT_COPIES}L, cast(count(1) / {HOT_KEYS} as bigint))").scalar()
-    hot = repeated.where(F.col(_COPIES) > frequent).select(F.col(_KEY).alias("__hot"))
-    keyed = df.selectExpr("*", f"{compact_key(name, df.schema[name].dataType)} as {_KEY}")
-    is_hot = F.col(_KEY).eqNullSafe(F.col("__hot"))
-    hot_rows = keyed.join(F.broadcast(hot), is_hot, "left_semi").withColumn(flag, F.lit(True))
-    cold = repeated.select(F.col(_KEY).alias("__cold"))
-    cold_rows = (
-        keyed.join(F.broadcast(hot), is_hot, "left_anti")
-        .join(cold.withColumn("__seen", F.lit(True)), F.col(_KEY).eqNullSafe(F.col("__cold")), "left")
-        .withColumn(flag, F.col("__seen").isNotNull())
+    """``df`` with a boolean ``flag``: the value of ``name`` occurs more than once.
+
+    The rows are read and shuffled once.  Rows with a hot key are marked by the broadcast join; for the shuffle join
+    they get a key of their own that spreads them by their other columns and matches nothing.
+    """
+    counts = key_counts(df, name)
+    repeated = counts.where(F.col(_COPIES) > 1)
+    # From the key counts, whose shuffle Spark uses again.
+    frequent = counts.selectExpr(
+        f"greatest({HOT_COPIES}L, cast(coalesce(sum({_COPIES}), 0) / {HOT_KEYS} as bigint))").scalar()
+    hot = repeated.where(F.col(_COPIES) > frequent).select(F.col(_KEY).alias("__hot"), F.lit(True).alias("__is_hot"))
+    others = [quoted(c) for c in df.columns if c != name]
+    spread = F.pmod(F.xxhash64(*others), F.lit(SPREAD)) + 1 if others else F.lit(1)
+    rows = (
+        df.selectExpr("*", f"{compact_key(name, df.schema[name].dataType)} as {_KEY}")
+        .join(F.broadcast(hot), F.col(_KEY).eqNullSafe(F.col("__hot")), "left")
+        .withColumn("__spread", F.when(F.col("__is_hot"), spread).otherwise(F.lit(0)))
     )
-    columns = [*[quoted(c) for c in df.columns], flag]
-    return hot_rows.select(*columns).unionByName(cold_rows.select(*columns))
+    cold = repeated.select(F.col(_KEY).alias("__cold"), F.lit(0).cast("bigint").alias("__none"), F.lit(True).alias("__seen"))
+    same = F.col(_KEY).eqNullSafe(F.col("__cold")) & (F.col("__spread") == F.col("__none"))
+    marked = F.coalesce("__is_hot", "__seen", F.lit(False)).alias(flag)
+    return rows.join(cold, same, "left").select(*map(quoted, df.columns), marked)
