@@ -9,7 +9,7 @@ inner product of the original vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -202,7 +202,7 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     ``is_query`` is a condition on ``id``.  Candidates are all rows but the query's own id; ties go to the smaller id.
     Rows without id, and vectors that are null, empty, zero or not finite take no part.  Rows with equal ids are one
     vector if they agree, or else each stands for the id.  All vectors need one length; others than the most common
-    length take no part.  Vectors with fewer candidates than k get them all as far as their axes are probed.
+    length take no part.  Where there are no more than k candidates, all of them are found.
     """
     rows = usable(vectors, id_col, vector_col)
     norm = F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + double(x) * double(x)))")
@@ -215,6 +215,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     width = top["n"]
     longest = None if top["longest"] - top["shortest"] < 1e-4 * top["longest"] else top["longest"] * (1 + 1e-12)
     rows = rows.filter(F.size("v") == width)
+    if top["rows"] <= index.k + 1:                 # so few that all are wanted: every axis is looked at
+        index = replace(index, probes=4 * width + 4)
     shape = f"table int, bucket int, id long, v {rows.schema['v'].dataType.simpleString()}"
     stored = rows.mapInArrow(_axes(index, width, longest, False), shape)
     asked = rows.filter(is_query).mapInArrow(_axes(index, width, longest, True), shape)

@@ -59,6 +59,13 @@ def test_empty_and_single(spark):
     assert nearest(one, F.col("id") % 20 == 0).collect() == []
 
 
+def test_few_candidates_are_all_found(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=64)], 0) for i in range(21)]
+    got = nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") == 0).collect()
+    assert sorted(r.vec_id for r in got) == list(range(1, 21))
+
+
 def test_rotations_keep_lengths():
     x = np.random.default_rng(1).normal(size=(10, 37))
     for turned in rotations(x, Index()):
