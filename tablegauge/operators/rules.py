@@ -94,7 +94,8 @@ def apply_rules(df: DataFrame, catalog: Sequence[Rule], id_cols: Sequence[str] |
                 checks: dict[str, Check] = CHECKS) -> DataFrame:
     """Long results: one line per row and enabled rule.
 
-    ``id_cols`` name the columns that identify a row in ``row_index``.  Without them rows are numbered.  Rules on
+    ``id_cols`` name the columns that identify a row in ``row_index``.  Without them rows are numbered, or named by
+    file and position where a UNIQUE rule needs them twice and they come straight from Parquet files.  Rules on
     single cells are evaluated side by side in one scan that shuffles nothing; a UNIQUE rule adds a pass over its
     own column and the ids.
     """
@@ -131,12 +132,25 @@ def _identify(df: DataFrame, compiled: CompiledCatalog,
         key = texts[0] if len(texts) == 1 else F.to_json(F.array(*texts))
         return df, key.alias("row_index")
     if compiled.unique:                     # the rows are read several times and must keep their numbers
+        placed = _by_place(df)
+        if placed is not None:
+            return placed, F.col("__row").alias("row_index")
         numbered = with_row_index(df.select(*map(quoted, compiled.needed_columns(df))), "__row")
     else:
         numbered = df.withColumn("__row", F.monotonically_increasing_id())
     return numbered, F.col("__row").cast("string").alias("row_index")
 
 
+def _by_place(df: DataFrame) -> DataFrame | None:
+    """Rows that come straight from Parquet files, with file and position as ``__row``; None for all others."""
+    if "_metadata" in df.columns:
+        return None
+    try:
+        return df.withColumn("__row", F.expr("concat(_metadata.file_path, '#', _metadata.row_index)"))
+    except PySparkException:
+        return None
+
+
 def _record_id(df: DataFrame, index: Column) -> Column:
     """The id shown to people: the customer id if the table has one."""
     if RECORD_ID_COLUMN in df.columns:

@@ -34,6 +34,12 @@ ORDER_RULES = [
     Rule("ORD-005", "Consistency", "Known status", "o_orderstatus", "ENUM", '["F", "O"]', "WARNING"),
     Rule("ORD-006", "Validity", "Priority format", "o_orderpriority", "REGEX", r"^[1-4]-[A-Z]+$", "ERROR"),
 ]
+LINE_RULES = [
+    Rule("LIN-001", "Completeness", "Order key mandatory", "l_orderkey", "NOT_NULL", None, "CRITICAL"),
+    Rule("LIN-002", "Uniqueness", "One line per part", "l_partkey", "UNIQUE", None, "ERROR"),
+    Rule("LIN-003", "Validity", "Quantity range", "l_quantity", "RANGE", '{"min": 1, "max": 45}', "ERROR"),
+    Rule("LIN-004", "Consistency", "Known flag", "l_returnflag", "ENUM", '["A", "R"]', "WARNING"),
+]
 # Text that reads like a variable of the process is text like any other.
 DOLLAR_REGION = Rule("X-003", "Validity", "Region as written", "region", "ENUM", '["${env:HOME}", "South"]', "ERROR")
 OWN_CHECK = Rule("X-004", "Validity", "Even age", "age", "EVEN", None, "ERROR")
@@ -215,6 +221,8 @@ def registered() -> dict[str, Query]:
         "rule_custom_error": _dirty(lambda df: apply_rules(df, [OWN_CHECK], ["customer_id"], {**CHECKS, "EVEN": _even})),
         "rule_unique_embeddings": _on("embeddings", lambda df: r.exception_totals(
             apply_rules(df.unionAll(df.where("vec_id % 7 = 0")), [UNIQUE_VECTOR], ["vec_id"]))),
+        "rule_results_lineitem": _on("lineitem", lambda df: r.exception_totals(
+            apply_rules(df, LINE_RULES, ["l_orderkey", "l_linenumber"]))),
         "rule_results_numbered": _on("orders", lambda df: r.exception_totals(apply_rules(df, ORDER_RULES))),
         "summary_of_nothing": _dirty(_no_results),
         "rule_unknown_type": _apply([UNKNOWN_TYPE, *_rules_of("LENGTH")]),

@@ -346,6 +346,12 @@ SELECT CAST(customer_id AS VARCHAR) AS row_index, CAST(customer_id AS VARCHAR) A
    SELECT * FROM embeddings WHERE vec_id % 7 = 0),
  counted AS (SELECT vec_id, count(*) OVER (PARTITION BY embedding) AS n FROM twice)
 SELECT count(*) AS violations, count(DISTINCT vec_id) AS records FROM counted WHERE n > 1""",
+        "rule_results_lineitem": """WITH lines AS (
+ SELECT l_orderkey, l_linenumber, CASE WHEN count(*) OVER (PARTITION BY l_partkey) > 1 THEN 1 ELSE 0 END
+  + CASE WHEN l_quantity BETWEEN 1 AND 45 THEN 0 ELSE 1 END + CASE WHEN l_returnflag IN ('A', 'R') THEN 0 ELSE 1 END AS bad
+ FROM lineitem)
+SELECT CAST(sum(bad) AS BIGINT) AS violations, count(DISTINCT (l_orderkey, l_linenumber)) FILTER (WHERE bad > 0) AS records
+FROM lines""",
         "rule_results_numbered": f"""{order_results()}, numbered AS (SELECT count(*) AS violations FROM ({EXCEPTIONS}) e),
  failing AS (SELECT DISTINCT record_id FROM ({EXCEPTIONS}) e)
 SELECT violations, (SELECT count(*) FROM failing) AS records FROM numbered""",

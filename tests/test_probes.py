@@ -181,3 +181,14 @@ def test_malformed_json_is_an_error(spark, tmp_path):
             read_json(spark, f"{folder}/x.json", schema=schema).collect()
         rows = read_json(spark, f"{folder}/x.json", schema=schema, strict=False)
         assert rows.columns == ["a"] and sorted(r["a"] for r in rows.collect()) == [1, 3]
+
+
+def test_rows_of_files_are_named_by_their_place(spark, tmp_path):
+    path = f"file://{tmp_path}/rows"
+    spark.range(10).selectExpr("id % 7 as v").repartition(2).write.parquet(path)
+    stored = spark.read.parquet(path)
+    lines = apply_rules(stored.where("v >= 0"), [UNIQUE], None).collect()
+    assert len({r["row_index"] for r in lines}) == 10 and all("#" in r["row_index"] for r in lines)
+    assert sorted(r["value"] for r in lines if r["status"] == "FAIL") == ["0", "0", "1", "1", "2", "2"]
+    both = apply_rules(stored.unionAll(stored), [UNIQUE], None).collect()
+    assert len({r["row_index"] for r in both}) == 20 and {r["status"] for r in both} == {"FAIL"}
