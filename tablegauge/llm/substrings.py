@@ -25,6 +25,7 @@ from tablegauge.llm.textarrays import Texts, chunks, grams, mixed
 
 _CELL_BITS = 20
 _FLUSH = 4_000_000
+_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -140,7 +141,9 @@ def _repeated_windows(sketch, bits: int, rows: int, window: int, gram: int):
         # In the order of the texts, neighbouring rows share their id, which compresses well.
         kept = np.flatnonzero(new)
         kept = kept[np.lexsort((at[kept], text[kept]))]
-        yield rows_of(h1[kept], h2[kept], ids, ties, text[kept], at[kept], np.zeros(len(kept), np.int32))
+        for i in range(0, len(kept), _ROWS):
+            part = kept[i: i + _ROWS]
+            yield rows_of(h1[part], h2[part], ids, ties, text[part], at[part], np.zeros(len(part), np.int32))
         # A repeated row is the same place once more.
         first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         other = (at != at[first]) | (rank[text] != rank[text[first]])
@@ -176,7 +179,7 @@ def _repeated_windows(sketch, bits: int, rows: int, window: int, gram: int):
             held.append((h1, h2, at - begins[owner[at]], part.column("id").take(picked),
                          np.asarray(part.column("tie").take(picked)), of))
             size += len(at)
-            if size > _FLUSH // 3:
+            if size > _FLUSH // 4:
                 yield from flush(held)
                 held, size = [], 0
         if held:
