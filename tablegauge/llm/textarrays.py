@@ -117,7 +117,3 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             part = batch.slice(first, last - first)
             yield part, Texts(*text_column(part.column(place)))
             first = last
-
-
-def counts_by(owner: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(owner, minlength=n)
