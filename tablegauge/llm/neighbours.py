@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are made unit vectors (where norms differ with one more coordinate, so that the largest inner product becomes
-the smallest angle), turned by fast Hadamard pseudo-rotations, and hashed to the nearest signed axis.  Each table has a
-rotation of its own.  Queries probe the nearest few axes of each table; what they find is ranked again by the exact
-inner product of the original vectors.
+Vectors are split into bands of similar norm.  The longest ones are compared with every query.  In the other bands their
+directions are turned by fast Hadamard pseudo-rotations and hashed to the nearest signed axis; each table has a rotation
+of its own.  Queries probe band and axis in the order of the band's longest norm times their own coordinate on the axis;
+what they find is ranked again by the exact inner product of the original vectors.  A query that finds too few that way
+is compared with all.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from tablegauge.llm.shared import cut_lineage
 
 @dataclass(frozen=True)
 class Index:
-    """``tables`` rotations; a query looks at ``probes`` of the 2 * dimensions axes of each.
+    """``tables`` rotations; a query looks at ``probes`` of the 2 * dimensions axes of each, or, where there are several
+    bands, at as many buckets as hold that share of the rows.
 
-    The recall that a choice reaches is measured by the tests.  A bucket is dealt out in blocks of about ``block``
+    Norms in a band differ by at most ``ratio``.  The longest bands are looked at whole as long as they hold no more than
+    ``head`` of the rows; at most ``bands`` others are told apart, the last one takes all shorter vectors.  The recall that a choice reaches is measured by the tests.  A bucket is dealt out in blocks of about ``block``
     vectors, so that a bucket of any size is split; ``query_block`` bounds the queries compared with it at a time.
     """
 
@@ -35,6 +38,9 @@ class Index:
     block: int = 4096
     query_block: int = 512
     seed: int = 17
+    ratio: float = 1.5
+    head: float = 0.25
+    bands: int = 16
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -62,38 +68,100 @@ def rotations(x: np.ndarray, index: Index) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), width)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
 
 
-def _axes(index: Index, width: int, longest: float | None, query: bool):
-    """Rows table, bucket, id, vector: one bucket a table for a candidate, several for a query."""
+def _directions(column: pa.Array) -> np.ndarray:
+    x = _matrix(column)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _alike(batch: pa.RecordBatch, keys: np.ndarray, most) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each key, at most ``most(key)`` at a time."""
+    for key in np.unique(keys).tolist():
+        at = np.flatnonzero(keys == key)
+        for first in range(0, len(at), most(key)):
+            yield key, batch.take(pa.array(at[first: first + most(key)]))
+
+
+def _rows(batch: pa.RecordBatch, table: int, at: np.ndarray, part: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows ``at`` of a batch with the bucket they go to, in portions of bounded size."""
+    most = max(256, (1 << 20) // len(batch.column("v")[0]))
+    for first in range(0, len(at), most):
+        take = pa.array(at[first: first + most])
+        yield pa.record_batch({
+            "table": pa.array(np.full(len(take), table, np.int32)),
+            "part": pa.array(part[first: first + most].astype(np.int32)),
+            "bucket": pa.array(bucket[first: first + most].astype(np.int32)),
+            "id": batch.column("id").take(take), "v": batch.column("v").take(take)})
+
+
+@dataclass(frozen=True)
+class _Part:
+    """The vectors of one length in one band; those of a ``whole`` part are not hashed."""
+
+    length: int
+    whole: bool
+    rows: int
+    longest: float
+
+
+def _stored(index: Index, parts: list[_Part]):
+    """Rows table, part, bucket, id, v: one bucket a table, or one in all for a part that is looked at whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 2048):
-                batch = whole.slice(first, 2048)
-                x = _matrix(batch.column("v"), width)
-                norm = np.sqrt((x * x).sum(axis=1))
-                if longest is None:
-                    unit = x / norm[:, None]
-                elif query:
-                    unit = np.hstack([x / norm[:, None], np.zeros((len(x), 1))])
-                else:
-                    unit = np.hstack([x / longest, np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))[:, None]])
-                turned = rotations(unit, index)
-                probes = min(index.probes if query else 1, 2 * turned.shape[2])
-                for table in range(index.tables):
-                    both = np.hstack([turned[table], -turned[table]])
-                    if query and probes < both.shape[1]:
-                        axes = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
-                    else:
-                        axes = np.argmax(both, axis=1)[:, None] if not query else np.tile(np.arange(both.shape[1]), (len(x), 1))
-                    rows = pa.array(np.repeat(np.arange(len(x)), axes.shape[1]))
-                    yield pa.record_batch({
-                        "table": pa.array(np.full(axes.size, table, np.int32)),
-                        "bucket": pa.array(axes.ravel().astype(np.int32)),
-                        "id": batch.column("id").take(rows), "v": batch.column("v").take(rows)})
+        for batch in batches:
+            for part, rows in _alike(batch, np.asarray(batch.column("part")), lambda _: 2048):
+                every, same = np.arange(rows.num_rows), np.full(rows.num_rows, part)
+                if parts[part].whole:
+                    yield from _rows(rows, 0, every, same, np.zeros(rows.num_rows))
+                    continue
+                for table, turned in enumerate(rotations(_directions(rows.column("v")), index)):
+                    yield from _rows(rows, table, every, same, np.argmax(np.hstack([turned, -turned]), axis=1))
+
+    return run
+
+
+def _asked(index: Index, parts: list[_Part], filled: dict[tuple[int, int], list[int]], everything: bool):
+    """Rows table, part, bucket, id, v: the buckets with rows that a query looks at.
+
+    ``filled`` has the buckets with rows of each table and part.  ``everything`` asks for all of one table, so that
+    every row is met once.
+    """
+    by_length: dict[int, list[int]] = {}
+    for i, part in enumerate(parts):
+        by_length.setdefault(part.length, []).append(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Bounds what is sorted at a time.
+        most = lambda n: max(1, min(2048, (1 << 20) // (len(by_length[n]) * 4 * n)))
+        for batch in batches:
+            for length, rows in _alike(batch, np.asarray(batch.column("v").value_lengths()), most):
+                every = np.arange(rows.num_rows)
+                hashed = [i for i in by_length[length] if not parts[i].whole]
+                for i in by_length[length]:
+                    if parts[i].whole or everything:
+                        for bucket in filled.get((0, i), ()):
+                            yield from _rows(rows, 0, every, np.full(len(every), i), np.full(len(every), bucket))
+                if everything or not hashed:
+                    continue
+                count = np.array([parts[i].rows for i in hashed], np.float64)
+                longest = np.array([parts[i].longest for i in hashed])
+                for table, turned in enumerate(rotations(_directions(rows.column("v")), index)):
+                    both = np.hstack([turned, -turned])
+                    axes = both.shape[1]
+                    full = np.zeros((len(hashed), axes), bool)
+                    for k, i in enumerate(hashed):
+                        full[k, filled.get((table, i), [])] = True
+                    reach = (both[:, None, :] * (longest / longest.max())[None, :, None]).reshape(len(both), -1)
+                    order = np.argsort(-reach, axis=1, kind="stable")
+                    cost = np.cumsum(count[order // axes], axis=1) - count[order // axes]
+                    at, where = np.nonzero((cost < index.probes * count.sum()) & full.ravel()[order])
+                    chosen = order[at, where]
+                    yield from _rows(rows, table, at, np.array(hashed)[chosen // axes], chosen % axes)
 
     return run
 
@@ -117,7 +185,7 @@ def best(query: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarra
     return out
 
 
-def _search(index: Index, width: int):
+def _search(index: Index):
     """One block of a bucket at a time: its candidates, then the queries that probe it in bounded portions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +194,7 @@ def _search(index: Index, width: int):
         x = ids = None
         for batch in batches:
             for part in _portions(batch, index.query_block):
-                key = tuple(part.column(c)[0].as_py() for c in ("table", "bucket", "block"))
+                key = tuple(part.column(c)[0].as_py() for c in ("table", "part", "bucket", "block"))
                 if key != now:
                     now, held, x = key, [], None
                 if not part.column("is_query")[0].as_py():
@@ -137,10 +205,10 @@ def _search(index: Index, width: int):
                     continue
                 if x is None:
                     table = pa.Table.from_batches(held)
-                    x = _matrix(table.column("v").combine_chunks(), width)
+                    x = _matrix(table.column("v").combine_chunks())
                     ids = table.column("id").to_numpy()
                 own = part.column("id").to_numpy()
-                found = best(_matrix(part.column("v"), width), own, x, ids, index.k)
+                found = best(_matrix(part.column("v")), own, x, ids, index.k)
                 keep = [i for i, (at, _) in enumerate(found) if len(at)]
                 yield pa.record_batch({
                     "query_id": pa.array(own[keep]),
@@ -155,7 +223,7 @@ def _portions(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return
     keys = [np.asarray(batch.column(c)) if c != "is_query" else np.array(batch.column(c).to_pylist())
-            for c in ("table", "bucket", "block", "is_query")]
+            for c in ("table", "part", "bucket", "block", "is_query")]
     change = np.zeros(batch.num_rows, bool)
     for c in keys:
         change[1:] |= c[1:] != c[:-1]
@@ -195,43 +263,72 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & F.expr(finite))
 
 
+def _parts(bands: list, index: Index) -> tuple[list[_Part], list[tuple[int, int, int]]]:
+    """Parts from the rows and longest norm of each length and band, and which part each length and band belongs to."""
+    parts, places = [], []
+    for length in sorted({r["n"] for r in bands}):
+        rest = sorted((r for r in bands if r["n"] == length), key=lambda r: r["band"])
+        total, seen, head = sum(r["rows"] for r in rest), 0, 0
+        while head < len(rest) and seen + rest[head]["rows"] <= index.head * total:
+            seen += rest[head]["rows"]
+            head += 1
+        single = head + index.bands - 1
+        groups = [rest[:head], *([r] for r in rest[head:single]), rest[single:]]
+        for g in filter(None, groups):
+            places += [(length, r["band"], len(parts)) for r in g]
+            parts.append(_Part(length, g is groups[0], sum(r["rows"] for r in g), max(r["longest"] for r in g)))
+    return parts, places
+
+
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding",
             index: Index = Index()) -> DataFrame:
     """``query_id``, ``rank`` (from 1), the neighbour's id and ``score`` (inner product) for each query row.
 
     ``is_query`` is a condition on ``id``.  Candidates are all rows but the query's own id; ties go to the smaller id.
     Rows without id, and vectors that are null, empty, zero or not finite take no part.  Rows with equal ids are one
-    vector if they agree, or else each stands for the id.  All vectors need one length; others than the most common
-    length take no part.  Where there are no more than k candidates, all of them are found.
+    vector if they agree, or else each stands for the id.  Vectors are compared with those of their own length.
+    A query has k rows, or all candidates where there are fewer.
     """
-    rows = usable(vectors, id_col, vector_col)
-    norm = F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + double(x) * double(x)))")
-    lengths = rows.groupBy(F.size("v").alias("n")).agg(
-        F.count("*").alias("rows"), F.max(norm).alias("longest"), F.min(norm).alias("shortest"))
-    top = lengths.orderBy(F.desc("rows"), "n").first()
+    spark = vectors.sparkSession
+    norm = F.expr("least(greatest(sqrt(aggregate(v, 0D, (a, x) -> a + double(x) * double(x))), 1e-300D), 1e300D)")
+    rows = usable(vectors, id_col, vector_col).select("id", "v", F.size("v").alias("n"))
+    measured = rows.withColumn("norm", norm)
+    # One line a length of vectors, then one a length and band.
+    longest = F.broadcast(cut_lineage(measured.groupBy("n").agg(F.max("norm").alias("longest"))))
+    banded = measured.join(longest, "n").withColumn(
+        "band", F.expr(f"cast(floor(ln(longest / norm) / ln({index.ratio}D)) as int)"))
+    bands = banded.groupBy("n", "band").agg(F.count("*").alias("rows"), F.max("norm").alias("longest")).collect()
     schema = "query_id long, rank int, id long, score double"
-    if top is None:
-        return vectors.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    width = top["n"]
-    longest = None if top["longest"] - top["shortest"] < 1e-4 * top["longest"] else top["longest"] * (1 + 1e-12)
-    rows = rows.filter(F.size("v") == width)
-    if top["rows"] <= index.k + 1:                 # so few that all are wanted: every axis is looked at
-        index = replace(index, probes=4 * width + 4)
-    shape = f"table int, bucket int, id long, v {rows.schema['v'].dataType.simpleString()}"
-    stored = rows.mapInArrow(_axes(index, width, longest, False), shape)
-    asked = rows.filter(is_query).mapInArrow(_axes(index, width, longest, True), shape)
-    sizes = cut_lineage(stored.groupBy("table", "bucket").agg(F.count("*").alias("n")).select(
-        "table", "bucket", F.expr(f"cast(ceil(n / {index.block}) as int)").alias("blocks")))
-    # One line a table and axis: a fixed number, whatever the data.
+    if not bands:
+        return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    parts, places = _parts(bands, index)
+    placed = banded.join(F.broadcast(spark.createDataFrame(places, "n int, band int, part int")), ["n", "band"])
+    shape = f"table int, part int, bucket int, id long, v {rows.schema['v'].dataType.simpleString()}"
+    stored = lambda ix: placed.select("id", "v", "part").mapInArrow(_stored(ix, parts), shape)
+    key = ["table", "part", "bucket"]
+    sizes = cut_lineage(stored(index).groupBy(key).agg(F.count("*").alias("n")).select(
+        *key, F.expr(f"cast(ceil(n / {index.block}) as int)").alias("blocks")))
+    # One line a table, part and axis: a fixed number for each length, whatever the data.
+    filled: dict[tuple[int, int], list[int]] = {}
+    for r in sizes.collect():
+        filled.setdefault((r["table"], r["part"]), []).append(r["bucket"])
     sizes = F.broadcast(sizes)
-    stored = stored.join(sizes, ["table", "bucket"]).select(
-        "table", "bucket", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), F.lit(False).alias("is_query"),
-        "id", "v")
-    asked = asked.join(sizes, ["table", "bucket"]).select(
-        "table", "bucket", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("is_query"),
-        "id", "v")
-    both = (stored.unionAll(asked).repartition("table", "bucket", "block")
-            .sortWithinPartitions("table", "bucket", "block", "is_query"))
-    found = both.mapInArrow(_search(index, width), "query_id long, found array<long>, scores array<double>")
-    return (found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(index.k), schema)
-            .withColumnRenamed("id", id_col))
+
+    def search(queries: DataFrame, ix: Index, everything: bool) -> DataFrame:
+        held = stored(ix).join(sizes, key).select(
+            *key, F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), F.lit(False).alias("is_query"), "id", "v")
+        asked = queries.select("id", "v").mapInArrow(_asked(ix, parts, filled, everything), shape).join(sizes, key).select(
+            *key, F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(True).alias("is_query"), "id", "v")
+        both = held.unionAll(asked).repartition(*key, "block").sortWithinPartitions(*key, "block", "is_query")
+        found = both.mapInArrow(_search(ix), "query_id long, found array<long>, scores array<double>")
+        return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(ix.k), schema)
+
+    queries = rows.filter(is_query)
+    found = cut_lineage(search(queries, index, False))
+    served = found.groupBy("query_id").count().filter(F.col("count") >= index.k).select(F.col("query_id").alias("id"))
+    few = cut_lineage(queries.join(served, "id", "left_anti"))
+    if not few.isEmpty():
+        # All rows are met in the first table.
+        short = few.select(F.col("id").alias("query_id")).distinct()
+        found = found.join(short, "query_id", "left_anti").unionAll(search(few, replace(index, tables=1), True))
+    return found.withColumnRenamed("id", id_col)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from compare import SF_DIR
@@ -66,6 +67,30 @@ def test_few_candidates_are_all_found(spark):
     assert sorted(r.vec_id for r in got) == list(range(1, 21))
 
 
+def recall(spark, x, k=20):
+    df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], SCHEMA).repartition(4)
+    got = {}
+    for r in nearest(df, F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = [(i, row) for i, row in enumerate(np.float32(x).astype(float))]
+    assert all(len(got[q]) == k for q in range(0, len(x), 20))
+    return np.mean([len({i for i, _ in brute(rows, q)} & got[q]) / k for q in range(0, len(x), 20)])
+
+
+@pytest.mark.parametrize("norms", ["uniform", "lognormal", "outlier", "both"])
+def test_recall_where_norms_differ(spark, norms):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "uniform":
+        x *= rng.uniform(0.5, 1.5, (len(x), 1))
+    if norms in ("lognormal", "both"):
+        x *= rng.lognormal(0, 0.5, (len(x), 1))
+    if norms in ("outlier", "both"):
+        x[301] *= 10 if norms == "outlier" else 1000
+    assert recall(spark, x) >= 0.95
+
+
 def test_rotations_keep_lengths():
     x = np.random.default_rng(1).normal(size=(10, 37))
     for turned in rotations(x, Index()):
