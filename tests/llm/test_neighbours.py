@@ -91,6 +91,27 @@ def test_recall_where_norms_differ(spark, norms):
     assert recall(spark, x) >= 0.95
 
 
+def test_small_tables_give_all_rows_asked_for(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=64)], 0) for i in range(24)]
+    stored = [(i, np.float32(v).astype(float)) for i, v, _ in rows]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got.keys() == {0, 20} and all(len(x) == 20 for x in got.values())
+    assert all({i for i, _ in found} <= {i for i, _ in brute(stored, q, 23)} for q, found in got.items())
+
+
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=6 if i % 3 else 4)], 0) for i in range(90)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, SCHEMA), F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, 90, 20):
+        assert len(got[q]) == 20 and all((i % 3 == 0) == (q % 3 == 0) for i in got[q])
+
+
 def test_rotations_keep_lengths():
     x = np.random.default_rng(1).normal(size=(10, 37))
     for turned in rotations(x, Index()):
