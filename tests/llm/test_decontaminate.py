@@ -1,4 +1,6 @@
+import corpus_pipeline
 import edge
+from tablegauge.llm import queries
 from tablegauge.llm.decontaminate import Templates, contaminated, decontaminate, leaks
 
 ITEMS = [
@@ -55,6 +57,48 @@ def test_names_units_and_capitals(spark):
     assert found(spark, docs) == {(1, 2)}
 
 
+VERBATIM = [
+    (1, "12 13 14 15 16 17 18 19 20"), (2, "short item here"), (3, "Anna Berta Clara Dora Emil Frida Georg Hans Ida"),
+    (4, "The Quick Brown Fox Jumps Over The Lazy Dog"), (5, "水的沸点是多少"), (6, "What is 3 + 4 * 5 - 6 / 7 + 8 * 9 ?"),
+    (7, "日本の 首都"), (8, "7 x 8"),
+]
+COPIES = [
+    (1, "so 11 12 13 14 15 16 17 18 19 20 21", {1}), (2, "a short item here too", {2}), (3, "a short item there", set()),
+    (4, "hello Anna Berta Clara Dora Emil Frida Georg Hans Ida and others", {3}),
+    (5, "he wrote: The Quick Brown Fox Jumps Over The Lazy Dog, twice", {4}), (6, "请问水的沸点是多少呢", {5}),
+    (7, "please: what is 3 + 4 * 5 - 6 / 7 + 8 * 9 ? none", {6}), (8, "12 13 14 15 16 17 18 19 20", {1}),
+    (9, "22 23 24 25 26 27 28 29 30", set()), (10, "Karl Berta Clara Dora Otto Frida Georg Hans Ida and others", set()),
+    (11, "it is 7 x 8, is it", {8}), (12, "it is 7 x 9, is it", set()), (13, "今日の日本の 首都は", {7}), (14, "", set()), (15, None, set()),
+    (16, "水的沸点", set()),
+]
+
+
+def test_verbatim_copies_are_always_found(spark):
+    benchmark = spark.createDataFrame(VERBATIM, "item_id long, text string")
+    docs = spark.createDataFrame([c[:2] for c in COPIES], "doc_id long, text string")
+    for rows in (500_000, 0):
+        out = contaminated(docs, benchmark, options=Templates(verbatim=True, broadcast_rows=rows)).collect()
+        assert {(r.doc_id, r.item) for r in out} == {(i, item) for i, _, items in COPIES for item in items}
+        assert all(r.n_windows > 0 and r.n_changed == 0 for r in out)
+    left = decontaminate(docs, benchmark, options=Templates(verbatim=True))
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, _, items in COPIES if not items]
+
+
+def test_verbatim_keeps_the_template_rule(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    assert found(spark, docs, options=Templates(verbatim=True)) == {(10, 1), (11, 1), (16, 5), (17, 5), (18, 6), (None, 2)}
+
+
+def test_registered_query_finds_verbatim_copies(spark, tmp_path):
+    spark.createDataFrame([c[:2] for c in COPIES], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(VERBATIM, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    out = queries.op3_benchmark_decontamination(spark, f"file://{tmp_path}").collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(i, item) for i, _, items in COPIES for item in items}
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    kept = dict(corpus_pipeline.STAGES)["benchmark decontamination"](spark, docs, f"file://{tmp_path}")
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, items in COPIES if not items]
+
+
 def test_empty(spark, no_docs):
     assert leaks(no_docs, items(spark)).collect() == []
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
