@@ -72,15 +72,17 @@ def _mask(turns: str, template: Template) -> str:
 
 
 def swapped_replies(convs: DataFrame, template: Template = Template()) -> DataFrame:
-    """Pairs from single conversations: the last reply as it is, or an earlier reply of the same conversation instead.
+    """Pairs from single conversations: the last reply as it is, or the latest earlier reply that differs from it instead.
 
     ``chosen_id``, ``rejected_id`` (the same), and the turns of both; conversations with fewer than two different
     replies give none.
     """
     at = f"filter(sequence(1, size(turns)), i -> turns[i - 1].role = '{template.learned}')"
     two = convs.filter("size(turns) > 0").select("conv", "turns", F.expr(at).alias("at")).filter("size(at) > 1")
-    two = two.select("conv", "turns", F.expr("at[size(at) - 1]").alias("last"), F.expr("at[size(at) - 2]").alias("other"))
-    return two.filter("turns[last - 1] != turns[other - 1]").select(
+    two = two.select("conv", "turns", "at", F.expr("at[size(at) - 1]").alias("last"))
+    other = "array_max(filter(at, i -> turns[i - 1] != turns[last - 1]))"
+    two = two.select("conv", "turns", "last", F.expr(other).alias("other"))
+    return two.filter("other is not null").select(
         F.col("conv").alias("chosen_id"), F.col("conv").alias("rejected_id"), F.expr("slice(turns, 1, last)").alias("c"),
         F.expr("concat(slice(turns, 1, last - 1), array(turns[other - 1]))").alias("r"))
 

@@ -33,6 +33,14 @@ def test_null_turns_come_first(spark):
     assert [(t.role, t.text) for t in four] == [("system", "rules"), ("user", "alone"), ("assistant", "")]
 
 
+def test_repeated_last_replies_still_give_a_pair(spark):
+    replies = {1: "ABB", 2: "AABBB", 3: "BBB", 4: "ABA", 5: "A"}
+    turns = [(c, i, "assistant", t) for c, texts in replies.items() for i, t in enumerate(texts)]
+    convs = preference.conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    pairs = {r.chosen_id: ("".join(t.text for t in r.c), "".join(t.text for t in r.r)) for r in preference.swapped_replies(convs).collect()}
+    assert pairs == {1: ("ABB", "ABA"), 2: ("AABBB", "AABBA"), 4: ("ABA", "ABB")}
+
+
 def test_query_against_sql(spark):
     assert differences(spark, engine(), queries.op8_preference_formatting, queries.oracles()["op8_preference_formatting"], SF_DIR) == []
 
