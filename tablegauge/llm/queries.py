@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablegauge.llm import (
-    decontaminate, language, nearjoin, neighbours, packing, preference, secrets, substrings, toxicity, warc,
+    decontaminate, language, nearjoin, negatives, neighbours, packing, preference, secrets, substrings, toxicity, warc,
 )
 from tablegauge.llm.shared import new_folder, table
 
@@ -84,6 +84,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("spans").alias("n_spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def _secret_sql() -> str:
     quote = lambda p: "'" + p.replace("'", "''") + "'"
     kinds = []
@@ -141,7 +145,8 @@ SELECT chosen_id, rejected_id, n AS n_prompt, {text('p')} AS prompt, {text('c')}
 
 def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_toxicity,
-                                   op6_cross_polytope_neighbours, op7_best_fit_packing, op8_preference_formatting, op9_warc, op10_language_id)}
+                                   op6_cross_polytope_neighbours, op7_best_fit_packing, op8_preference_formatting, op9_warc, op10_language_id,
+                                   op11_hard_negatives)}
 
 
 def oracles() -> dict[str, str]:
