@@ -113,6 +113,28 @@ def _secret_sql() -> str:
         "FROM docs LEFT JOIN (SELECT * FROM found WHERE ok) f USING (doc) GROUP BY doc")
 
 
+def _negatives_sql() -> str:
+    m = negatives.Mining()
+    return f"""
+WITH r AS (SELECT DISTINCT vec_id, label AS raw, embedding FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(
+             embedding, lambda x: x IS NOT NULL AND isfinite(x) AND abs(floor({m.scale} * x::DOUBLE)) < {negatives.LIMIT}))),
+u AS (SELECT vec_id, CASE WHEN vec_id % {m.shift_every} = 0 THEN ((raw + 1) % {m.labels} + {m.labels}) % {m.labels}
+             ELSE raw END AS label, list_transform(embedding, lambda x: floor({m.scale} * x::DOUBLE)::BIGINT) AS q FROM r),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS al, b.vec_id, b.label,
+             list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+      FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % {m.anchor_every} = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS ps FROM (
+        SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE label = al)
+      WHERE k <= {m.positives}),
+n AS (SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.ps, s.score AS ns,
+             row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.al
+                   AND {m.low} * p.ps <= 100 * s.score AND 100 * s.score <= {m.high} * p.ps)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, ps AS positive_score, ns AS negative_score
+FROM n WHERE rank <= {m.negatives}"""
+
+
 def _preference_sql() -> str:
     t = preference.Template()
     line = lambda x: x.replace("\n", "' || chr(10) || '")
@@ -150,4 +172,5 @@ def registered() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_secret_scan": _secret_sql(), "op8_preference_formatting": _preference_sql()}
+    return {"op1_secret_scan": _secret_sql(), "op8_preference_formatting": _preference_sql(),
+            "op11_hard_negatives": _negatives_sql()}

@@ -14,6 +14,7 @@ COLUMNS = {
     6: ["query_id", "rank", "vec_id", "score"],
     7: ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     9: ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], 10: ["doc_id", "held_out", "lang_pred", "score"],
+    11: ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
 
 
@@ -38,6 +39,11 @@ def test_secret_scan_against_sql(spark):
     assert differences(spark, engine(), QUERIES["op1_secret_scan"], driver.oracle_sql()["op1_secret_scan"], SF_DIR) == []
 
 
+@pytest.mark.parametrize("name", ["op11_hard_negatives"])
+def test_against_sql(spark, name):
+    assert differences(spark, engine(), QUERIES[name], driver.oracle_sql()[name], SF_DIR) == []
+
+
 def test_stages_hand_on_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     columns, before = docs.columns, docs.count()
