@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablegauge.llm import (
-    decontaminate, language, nearjoin, negatives, neighbours, packing, preference, secrets, substrings, toxicity, warc,
+    decontaminate, language, nearjoin, negatives, neighbours, packing, preference, secrets, substrings, tokenfiles, toxicity,
+    warc,
 )
 from tablegauge.llm.shared import new_folder, table
 
@@ -88,6 +89,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), path, word_tokenizer())
+    return tokenfiles.read_token_files(spark, path)
+
+
 def _secret_sql() -> str:
     quote = lambda p: "'" + p.replace("'", "''") + "'"
     kinds = []
@@ -168,7 +175,7 @@ SELECT chosen_id, rejected_id, n AS n_prompt, {text('p')} AS prompt, {text('c')}
 def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_toxicity,
                                    op6_cross_polytope_neighbours, op7_best_fit_packing, op8_preference_formatting, op9_warc, op10_language_id,
-                                   op11_hard_negatives)}
+                                   op11_hard_negatives, op12_token_files)}
 
 
 def oracles() -> dict[str, str]:
