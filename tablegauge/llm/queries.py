@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablegauge.llm import (
-    decontaminate, language, nearjoin, negatives, neighbours, packing, preference, secrets, substrings, tokenfiles, toxicity,
+    decontaminate, language, nearjoin, negatives, neighbours, packing, prefixtrie, preference, secrets, substrings, tokenfiles, toxicity,
     warc,
 )
 from tablegauge.llm.shared import new_folder, table
@@ -95,6 +95,10 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(spark, path)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def _secret_sql() -> str:
     quote = lambda p: "'" + p.replace("'", "''") + "'"
     kinds = []
@@ -175,7 +179,8 @@ SELECT chosen_id, rejected_id, n AS n_prompt, {text('p')} AS prompt, {text('c')}
 def registered() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_benchmark_decontamination, op4_ngram_jaccard_join, op5_toxicity,
                                    op6_cross_polytope_neighbours, op7_best_fit_packing, op8_preference_formatting, op9_warc, op10_language_id,
-                                   op11_hard_negatives, op12_token_files)}
+                                   op11_hard_negatives, op12_token_files,
+                                   op13_prefix_trie)}
 
 
 def oracles() -> dict[str, str]:

@@ -15,11 +15,13 @@ COLUMNS = {
     7: ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     9: ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], 10: ["doc_id", "held_out", "lang_pred", "score"],
     11: ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    12: ["doc_id", "start", "n_tokens", "ids_crc32"],
+    13: ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
 }
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES if n != "pipeline") == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "near duplicates", "benchmark decontamination", "secret scans", "best-fit packing"]
 
@@ -30,7 +32,7 @@ def test_columns(spark, n):
     df = QUERIES[name](spark, SF_DIR)
     assert df.columns[: len(COLUMNS[n])] == COLUMNS[n]
     rows = df.collect()
-    if n in (1, 2, 4, 5, 10):
+    if n in (1, 2, 4, 5, 10, 12):
         ids = [r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect()]
         assert sorted(r.doc_id for r in rows) == sorted(ids)
 
