@@ -46,6 +46,45 @@ def has_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return compare_schemas(old, new).agg((F.count(F.lit(1)) > 0).alias("has_changes"))
 
 
+CHANGE_LOG_SCHEMA = ("dataset_name string, version int, snapshot_timestamp timestamp, previous_timestamp timestamp, "
+                     "change string, column string, old_type string, new_type string")
+
+
+def schema_change_log(snapshots: DataFrame) -> DataFrame:
+    """Every change between consecutive schema snapshots of every dataset, from a history's ``schema_snapshots``.
+
+    ``(dataset_name, version, snapshot_timestamp, previous_timestamp, change, column, old_type, new_type)`` with
+    change in added, removed, type_changed.  ``version`` numbers the snapshots of a dataset from 1, oldest first;
+    snapshots at the same moment are ordered by their text.  The first snapshot of a dataset has nothing to be
+    compared with and gives no line, nor does a snapshot equal to the one before.  A snapshot whose text is not a
+    JSON object, or null, counts as an empty schema.
+
+    All datasets at once: the snapshots are dealt out by dataset and sorted by time once; each one is compared with
+    the one before it by ``lag`` over the parsed maps, not by joining the table with itself.
+    """
+    parsed = F.coalesce(F.from_json("schema_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    order = Window.partitionBy("dataset_name").orderBy("snapshot_timestamp", "schema_json")
+    versions = snapshots.select(
+        "dataset_name", F.col("snapshot_timestamp").cast("timestamp").alias("snapshot_timestamp"),
+        parsed.alias("new"), F.row_number().over(order).cast("int").alias("version"),
+        F.lag(parsed).over(order).alias("old"), F.lag("snapshot_timestamp").over(order).cast("timestamp")
+        .alias("previous_timestamp"))
+    line = lambda change, k, old, new: F.struct(
+        F.lit(change).alias("change"), k.alias("column"), old.alias("old_type"), new.alias("new_type"))
+    gone = F.lit(None).cast("string")
+    old, new = F.col("old"), F.col("new")
+    changes = F.concat(
+        F.transform(F.filter(F.map_keys("new"), lambda k: ~F.map_contains_key("old", k)),
+                    lambda k: line("added", k, gone, new[k])),
+        F.transform(F.filter(F.map_keys("old"), lambda k: ~F.map_contains_key("new", k)),
+                    lambda k: line("removed", k, old[k], gone)),
+        F.transform(F.filter(F.map_keys("new"), lambda k: F.map_contains_key("old", k) & ~old[k].eqNullSafe(new[k])),
+                    lambda k: line("type_changed", k, old[k], new[k])))
+    return versions.where(F.col("old").isNotNull()).select(
+        "dataset_name", "version", "snapshot_timestamp", "previous_timestamp", F.explode(changes).alias("c")
+    ).select("dataset_name", "version", "snapshot_timestamp", "previous_timestamp", "c.*")
+
+
 # ---------------------------------------------------------------- distributions
 
 _SEGMENTS = ("c int, n_old bigint, n_new bigint, first double, olds bigint, news bigint, "

@@ -76,6 +76,14 @@ SELECT {_SET} AS dataset_name, {_DAY} AS snapshot_timestamp,
         '"}}}}') AS schema_json
 FROM {{events}} GROUP BY {_SET}, {_DAY}
 """
+# A schema per dataset and day whose columns come and go and change their type: an event type is a column on a day
+# when it has at least 8 events of the dataset, typed by the largest value.
+SCHEMA_COLUMNS = f"""
+SELECT concat('set-', CAST(user_id % 7 AS STRING)) AS dataset_name, CAST({_DAY} AS TIMESTAMP) AS snapshot_timestamp,
+ event_type AS column_name,
+ CASE WHEN max(value) > 300 THEN 'double' WHEN max(value) > 150 THEN 'bigint' ELSE 'int' END AS dtype
+FROM {{events}} WHERE event_type IS NOT NULL GROUP BY user_id % 7, {_DAY}, event_type HAVING count(*) >= 8
+"""
 COLUMN_HISTORY = f"""
 SELECT event_type AS column_name, {_DAY} AS run_timestamp,
  floor(({_MEAN} / 5) * 100 + 0.5) / 100 AS health_score
@@ -110,6 +118,14 @@ def derived(spark: SparkSession, sf_dir: str, sql: str, source: str) -> DataFram
     return spark.sql(sql, **{source: table(spark, sf_dir, source)})
 
 
+def schema_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots of ``SCHEMA_COLUMNS`` the way a history stores them: one JSON object a dataset and day."""
+    columns = derived(spark, sf_dir, SCHEMA_COLUMNS, "events")
+    entries = F.array_sort(F.collect_list(F.struct("column_name", "dtype")))
+    return columns.groupBy("dataset_name", "snapshot_timestamp").agg(
+        F.to_json(F.map_from_entries(entries)).alias("schema_json"))
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """All columns as text, the way a delimited file delivers them."""
     return df.selectExpr(*[f"cast({ident(c)} as string) as {ident(c)}" for c in df.columns])

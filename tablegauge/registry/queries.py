@@ -267,6 +267,7 @@ def registered() -> dict[str, Query]:
         "schema_type_changes": _schemas(drift.type_changes),
         "schema_compare": _schemas(drift.compare_schemas),
         "schema_has_changes": _schemas(drift.has_changes),
+        "schema_change_log": lambda spark, sf: drift.schema_change_log(i.schema_series(spark, sf)),
         "ks_drift": lambda spark, sf: drift.detect_data_drift(*i.events_by_click(spark, sf)),
         "ks_drift_orders": lambda spark, sf: drift.detect_data_drift(*i.orders_by_date(spark, sf)),
         # history

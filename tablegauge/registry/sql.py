@@ -28,6 +28,7 @@ CHANGED = "changed AS (" + i.CHANGED_CUSTOMER.format(customer="customer") + ")"
 RUNS = "runs AS (" + i.RUNS.format(events="events") + ")"
 METRICS = "metrics AS (" + i.METRICS.format(events="events") + ")"
 SNAPSHOTS = "snapshots AS (" + i.SNAPSHOTS.format(events="events") + ")"
+SCHEMA_COLUMNS = "cols AS (" + i.SCHEMA_COLUMNS.format(events="events") + ")"
 COLUMN_HISTORY = "history AS (" + i.COLUMN_HISTORY.format(events="events") + ")"
 PART_RULES = "rules AS (" + i.PART_RULES.format(part="part") + ")"
 
@@ -439,6 +440,23 @@ SELECT 'customers' AS dataset_name, substring(sha256(schema_json), 1, 12) AS dat
         "column_metric_history": f"""WITH {RUNS}, {METRICS}
 SELECT r.run_timestamp, r.dataset_name, r.dataset_id, m.column_name, m.null_pct, m.outlier_pct, m.health_score
 FROM metrics m JOIN runs r ON m.run_id = r.run_id ORDER BY r.run_timestamp""",
+        "schema_change_log": f"""WITH {SCHEMA_COLUMNS},
+s AS (SELECT dataset_name, snapshot_timestamp, CAST(row_number() OVER w AS INTEGER) AS version,
+             lag(snapshot_timestamp) OVER w AS previous_timestamp
+      FROM (SELECT DISTINCT dataset_name, snapshot_timestamp FROM cols)
+      WINDOW w AS (PARTITION BY dataset_name ORDER BY snapshot_timestamp)),
+k AS (SELECT DISTINCT s.*, c.column_name FROM s JOIN cols c ON c.dataset_name = s.dataset_name
+        AND (c.snapshot_timestamp = s.snapshot_timestamp OR c.snapshot_timestamp = s.previous_timestamp)
+      WHERE s.previous_timestamp IS NOT NULL),
+j AS (SELECT k.*, o.dtype AS old_type, n.dtype AS new_type FROM k
+      LEFT JOIN cols o ON o.dataset_name = k.dataset_name AND o.snapshot_timestamp = k.previous_timestamp
+        AND o.column_name = k.column_name
+      LEFT JOIN cols n ON n.dataset_name = k.dataset_name AND n.snapshot_timestamp = k.snapshot_timestamp
+        AND n.column_name = k.column_name)
+SELECT dataset_name, version, snapshot_timestamp, previous_timestamp,
+       CASE WHEN old_type IS NULL THEN 'added' WHEN new_type IS NULL THEN 'removed' ELSE 'type_changed' END AS change,
+       column_name AS "column", old_type, new_type
+FROM j WHERE old_type IS DISTINCT FROM new_type""",
         "latest_schema": (f"WITH {SNAPSHOTS} SELECT dataset_name, arg_max(schema_json, snapshot_timestamp) AS schema_json "
                           f"FROM snapshots GROUP BY dataset_name"),
         "known_datasets": f"""WITH {RUNS} SELECT dataset_name, arg_max(dataset_label, run_timestamp) AS dataset_label,

@@ -30,6 +30,35 @@ def test_schema_changes(spark):
     assert drift.has_changes(old, old).first()[0] is False
 
 
+def test_schema_change_log_over_history(spark):
+    from datetime import datetime
+
+    day = lambda d: datetime(2024, 1, d)
+    rows = [
+        ("s", day(1), '{"a": "bigint", "b": "string"}'),
+        ("s", day(2), '{"a": "bigint", "b": "string"}'),          # unchanged: no line
+        ("s", day(3), '{"a": "double", "c": "string"}'),
+        ("s", day(4), None),                                        # no schema: all removed
+        ("s", day(4), "not json"),                                  # same moment, ordered by text after null
+        ("s", day(5), '{"x": "int"}'),
+        ("t", day(2), '{"a": "int"}'),                              # first of its dataset: no line
+        ("t", day(1), '{"a": "bigint"}'),
+    ]
+    snaps = spark.createDataFrame(rows, "dataset_name string, snapshot_timestamp timestamp, schema_json string")
+    got = sorted(tuple(r) for r in drift.schema_change_log(snaps).select(
+        "dataset_name", "version", "change", "column", "old_type", "new_type").collect())
+    assert got == [
+        ("s", 3, "added", "c", None, "string"), ("s", 3, "removed", "b", "string", None),
+        ("s", 3, "type_changed", "a", "bigint", "double"),
+        ("s", 4, "removed", "a", "double", None), ("s", 4, "removed", "c", "string", None),
+        ("s", 6, "added", "x", None, "int"),
+        ("t", 2, "type_changed", "a", "bigint", "int"),
+    ]
+    assert drift.schema_change_log(snaps.limit(0)).count() == 0
+    plan = drift.schema_change_log(snaps)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def distance(a, b):
     a, b = np.sort(a[~np.isnan(a)]), np.sort(b[~np.isnan(b)])
     points = np.concatenate([a, b])
