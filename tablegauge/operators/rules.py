@@ -17,7 +17,7 @@ from tablegauge.operators.checks import (
     CHECKS, ERROR, FAIL, NOT_APPLICABLE, PASS, UNIQUE, WARNING, BadParameter, Cell, Check, status_of, violation,
 )
 from tablegauge.operators.columns import column_types, empty_frame
-from tablegauge.operators.uniqueness import key_counts, mark_repeated
+from tablegauge.operators.uniqueness import digest_key, mark_repeated_lines, rule_key_counts
 
 RESULT_SCHEMA = (
     "row_index string, record_id string, rule_id string, rule_name string, dimension string, "
@@ -112,12 +112,17 @@ def apply_rules(df: DataFrame, catalog: Sequence[Rule], id_cols: Sequence[str] |
         ]
         stacked = source.select(index, record, F.inline(F.array(*lines)))
         parts.append(_labelled(stacked, [r for r, _ in compiled.cell], LABELS, ["status", "value"]))
-    for rule in compiled.unique:
-        narrow = source.select(index, record, quoted(rule.attribute).alias("attribute_value"))
-        marked = mark_repeated(narrow, "attribute_value", "repeated").selectExpr(
-            "row_index", "record_id", "1 as rule", f"case when repeated then '{FAIL}' else '{PASS}' end as status",
-            f"{cell_text('attribute_value', types[rule.attribute])} as value")
-        parts.append(_labelled(marked, [rule], LABELS, ["status", "value"]))
+    if compiled.unique:
+        # All UNIQUE rules in one count and one marking; the lines carry a digest of the value as their key.
+        keyed = [
+            F.struct(F.lit(i + 1).alias("rule"), digest_key(rule.attribute, types[rule.attribute]).alias("key"),
+                     F.expr(f"{cell_text(rule.attribute, types[rule.attribute])} as value"))
+            for i, rule in enumerate(compiled.unique)
+        ]
+        stacked = source.select(index, record, F.inline(F.array(*keyed)))
+        marked = mark_repeated_lines(stacked, "repeated").selectExpr(
+            "row_index", "record_id", "rule", f"case when repeated then '{FAIL}' else '{PASS}' end as status", "value")
+        parts.append(_labelled(marked, compiled.unique, LABELS, ["status", "value"]))
     if compiled.single:
         parts.append(_single_lines(df.sparkSession, compiled.single))
     if not parts:
@@ -186,11 +191,14 @@ def rule_rollup(df: DataFrame, catalog: Sequence[Rule], checks: dict[str, Check]
     parts = [
         _rollup_block(df, compiled.cell[i:i + RULE_BLOCK]) for i in range(0, len(compiled.cell), RULE_BLOCK)
     ]
-    for rule in compiled.unique:
-        counts = key_counts(df, rule.attribute).selectExpr(
-            "1 as rule", "coalesce(sum(__copies), 0L) as total", "count_if(__copies = 1) as passed")
+    if compiled.unique:
+        types = column_types(df)
+        keys = F.array(*[F.struct(F.lit(i + 1).alias("rule"), digest_key(rule.attribute, types[rule.attribute]).alias("key"))
+                         for i, rule in enumerate(compiled.unique)])
+        counts = rule_key_counts(df.select(F.inline(keys))).groupBy("rule").agg(
+            F.sum("__copies").alias("total"), F.count_if(F.col("__copies") == 1).alias("passed"))
         parts.append(_rollup_lines(counts.selectExpr(
-            "*", "total - passed as failed", "0L as warnings", "0L as not_applicable", "0L as errors"), [rule]))
+            "*", "total - passed as failed", "0L as warnings", "0L as not_applicable", "0L as errors"), compiled.unique))
     if compiled.single:
         parts.append(rollup_results(_single_lines(df.sparkSession, compiled.single)))
     if not parts:

@@ -47,7 +47,9 @@ def test_unique_long_text_is_compared_in_full(spark):
     assert statuses(spark, [long + "a", long + "b", long + "a"], "UNIQUE") == ["FAIL", "PASS", "FAIL"]
 
 
-def test_unique_with_hot_keys(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_keys", [0, 1_000_000])
+def test_unique_with_hot_keys(spark, monkeypatch, broadcast_keys):
+    monkeypatch.setattr(uniqueness, "BROADCAST_KEYS", broadcast_keys)
     monkeypatch.setattr(uniqueness, "HOT_KEYS", 5)
     monkeypatch.setattr(uniqueness, "HOT_COPIES", 3)
     values = ["h"] * 40 + [None] * 30 + ["a", "a", "b", "c", "c", "c"]
@@ -55,6 +57,29 @@ def test_unique_with_hot_keys(spark, monkeypatch):
     assert statuses(spark, values, "UNIQUE") == expected
 
 
+@pytest.mark.parametrize("broadcast_keys", [0, 1_000_000])
+def test_unique_rules_are_marked_together(spark, monkeypatch, broadcast_keys):
+    """Several UNIQUE rules share one key count and one marking; the text stays out of every shuffle if the
+    repeated keys are few enough to be broadcast."""
+    monkeypatch.setattr(uniqueness, "BROADCAST_KEYS", broadcast_keys)
+    rows = [(i, f"t{i % 7}" if i % 3 else f"u{i}", i % 5 if i % 4 else None, "long text " * 40 + str(i % 2))
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a string, b int, c string")
+    rules = [rule("UNIQUE", attribute=name, rule_id=name) for name in ("a", "b", "c", "id")]
+    found = apply_rules(df, rules, ["id"])
+    got = {(int(x["row_index"]), x["attribute"]): x["status"] for x in found.collect()}
+    for k, name in enumerate(("id", "a", "b", "c")):
+        values = [r[k] for r in rows]
+        for i, v in enumerate(values):
+            assert got[(i, name)] == ("FAIL" if values.count(v) > 1 else "PASS")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    if broadcast_keys:
+        assert "hashpartitioning" not in plan
+    rolled = {x["rule_id"]: (x["total"], x["failed"]) for x in rule_rollup(df, rules).collect()}
+    assert rolled == {name: (60, sum(1 for i in range(60) if [r[k] for r in rows].count(rows[i][k]) > 1))
+                      for k, name in enumerate(("id", "a", "b", "c"))}
+
+
 def test_regex_is_anchored_at_the_start_only(spark):
     assert statuses(spark, ["abc", "xab", None], "REGEX", "ab") == ["PASS", "FAIL", "NOT_APPLICABLE"]
     assert statuses(spark, ["xb", "ab", "cb"], "REGEX", "x|a") == ["PASS", "PASS", "FAIL"]
