@@ -11,6 +11,9 @@ order.  Each document's ids (unsigned 32-bit, little-endian, the end id appended
 where ``masked(c) = ((c >> 15) | (c << 17)) + 0xA282EAD8`` (32 bits).  The layout is that of TFRecord files, but the
 checksum is CRC-32 as zlib computes it, not CRC-32C, which no installed library provides.
 
+Ids come from the word-level tokenizer through the word table that packing uses too (each distinct word is
+tokenized once); texts that may hold a special token's name are given to the tokenizer whole.
+
 Executors write only through Spark, so the byte stream is stored in blocks of consecutive records (``blocks``: range,
 block, data, and the entries of the block) of about ``block_bytes``; a longer record is a block of its own.  The index
 (``index``: doc_id, range, block, offset, n_tokens, start) is a table apart, so that a reader can fetch any record by
@@ -34,13 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tablegauge.functions.missing import quoted
+from tablegauge.llm.packing import _token_batches as token_ids
+from tablegauge.llm.textarrays import chunks
 
 
 @dataclass(frozen=True)
 class Framing:
     end_id: int = 2
-    block_bytes: int = 8 << 20
-    batch: int = 256
+    block_bytes: int = 4 << 20
+    row_group_bytes: int = 32 << 20
 
 
 ENTRY = "struct<doc_id: bigint, offset: bigint, n_tokens: bigint, local_start: bigint>"
@@ -81,52 +86,46 @@ def records(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 def _encoder(tokenizer_path: str, options: Framing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
         part = TaskContext.get().partitionId()
         block, buffer, entries, used, start = 0, [], [], 0, 0
-        schema = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("data", pa.binary()),
-                            ("entries", pa.list_(pa.struct([("doc_id", pa.int64()), ("offset", pa.int64()),
-                                                            ("n_tokens", pa.int64()),
-                                                            ("local_start", pa.int64())])))])
 
         def flush():
             nonlocal block, buffer, entries, used
             out = pa.RecordBatch.from_pydict({"range": [part], "block": [block], "data": [b"".join(buffer)],
-                                              "entries": [entries]}, schema=schema)
+                                              "entries": [entries]}, schema=_BLOCKS_SCHEMA)
             block, buffer, entries, used = block + 1, [], [], 0
             return out
 
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), options.batch):
-                encoded = tokenizer.encode_batch([t or "" for t in texts[at: at + options.batch]],
-                                                 add_special_tokens=False)
-                for doc_id, enc in zip(ids[at: at + options.batch], encoded):
-                    tokens = np.empty(len(enc.ids) + 1, dtype="<u4")
-                    tokens[:-1] = enc.ids
-                    tokens[-1] = options.end_id
-                    record = frame(tokens.tobytes())
-                    if buffer and used + len(record) > options.block_bytes:
-                        yield flush()
-                    entries.append({"doc_id": doc_id, "offset": used, "n_tokens": len(tokens), "local_start": start})
-                    buffer.append(record)
-                    used += len(record)
-                    start += len(tokens)
+        for piece, text in chunks(batches, "text"):
+            ids = piece.column("doc_id").to_pylist()
+            for doc_id, tokens in zip(ids, token_ids(text, tokenizer_path)):
+                record = frame(np.append(tokens, options.end_id).astype("<u4").tobytes())
+                if buffer and used + len(record) > options.block_bytes:
+                    yield flush()
+                n = len(tokens) + 1
+                entries.append({"doc_id": doc_id, "offset": used, "n_tokens": n, "local_start": start})
+                buffer.append(record)
+                used += len(record)
+                start += n
         if buffer:
             yield flush()
 
     return run
 
 
+_BLOCKS_SCHEMA = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("data", pa.binary()),
+                           ("entries", pa.list_(pa.struct([("doc_id", pa.int64()), ("offset", pa.int64()),
+                                                           ("n_tokens", pa.int64()), ("local_start", pa.int64())])))])
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, options: Framing = Framing(),
                       id_col: str = "doc_id", text_col: str = "text") -> None:
     """``path``/blocks and ``path``/index for every document of ``docs``, in ascending id order."""
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.mapInArrow(_encoder(tokenizer_path, options), BLOCKS).write.parquet(f"{path}/blocks")
+    ranged.mapInArrow(_encoder(tokenizer_path, options), BLOCKS).write.option(
+        "parquet.block.size", options.row_group_bytes).parquet(f"{path}/blocks")
     spark = docs.sparkSession
     entries = spark.read.parquet(f"{path}/blocks").select("range", "block", F.explode("entries").alias("e")).select(
         "range", "block", "e.*")
@@ -141,9 +140,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, options:
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {"range": [], "block": [], "offset": [], "n_tokens": [], "ids_crc32": []}
-        for part, block, data in zip(batch.column("range").to_pylist(), batch.column("block").to_pylist(),
-                                     batch.column("data").to_pylist()):
-            for offset, payload in records(data):
+        blocks = batch.column("data")
+        for row, (part, block) in enumerate(zip(batch.column("range").to_pylist(), batch.column("block").to_pylist())):
+            for offset, payload in records(blocks[row].as_py()):
                 if len(payload) % 4:
                     raise ValueError(f"record at byte {offset} of block {part}/{block} is not a list of 32-bit ids")
                 for name, value in zip(out, (part, block, offset, len(payload) // 4, zlib.crc32(payload))):
