@@ -15,7 +15,7 @@ from tablegauge.functions.missing import ident, is_numeric, literal, missing, nu
 from tablegauge.functions.rounding import percent, ratio, round_even
 from tablegauge.functions.text import EMAIL_PATTERN, PHONE_PATTERN, cell_text, compact_key, encoded, matches_from_start
 from tablegauge.operators.columns import ROWS, column_types, empty_frame, name_at, name_lines, per_column
-from tablegauge.operators.quantiles import column_quantiles
+from tablegauge.operators.quantiles import column_quantiles, sketch_expression
 from tablegauge.sources.summary import bytes_of
 
 NULLS_SCHEMA = "column string, null_count bigint, null_pct double"
@@ -250,7 +250,7 @@ def _count_outliers(numbers: DataFrame, columns: list[str], test: Callable[[str]
 FACT_BLOCK = 16
 FACTS_SCHEMA = (
     "column string, n_rows bigint, null_count bigint, present bigint, bytes bigint, is_number boolean, mean double, "
-    "std double, min double, max double, pattern string, matched bigint"
+    "std double, min double, max double, pattern string, matched bigint, sketch array<double>"
 )
 
 
@@ -274,6 +274,7 @@ def column_facts(df: DataFrame) -> DataFrame:
         "mean": moment("avg"), "std": moment("stddev_samp"), "min": moment("min"), "max": moment("max"),
         "pattern": lambda c, t: literal(patterns[c][0] if c in patterns else None),
         "matched": matched,
+        "sketch": lambda c, t: sketch_expression(number(c, t)) if is_numeric(t) else "cast(null as array<double>)",
     }, FACTS_SCHEMA, FACT_BLOCK)
 
 

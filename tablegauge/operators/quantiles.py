@@ -27,6 +27,10 @@ SKETCH_ACCURACY = 10_000
 SKETCHED_SHARE = 1 / 16
 SKETCHED_LEAST, SKETCHED_MOST = 50_000, 64_000_000
 SKETCH_SEED = 17
+# The facts pass of a profile takes a mergeable sketch per column: its values at GRID + 1 evenly spaced shares, off
+# by at most 1 / GRID_ACCURACY of the values in rank.  It proposes the first bracket of every quantile.
+GRID = 256
+GRID_ACCURACY = 2048
 
 
 def _clamp(x: float, least: float, most: float) -> float:
@@ -88,28 +92,91 @@ class _Quantile:
         return lower + (upper - lower) * weight
 
 
-def column_quantiles(numbers: DataFrame, probs: Sequence[float],
-                     counts: dict[str, int] | None = None) -> dict[str, list[float]]:
+def sketch_expression(value: str) -> str:
+    """A mergeable sketch of a column (SQL), to be taken in a pass that aggregates anyway: the values at GRID + 1
+    evenly spaced shares.  NULL for a column without values."""
+    shares = ", ".join(number_literal(i / GRID) for i in range(GRID + 1))
+    return f"percentile_approx({value}, array({shares}), {GRID_ACCURACY})"
+
+
+def _from_sketch(q: _Quantile, grid: list[float]) -> tuple[float, float]:
+    """Two grid values whose ranks lie before and after the quantile's two ranks, if the sketch keeps its bound."""
+    margin = 2.0 / GRID_ACCURACY
+    first, second = q.ranks
+    low = max(0, math.floor((first / q.n - margin) * GRID))
+    high = min(GRID, math.ceil(((second + 1) / q.n + margin) * GRID))
+    return grid[low], grid[high]
+
+
+def column_quantiles(numbers: DataFrame, probs: Sequence[float], counts: dict[str, int] | None = None,
+                     sketches: dict[str, list[float]] | None = None,
+                     approximate: bool = False) -> dict[str, list[float]]:
     """Exact quantiles of every column of ``numbers`` (doubles, missing as NULL; see `numeric_values`).
 
-    ``counts`` are the numbers of values per column, if they are known already.  Columns without values are left out.  Runs jobs.  The result has ``len(probs)`` numbers per column, so it is
-    as small as the schema.
+    ``counts`` are the numbers of values per column, if they are known already; ``sketches`` the columns'
+    `sketch_expression`, if a pass took them already: they propose the first brackets, so that no pass of its own
+    is needed for that.  Columns without values are left out.  Runs jobs.  The result has ``len(probs)`` numbers per
+    column, so it is as small as the schema.
+
+    ``approximate=True`` gives in one pass, for each share p, a value whose rank lies within n / GRID_ACCURACY of
+    p * n (the sketch's order statistic, without interpolation); `approximation_errors` checks that bound.
     """
+    if approximate:
+        return approximate_quantiles(numbers, probs)
     out: dict[str, list[float]] = {}
     for i in range(0, len(numbers.columns), COLUMN_BLOCK):
         block = numbers.columns[i:i + COLUMN_BLOCK]
         known = counts or dict(zip(block, numbers.selectExpr(*[f"count({ident(c)})" for c in block]).first()))
-        out.update(_block_quantiles(numbers, {c: known[c] for c in block if known[c] > 0}, list(probs)))
+        out.update(_block_quantiles(numbers, {c: known[c] for c in block if known[c] > 0}, list(probs),
+                                    sketches or {}))
+    return out
+
+
+def approximate_quantiles(numbers: DataFrame, probs: Sequence[float]) -> dict[str, list[float]]:
+    """The sketch's value at each share, for every column with values: one pass."""
+    shares = ", ".join(number_literal(p) for p in probs)
+    out: dict[str, list[float]] = {}
+    for i in range(0, len(numbers.columns), COLUMN_BLOCK):
+        block = numbers.columns[i:i + COLUMN_BLOCK]
+        row = numbers.selectExpr(*[f"percentile_approx({ident(c)}, array({shares}), {GRID_ACCURACY})"
+                                   for c in block]).first()
+        out.update({c: list(v) for c, v in zip(block, row) if v is not None})
     return out
 
 
-def _block_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float]) -> dict[str, list[float]]:
+def approximation_errors(numbers: DataFrame, probs: Sequence[float], values: dict[str, list[float]]) -> DataFrame:
+    """``(column, prob, value, n, rank_low, rank_high, within_bound)``: where each approximate value ranks, counted
+    exactly in one pass, and whether some rank of it lies within ``n / GRID_ACCURACY`` (plus one for rounding) of
+    ``prob * n``."""
+    spark = numbers.sparkSession
+    lines = [(c, float(p), float(v)) for c, vs in values.items() for p, v in zip(probs, vs)]
+    if not lines:
+        return spark.createDataFrame([], "column string, prob double, value double, n bigint, rank_low bigint, "
+                                         "rank_high bigint, within_bound boolean")
+    counts = []
+    for c, _, v in lines:
+        counts += [f"count_if({ident(c)} < {number_literal(v)})", f"count_if({ident(c)} <= {number_literal(v)})",
+                   f"count({ident(c)})"]
+    row = numbers.selectExpr(*counts).first()
+    found = [(c, p, v, row[3 * k + 2], row[3 * k] + 1, row[3 * k + 1]) for k, (c, p, v) in enumerate(lines)]
+    table = spark.createDataFrame(found, "column string, prob double, value double, n bigint, rank_low bigint, "
+                                         "rank_high bigint")
+    target, slack = F.col("prob") * F.col("n"), F.col("n") / F.lit(GRID_ACCURACY) + F.lit(1)
+    within = (F.col("rank_low") <= target + slack) & (F.col("rank_high") >= target - slack)
+    return table.withColumn("within_bound", within)
+
+
+def _block_quantiles(df: DataFrame, counts: dict[str, int], probs: list[float],
+                     sketches: dict[str, list[float]]) -> dict[str, list[float]]:
     quantiles = [
         _Quantile(p, n, _Bracket(c, None, None, 0, 0, n, 0)) for c, n in counts.items() for p in probs]
 
     def too_wide(q: _Quantile) -> bool:
         return q.open and q.bracket.inside > _clamp(q.n * SORTED_SHARE, SORTED_LEAST, SORTED_MOST)
 
+    sketched = [q for q in quantiles if too_wide(q) and sketches.get(q.bracket.column)]
+    if sketched:
+        _narrow(df, sketched, [_from_sketch(q, sketches[q.bracket.column]) for q in sketched])
     while wide := [q for q in quantiles if too_wide(q)]:
         _narrow(df, wide)
     inner = _inner_values(df, [q for q in quantiles if q.open])
@@ -148,9 +215,10 @@ def _measure(df: DataFrame, intervals: list[tuple[str, float | None, float | Non
     return brackets
 
 
-def _narrow(df: DataFrame, quantiles: list[_Quantile]) -> None:
-    """One sketch and one exact count; every quantile ends with a smaller bracket."""
-    proposals = _propose(df, quantiles)
+def _narrow(df: DataFrame, quantiles: list[_Quantile], proposals: list[tuple[float, float]] | None = None) -> None:
+    """One sketch (unless ``proposals`` come from one taken before) and one exact count; every quantile ends with a
+    smaller bracket."""
+    proposals = proposals or _propose(df, quantiles)
     trials = _measure(df, [(q.bracket.column, *p) for q, p in zip(quantiles, proposals)])
     missed = []
     for q, trial in zip(quantiles, trials):

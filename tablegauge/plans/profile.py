@@ -35,14 +35,17 @@ class Profile:
 def run_full_profile(df: DataFrame) -> Profile:
     """Profile a table, computing every shared number once.
 
-    One scan gives all facts that need no second look at the data; quartiles with the median, outliers,
-    duplicates and distinct values each add their own.  These tables of a few rows are written to the checkpoint
+    One scan gives all facts that need no second look at the data, a quantile sketch of every numeric column among
+    them; quartiles with the median (an exact count and the sort of what the sketch leaves), outliers, duplicates
+    and distinct values each add their own.  These tables of a few rows are written to the checkpoint
     folder, and everything else is derived from them.
     """
     facts = cut_lineage(p.column_facts(df))
-    present = {r["column"]: r["present"] for r in facts.where("is_number").select("column", "present").collect()}
+    numeric = facts.where("is_number").select("column", "present", "sketch").collect()
+    present = {r["column"]: r["present"] for r in numeric}
     numbers = p.numeric_values(df)
-    quartiles = column_quantiles(numbers, [0.25, 0.5, 0.75], present)
+    # The facts pass took a sketch of every numeric column: it proposes the first brackets of the quartiles.
+    quartiles = column_quantiles(numbers, [0.25, 0.5, 0.75], present, {r["column"]: r["sketch"] for r in numeric})
     outliers = cut_lineage(p.iqr_outliers(numbers, {c: (q[0], q[2]) for c, q in quartiles.items()}))
     duplicates = cut_lineage(p.duplicate_detection(df))
     cardinality = cut_lineage(p.cardinality_analysis(df))

@@ -11,6 +11,7 @@ from tablegauge.operators import catalog as c, drift, forecast, profile as p, re
 from tablegauge.operators.catalog import Rule, customer_rules
 from tablegauge.operators.checks import CHECKS
 from tablegauge.operators.rules import apply_rules, rule_rollup
+from tablegauge.operators.quantiles import approximate_quantiles, approximation_errors
 from tablegauge.plans.profile import run_full_profile
 from tablegauge.registry import inputs as i
 from tablegauge.sources import history as h
@@ -59,6 +60,16 @@ def _on(name: str, query: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: query(i.table(spark, sf, name))
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def _quantile_bounds(df: DataFrame) -> DataFrame:
+    """Approximate quartiles in one pass, and whether each one ranks within the sketch's bound (counted exactly)."""
+    numbers = p.numeric_values(df)
+    found = approximation_errors(numbers, QUARTILES, approximate_quantiles(numbers, QUARTILES))
+    return found.select("column", "prob", "n", "within_bound")
+
+
 def _derived(sql: str, source: str, query: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: query(i.derived(spark, sf, sql, source))
 
@@ -261,6 +272,7 @@ def registered() -> dict[str, Query]:
         "overall_quality": _dirty(p.overall_quality_score),
         "full_profile": _dirty(_full_profile),
         "full_profile_lineitem": _on("lineitem", _full_profile),
+        "quantile_bounds_lineitem": _on("lineitem", _quantile_bounds),
         # drift
         "schema_added": _schemas(drift.added_columns),
         "schema_removed": _schemas(drift.removed_columns),

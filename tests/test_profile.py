@@ -150,6 +150,31 @@ def test_bracketed_quantiles_are_exact(spark, small_brackets, partitions):
                        for i in range(len(probs)))
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_quantiles_from_a_sketch_of_the_facts_pass_stay_exact(spark, small_brackets, partitions):
+    pdf = quantile_frame().drop(columns=["infinite"])
+    df = spark.createDataFrame(pdf).repartition(partitions)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0]
+    sketches = dict(zip(pdf.columns, df.selectExpr(*[q.sketch_expression(c) for c in pdf.columns]).first()))
+    # A sketch that proposes nonsense costs a round more, never the exactness.
+    sketches["ties"] = [0.5] * (q.GRID + 1)
+    found = q.column_quantiles(df, probs, sketches=sketches)
+    for c in pdf:
+        assert found[c] == pytest.approx(list(np.quantile(pdf[c], probs)), rel=1e-15), c
+
+
+def test_approximate_quantiles_keep_their_bound(spark):
+    pdf = quantile_frame().drop(columns=["infinite"])
+    df = spark.createDataFrame(pdf).repartition(5)
+    probs = [0.01, 0.25, 0.5, 0.75, 0.99]
+    found = q.column_quantiles(df, probs, approximate=True)
+    assert sorted(found) == sorted(pdf.columns)
+    checked = q.approximation_errors(df, probs, found).collect()
+    assert len(checked) == len(probs) * len(pdf.columns) and all(r.within_bound for r in checked)
+    assert q.approximation_errors(df, probs, {"smooth": [100.0] * 5}).first().within_bound is False
+    assert q.column_quantiles(df.where("false"), probs, approximate=True) == {}
+
+
 def test_quantiles_of_one_two_and_no_values(spark):
     df = spark.createDataFrame([(1.0, 3.0, None), (2.0, None, None)], "a double, b double, c double")
     assert q.column_quantiles(df, [0.25, 0.5]) == {"a": [1.25, 1.5], "b": [3.0, 3.0]}
