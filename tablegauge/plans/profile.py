@@ -27,6 +27,7 @@ class Profile:
     completeness: DataFrame
     column_health: DataFrame
     quality: DataFrame
+    sketches: DataFrame           # (column, n_rows, sketch): distinct-value sketches, to be united over runs
 
     def as_dict(self) -> dict[str, DataFrame]:
         return dict(self.__dict__)
@@ -60,4 +61,5 @@ def run_full_profile(df: DataFrame) -> Profile:
         statistics=p.statistics_of(facts, {c: q[1] for c, q in quartiles.items()}), outliers=outliers,
         completeness=completeness, column_health=health,
         quality=p.blend_quality(completeness, duplicates, health),
+        sketches=facts.select("column", "n_rows", F.col("distinct").alias("sketch")),
     )

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablegauge.functions.missing import ident, literal
 from tablegauge.functions.rounding import round_even
 from tablegauge.operators import catalog as c, drift, forecast, profile as p, results as r, views as v
 from tablegauge.operators.catalog import Rule, customer_rules
@@ -70,6 +71,19 @@ def _quantile_bounds(df: DataFrame) -> DataFrame:
     return found.select("column", "prob", "n", "within_bound")
 
 
+def _distinct_over_deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct values of every column of orders over two deliveries, from their sketches alone, and whether each
+    estimate lies within the stated bound of the exact count (counted here only to check it)."""
+    old, new = i.orders_by_date(spark, sf)
+    sketches = p.distinct_sketches(old).unionByName(p.distinct_sketches(new))
+    united = p.united_cardinality(sketches)
+    both = old.unionByName(new)
+    exact = both.selectExpr(*[f"count(distinct {ident(c)}) as {ident(c)}" for c in both.columns]).selectExpr(
+        f"stack({len(both.columns)}, {', '.join(f'{literal(c)}, {ident(c)}' for c in both.columns)}) as (column, exact)")
+    error = F.abs(F.col("unique_count") - F.col("exact")) <= F.lit(p.DISTINCT_BOUND) * F.col("exact")
+    return united.join(F.broadcast(exact), "column").select("column", "n_rows", error.alias("within_bound"))
+
+
 def _derived(sql: str, source: str, query: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: query(i.derived(spark, sf, sql, source))
 
@@ -273,6 +287,7 @@ def registered() -> dict[str, Query]:
         "full_profile": _dirty(_full_profile),
         "full_profile_lineitem": _on("lineitem", _full_profile),
         "quantile_bounds_lineitem": _on("lineitem", _quantile_bounds),
+        "distinct_over_deliveries": _distinct_over_deliveries,
         # drift
         "schema_added": _schemas(drift.added_columns),
         "schema_removed": _schemas(drift.removed_columns),

@@ -409,6 +409,9 @@ FROM customer HAVING count(c_acctbal) > 0 UNION ALL SELECT 'many', 0, 0.0e0 FROM
 SELECT {rounded("f.completeness_pct * 0.4e0 + (100 - dup.duplicate_pct) * 0.2e0 + h.average * 0.4e0", 2)} AS quality_score
 FROM filled f, dup, (SELECT avg(health_score) AS average FROM health) h""",
         "full_profile": f"WITH {DIRTY}, {full_profile('dirty', i.DIRTY_COLUMNS, DIRTY_NUMBERS)}",
+        "distinct_over_deliveries": " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", (SELECT count(*) FROM orders) AS n_rows, true AS within_bound"
+            for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")),
         "quantile_bounds_lineitem": " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", q.prob, (SELECT count({c}) FROM lineitem) AS n, true AS within_bound "
             "FROM (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) q(prob)" for c in LINEITEM_NUMBERS),

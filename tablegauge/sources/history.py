@@ -30,7 +30,9 @@ SNAPSHOTS_SCHEMA = (
     "dataset_id string, dataset_label string, snapshot_timestamp timestamp, schema_json string, "
     "dataset_name string"
 )
+SKETCHES_SCHEMA = "run_id string, column_name string, n_rows bigint, sketch binary, dataset_name string"
 RUNS, METRICS, SNAPSHOTS = "profiling_runs", "column_metrics", "schema_snapshots"
+SKETCHES = "column_sketches"
 
 
 class History:
@@ -65,11 +67,17 @@ class History:
     def snapshots(self) -> DataFrame:
         return self._read(SNAPSHOTS, SNAPSHOTS_SCHEMA)
 
+    @property
+    def sketches(self) -> DataFrame:
+        """Distinct-value sketches of the columns of every run (see `operators.profile.united_cardinality`)."""
+        return self._read(SKETCHES, SKETCHES_SCHEMA)
+
     def save_profiling_run(self, dataset_name: str, profile, dataset_label: str | None = None,
                            at: datetime | None = None) -> str:
-        """Append one run and its column metrics; returns the run id.  ``profile`` is a `Profile`.
+        """Append one run, its column metrics and the distinct-value sketches of its columns; returns the run id.
+        ``profile`` is a `Profile`.
 
-        The metrics go first: a run is visible only once they are there.
+        Metrics and sketches go first: a run is visible only once they are there.
         """
         run_id = self.spark.range(1).select(F.uuid()).head()[0]
         moment = F.lit(at or datetime.now(timezone.utc)).cast("timestamp")
@@ -77,6 +85,11 @@ class History:
         self._append(
             metrics.select(F.lit(run_id).alias("run_id"), "*", F.lit(dataset_name).alias("dataset_name")),
             METRICS, METRICS_SCHEMA)
+        sketches = getattr(profile, "sketches", None)
+        if sketches is not None:
+            self._append(sketches.select(F.lit(run_id).alias("run_id"), F.col("column").alias("column_name"),
+                                         "n_rows", "sketch", F.lit(dataset_name).alias("dataset_name")),
+                         SKETCHES, SKETCHES_SCHEMA)
         run = run_line(profile).select(
             F.lit(run_id).alias("run_id"), F.lit(dataset_label or dataset_name).alias("dataset_label"),
             moment.alias("run_timestamp"), "*", F.lit(dataset_name).alias("dataset_name"))

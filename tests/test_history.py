@@ -118,3 +118,25 @@ def test_run_rules(spark):
     assert report.score.first()["rules_executed"] == 11
     assert [r["record_id"] for r in report.exceptions.where("rule_id = 'CUST-010'").collect()] == ["0", "1", "2"]
     assert {r["dimension"]: r["pass_rate_pct"] for r in report.dimensions.collect()}["Uniqueness"] == 100.0
+
+
+def test_distinct_values_over_runs_from_their_sketches(spark, tmp_path):
+    """Each run keeps a sketch per column; the union over runs needs no second look at the data."""
+    from tablegauge.operators import profile as p
+
+    history = History(spark, str(tmp_path / "history"))
+    first = spark.range(0, 30_000).selectExpr("id % 20000 as k", "cast(id % 7 as string) as s", "cast(null as double) as x")
+    second = spark.range(10_000, 50_000).selectExpr("id % 20000 + 15000 as k", "cast(id % 9 as string) as s",
+                                                     "-0.0 * id as x")
+    record(history, "d", first)
+    record(history, "d", second)
+    assert history.sketches.select("run_id").distinct().count() == 2
+    got = {r["column"]: r for r in p.united_cardinality(
+        history.sketches.withColumnRenamed("column_name", "column")).collect()}
+    exact = {"k": 35_000, "s": 9, "x": 1}
+    for column, count in exact.items():
+        assert got[column].n_rows == 70_000
+        assert abs(got[column].unique_count - count) <= p.DISTINCT_BOUND * count, column
+    assert got["s"].unique_count == 9 and got["x"].unique_count == 1   # few values: exact; both zeros are one
+    empty = p.united_cardinality(p.distinct_sketches(first.where("false")))
+    assert {r["column"]: r.unique_count for r in empty.collect()} == {"k": 0, "s": 0, "x": 0}
