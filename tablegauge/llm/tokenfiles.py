@@ -46,6 +46,7 @@ class Framing:
     end_id: int = 2
     block_bytes: int = 4 << 20
     row_group_bytes: int = 32 << 20
+    chunk_bytes: int = 4 << 20      # text tokenized at a time: fewer, larger updates of the word table
 
 
 ENTRY = "struct<doc_id: bigint, offset: bigint, n_tokens: bigint, local_start: bigint>"
@@ -64,8 +65,9 @@ def frame(payload: bytes) -> bytes:
             + struct.pack("<I", masked(zlib.crc32(payload))))
 
 
-def records(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """Offset and payload of each record of a byte stream; raises on a cut or damaged record."""
+def records(data: bytes) -> Iterator[tuple[int, bytes, int]]:
+    """Offset, payload and the payload's CRC-32 of each record of a byte stream; raises on a cut or damaged
+    record."""
     at, size = 0, len(data)
     while at < size:
         if at + 12 > size:
@@ -78,9 +80,10 @@ def records(data: bytes) -> Iterator[tuple[int, bytes]]:
         if stop + 4 > size:
             raise ValueError(f"record at byte {at} is cut short")
         payload = data[at + 12: stop]
-        if masked(zlib.crc32(payload)) != struct.unpack("<I", data[stop: stop + 4])[0]:
+        crc = zlib.crc32(payload)
+        if masked(crc) != struct.unpack("<I", data[stop: stop + 4])[0]:
             raise ValueError(f"data checksum differs at byte {at}")
-        yield at, payload
+        yield at, payload, crc
         at = stop + 4
 
 
@@ -96,7 +99,7 @@ def _encoder(tokenizer_path: str, options: Framing):
             block, buffer, entries, used = block + 1, [], [], 0
             return out
 
-        for piece, text in chunks(batches, "text"):
+        for piece, text in chunks(batches, "text", options.chunk_bytes):
             ids = piece.column("doc_id").to_pylist()
             for doc_id, tokens in zip(ids, token_ids(text, tokenizer_path)):
                 record = frame(np.append(tokens, options.end_id).astype("<u4").tobytes())
@@ -142,10 +145,10 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = {"range": [], "block": [], "offset": [], "n_tokens": [], "ids_crc32": []}
         blocks = batch.column("data")
         for row, (part, block) in enumerate(zip(batch.column("range").to_pylist(), batch.column("block").to_pylist())):
-            for offset, payload in records(blocks[row].as_py()):
+            for offset, payload, crc in records(blocks[row].as_py()):
                 if len(payload) % 4:
                     raise ValueError(f"record at byte {offset} of block {part}/{block} is not a list of 32-bit ids")
-                for name, value in zip(out, (part, block, offset, len(payload) // 4, zlib.crc32(payload))):
+                for name, value in zip(out, (part, block, offset, len(payload) // 4, crc)):
                     out[name].append(value)
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
             ("range", pa.int32()), ("block", pa.int32()), ("offset", pa.int64()), ("n_tokens", pa.int64()),

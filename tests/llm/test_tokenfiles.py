@@ -43,13 +43,13 @@ def test_index_gives_random_access(spark, docs):
     path = written(spark, docs)
     index = {(r.range, r.block, r.offset): r for r in spark.read.parquet(f"{path}/index").collect()}
     for b in spark.read.parquet(f"{path}/blocks").collect():
-        for offset, payload in tokenfiles.records(b.data):
+        for offset, payload, _ in tokenfiles.records(b.data):
             assert index[(b.range, b.block, offset)].n_tokens == len(payload) // 4
 
 
 def test_damage_is_found():
     data = tokenfiles.frame(np.arange(5, dtype="<u4").tobytes()) + tokenfiles.frame(b"")
-    assert [len(p) for _, p in tokenfiles.records(data)] == [20, 0]
+    assert [len(p) for _, p, _ in tokenfiles.records(data)] == [20, 0]
     for bad in (data[:-1], data[:3] + b"x" + data[4:], data[:14] + b"\xff" + data[15:]):
         with pytest.raises(ValueError):
             list(tokenfiles.records(bad))
