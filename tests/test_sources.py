@@ -49,6 +49,19 @@ def test_csv_with_short_and_long_records(spark, tmp_path):
         load_dataset(spark, str(surplus))
 
 
+def test_csv_with_long_quoted_fields_in_odd_records(spark, tmp_path):
+    """A record one field short with a very long quoted field, doubled quotes in it, does not stop the reader."""
+    long = "x" * 30_000 + '""q"", 1' * 2_000
+    path = tmp_path / "long_field.csv"
+    path.write_text(f'a,b,c\n1,"{long}",3\n2,"{long}"\n', encoding="utf-8")
+    rows = sorted(map(tuple, load_dataset(spark, str(path)).collect()), key=str)
+    assert rows == [(1, long.replace('""', '"'), 3), (2, long.replace('""', '"'), None)]
+    surplus = tmp_path / "long_surplus.csv"
+    surplus.write_text(f'a,b\n1,"{long}",3\n', encoding="utf-8")
+    with pytest.raises(ValueError, match="does not fit its 2 columns"):
+        load_dataset(spark, str(surplus))
+
+
 def test_text_columns_can_be_kept(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("phone,zip\n+15551234567,00120\n", encoding="utf-8")
