@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from tablegauge.functions.lineage import cut_lineage
 from tablegauge.functions.missing import is_numeric, number
 from tablegauge.functions.rounding import round_even
 from tablegauge.operators.columns import column_types, empty_frame, name_at
@@ -187,14 +189,62 @@ def ks_p_value(distance: Column, n_old: Column, n_new: Column) -> Column:
         F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
 
 
-def detect_data_drift(old: DataFrame, new: DataFrame, alpha: float = 0.05) -> DataFrame:
+# Fixed value: p-values are exact while neither sample has more values than this (the rule of the usual two-sample
+# test's automatic method); beyond it they come from the limiting distribution.
+EXACT_MOST = 10_000
+
+
+def ks_exact_p(distance: float, n_old: int, n_new: int) -> float:
+    """Exact two-sided p-value: the share of all orderings of the two samples (no ties) whose statistic is at least
+    ``distance``.
+
+    A uniformly random ordering is a random path through the (n_old + 1) x (n_new + 1) lattice; the probability of
+    staying strictly inside the band ``|i * n_new - j * n_old| < distance * n_old * n_new`` is carried from one
+    anti-diagonal to the next, so that the work is n_old * n_new steps on vectors and nothing overflows.
+    """
+    if distance <= 0:
+        return 1.0
+    n1, n2 = int(n_old), int(n_new)
+    total, m = n1 + n2, round(distance * n1 * n2)
+    prev, prev_lo = np.ones(1), 0
+    for s in range(1, total + 1):
+        lo, hi = max(0, s - n2), min(s, n1)
+        i = np.arange(lo, hi + 1)
+        cur = np.zeros(len(i))
+        left = prev_lo + len(prev)
+        # From (i - 1, j): a value of the first sample; from (i, j - 1): one of the second.
+        come_x = (i - 1 >= prev_lo) & (i - 1 < left)
+        cur[come_x] += prev[i[come_x] - 1 - prev_lo] * (n1 - i[come_x] + 1) / (total - s + 1)
+        come_y = (i >= prev_lo) & (i < left)
+        cur[come_y] += prev[i[come_y] - prev_lo] * (n2 - (s - 1 - i[come_y])) / (total - s + 1)
+        cur[np.abs(i * n2 - (s - i) * n1) >= m] = 0.0
+        prev, prev_lo = cur, lo
+    return float(min(max(1.0 - prev[0], 0.0), 1.0))
+
+
+def detect_data_drift(old: DataFrame, new: DataFrame, alpha: float = 0.05, method: str = "auto") -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test for every column that is numeric on both sides.
 
-    ``n_old`` and ``n_new`` say how many values were compared: the p-value is the limiting distribution's, which is
-    rough for a handful.  Columns with fewer than two values on a side are left out.  The verdict uses the unrounded p-value.
+    ``method="auto"`` gives exact p-values while neither side has more than `EXACT_MOST` values and those of the
+    limiting distribution beyond (`ks_p_value`); ``"exact"`` and ``"asymp"`` choose one way for all columns.  The
+    distances come from the distributed pass; the exact p-value needs only them and the two counts, one line per
+    column.  ``n_old`` and ``n_new`` say how many values were compared.  Columns with fewer than two values on a
+    side are left out.  The verdict uses the unrounded p-value.
     """
-    tested = ks_distances(old, new).withColumn(
-        "p", ks_p_value(F.col("distance"), F.col("n_old"), F.col("n_new")))
+    if method not in ("auto", "exact", "asymp"):
+        raise ValueError(f"unknown method {method!r}")
+    tested = ks_distances(old, new)
+    p = ks_p_value(F.col("distance"), F.col("n_old"), F.col("n_new"))
+    if method != "asymp":
+        tested = cut_lineage(tested)                     # one line per column
+        exact = [(r["column"], ks_exact_p(r["distance"], r["n_old"], r["n_new"]))
+                 for r in tested.select("column", "distance", "n_old", "n_new").collect()
+                 if method == "exact" or max(r["n_old"], r["n_new"]) <= EXACT_MOST]
+        if exact:
+            found = tested.sparkSession.createDataFrame(exact, "column string, exact_p double")
+            tested = tested.join(F.broadcast(found), "column", "left")
+            p = F.coalesce(F.col("exact_p"), p)
+    tested = tested.withColumn("p", p)
     return tested.select(
         "column", "n_old", "n_new", round_even(F.col("distance"), 4).alias("ks_statistic"),
         round_even(F.col("p"), 4).alias("p_value"), (F.col("p") < F.lit(alpha)).alias("drift_detected"))

@@ -271,17 +271,33 @@ LEFT JOIN outliers o ON h."column" = o."column" LEFT JOIN extremes e ON h."colum
 def ks(table: str, is_old: str, columns: list[str]) -> str:
     cells = union([f"SELECT '{c}' AS c, CAST({c} AS DOUBLE) AS v, CASE WHEN {is_old} THEN 1 ELSE 0 END AS o FROM {table}"
                    for c in columns])
-    return f"""WITH cells AS ({cells}),
+    # Exact p-values by paths through the lattice, one anti-diagonal a step, while neither side has more than
+    # 10,000 values; the limiting distribution beyond.
+    return f"""WITH RECURSIVE cells AS ({cells}),
  counted AS (SELECT c, v, sum(o) AS a, sum(1 - o) AS b FROM cells WHERE v IS NOT NULL GROUP BY c, v),
  sizes AS (SELECT c, CAST(sum(a) AS DOUBLE) AS na, CAST(sum(b) AS DOUBLE) AS nb FROM counted GROUP BY c),
  summed AS (SELECT c, CAST(sum(a) OVER w AS DOUBLE) AS fa, CAST(sum(b) OVER w AS DOUBLE) AS fb
             FROM counted WINDOW w AS (PARTITION BY c ORDER BY v)),
  gaps AS (SELECT c, na, nb, max(abs(fa / na - fb / nb)) AS d, round_even(na * nb / (na + nb), 0) AS n
           FROM summed JOIN sizes USING (c) WHERE na >= 2 AND nb >= 2 GROUP BY c, na, nb),
+ params AS (SELECT c, CAST(na AS BIGINT) AS n1, CAST(nb AS BIGINT) AS n2, CAST(round(d * na * nb) AS BIGINT) AS m
+            FROM gaps WHERE greatest(na, nb) <= 10000),
+ dp(c, s, lo, probs) AS (
+   SELECT c, 0, 0, [1e0] FROM params
+   UNION ALL
+   SELECT dp.c, s + 1, greatest(0, s + 1 - n2), list_transform(range(greatest(0, s + 1 - n2), least(s + 1, n1) + 1),
+     lambda i: CASE WHEN abs(i * n2 - (s + 1 - i) * n1) < m THEN
+       coalesce(CASE WHEN i - 1 >= lo AND i - 1 < lo + len(probs) THEN probs[i - lo] * (n1 - i + 1) / (n1 + n2 - s) END, 0e0)
+       + coalesce(CASE WHEN i >= lo AND i < lo + len(probs) THEN probs[i - lo + 1] * (n2 - s + i) / (n1 + n2 - s) END, 0e0)
+       ELSE 0e0 END)
+   FROM dp JOIN params USING (c) WHERE s < n1 + n2),
+ exact AS (SELECT c, least(greatest(1e0 - probs[1], 0e0), 1e0) AS p FROM dp JOIN params USING (c) WHERE s = n1 + n2),
  scaled AS (SELECT c, na, nb, d, sqrt(n) * d + 1e0 / (6e0 * sqrt(n)) + (sqrt(n) * d - 1e0) / (4e0 * n) AS x FROM gaps),
- tested AS (SELECT c, na, nb, d, CASE WHEN d <= 0 OR x < 0.2 THEN 1e0 ELSE least(greatest(list_sum(list_transform(
+ limiting AS (SELECT c, na, nb, d, CASE WHEN d <= 0 OR x < 0.2 THEN 1e0 ELSE least(greatest(list_sum(list_transform(
    range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2e0 ELSE -2e0 END) * exp(-2e0 * k * k * x * x))), 0e0), 1e0) END AS p
-   FROM scaled)
+   FROM scaled),
+ tested AS (SELECT l.c, na, nb, CASE WHEN d <= 0 THEN 1e0 ELSE coalesce(e.p, l.p) END AS p, d
+            FROM limiting l LEFT JOIN exact e USING (c))
 SELECT c AS "column", CAST(na AS BIGINT) AS n_old, CAST(nb AS BIGINT) AS n_new, {rounded('d', 4)} AS ks_statistic, {rounded('p', 4)} AS p_value, p < 0.05 AS drift_detected
 FROM tested"""
 

@@ -133,3 +133,42 @@ def test_workers_do_not_need_the_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=clean, capture_output=True, text=True,
                           timeout=300)
     assert "lines 3" in done.stdout, done.stderr[-2000:]
+
+
+def _enumerated_p(a, b):
+    """The share of all splits of the pooled values whose statistic reaches the observed one."""
+    from itertools import combinations
+
+    pooled, n1 = a + b, len(a)
+
+    def stat(xs, ys):
+        return max(abs(sum(x <= v for x in xs) / len(xs) - sum(y <= v for y in ys) / len(ys)) for v in pooled)
+
+    d = stat(a, b)
+    splits = [stat([pooled[k] for k in idx], [pooled[k] for k in range(len(pooled)) if k not in idx])
+              for idx in combinations(range(len(pooled)), n1)]
+    return d, sum(x >= d - 1e-12 for x in splits) / len(splits)
+
+
+@pytest.mark.parametrize("n1,n2", [(3, 2), (4, 4), (6, 5), (2, 9), (7, 7)])
+def test_exact_p_value_against_enumeration(n1, n2):
+    rng = np.random.default_rng(n1 * 10 + n2)
+    values = [float(x) for x in rng.permutation(1000)[: n1 + n2]]
+    d, want = _enumerated_p(values[:n1], values[n1:])
+    assert drift.ks_exact_p(d, n1, n2) == pytest.approx(want, abs=1e-12)
+    assert drift.ks_exact_p(0.0, n1, n2) == 1.0
+
+
+def test_exact_and_limiting_p_values_in_the_drift_test(spark):
+    """Small samples get the exact p-value by default, large ones the limiting distribution's."""
+    rng = np.random.default_rng(4)
+    old = spark.createDataFrame(pd.DataFrame({"x": rng.normal(0, 1, 40)}))
+    new = spark.createDataFrame(pd.DataFrame({"x": rng.normal(0.6, 1, 30)}))
+    line = drift.detect_data_drift(old, new).first()
+    d = drift.ks_distances(old, new).first()["distance"]
+    assert line.p_value == pytest.approx(round(drift.ks_exact_p(d, 40, 30), 4))
+    limiting = drift.detect_data_drift(old, new, method="asymp").first().p_value
+    assert limiting != line.p_value
+    assert drift.detect_data_drift(old, new, method="exact").first().p_value == line.p_value
+    with pytest.raises(ValueError):
+        drift.detect_data_drift(old, new, method="other")
