@@ -44,9 +44,9 @@ from tablegauge.llm.textarrays import chunks
 @dataclass(frozen=True)
 class Framing:
     end_id: int = 2
-    block_bytes: int = 4 << 20
-    row_group_bytes: int = 32 << 20
-    chunk_bytes: int = 4 << 20      # text tokenized at a time: fewer, larger updates of the word table
+    block_bytes: int = 2 << 20
+    row_group_bytes: int = 16 << 20
+    chunk_bytes: int = 2 << 20      # text tokenized at a time: fewer, larger updates of the word table
 
 
 ENTRY = "struct<doc_id: bigint, offset: bigint, n_tokens: bigint, local_start: bigint>"
