@@ -70,7 +70,8 @@ def schema_changes(history: History, dataset_name: str, df: DataFrame) -> DataFr
 
 
 def record(history: History, dataset_name: str, df: DataFrame, label: str | None = None) -> tuple[str, Profile]:
-    """Profile a dataset and append the run and its schema to the history."""
+    """Profile a dataset and append the run and its schema to the history; both appear together or not at all."""
     profile = run_full_profile(df)
-    history.save_schema_snapshot(dataset_name, infer_schema(df), label)
-    return history.save_profiling_run(dataset_name, profile, label), profile
+    run_id = history.new_run_id()
+    history.save_schema_snapshot(dataset_name, infer_schema(df), label, run_id=run_id)
+    return history.save_profiling_run(dataset_name, profile, label, run_id=run_id), profile

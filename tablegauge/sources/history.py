@@ -1,12 +1,15 @@
 """Append-only run history in Parquet.
 
-Three tables under one folder: ``profiling_runs``, ``column_metrics`` and ``schema_snapshots``, each partitioned
-by ``dataset_name`` so that the history of one dataset is found by its directory.  Appending assumes one writer
-at a time; plain Parquet has no transactions.
+Tables under one folder: ``profiling_runs``, ``column_metrics``, ``column_sketches`` and ``schema_snapshots``.
+Every write of a run goes to a folder of its own, ``<table>/run=<run id>/dataset_name=<name>``, so that writers
+never share a temporary folder and several of them can append at once; the history of one dataset is still found by
+its directory.  A run becomes visible when its line in ``published_runs`` is written, after all its tables: a run
+whose writing stopped half-way is never seen, and its folders can be removed at leisure.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -33,6 +36,8 @@ SNAPSHOTS_SCHEMA = (
 SKETCHES_SCHEMA = "run_id string, column_name string, n_rows bigint, sketch binary, dataset_name string"
 RUNS, METRICS, SNAPSHOTS = "profiling_runs", "column_metrics", "schema_snapshots"
 SKETCHES = "column_sketches"
+PUBLISHED_SCHEMA = "run_id string, published_at timestamp, dataset_name string"
+PUBLISHED = "published_runs"
 
 
 class History:
@@ -42,18 +47,32 @@ class History:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def _read(self, table: str, schema: str) -> DataFrame:
+    def _scan(self, table: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).withColumn("run", F.lit(None).cast("string"))
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        """The lines of published runs only."""
+        published = self._scan(PUBLISHED, PUBLISHED_SCHEMA).select("run")
+        return self._scan(table, schema).join(published, "run", "left_semi").drop("run")
 
-    def _append(self, rows: DataFrame, table: str, schema: str) -> None:
+    def _append(self, rows: DataFrame, table: str, schema: str, run: str) -> None:
         fields = empty_frame(rows, schema).schema.fields
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
-        typed.write.mode("append").partitionBy("dataset_name").parquet(f"{self.folder}/{table}")
+        typed.write.mode("append").partitionBy("dataset_name").parquet(f"{self.folder}/{table}/run={run}")
+
+    def _publish(self, run: str, dataset_name: str) -> None:
+        line = self.spark.range(1).select(F.lit(run).alias("run_id"), F.current_timestamp().alias("published_at"),
+                                          F.lit(dataset_name).alias("dataset_name"))
+        self._append(line, PUBLISHED, PUBLISHED_SCHEMA, run)
+
+    @staticmethod
+    def new_run_id() -> str:
+        return str(uuid.uuid4())
 
     @property
     def runs(self) -> DataFrame:
@@ -73,37 +92,42 @@ class History:
         return self._read(SKETCHES, SKETCHES_SCHEMA)
 
     def save_profiling_run(self, dataset_name: str, profile, dataset_label: str | None = None,
-                           at: datetime | None = None) -> str:
-        """Append one run, its column metrics and the distinct-value sketches of its columns; returns the run id.
-        ``profile`` is a `Profile`.
-
-        Metrics and sketches go first: a run is visible only once they are there.
-        """
-        run_id = self.spark.range(1).select(F.uuid()).head()[0]
+                           at: datetime | None = None, run_id: str | None = None) -> str:
+        """Append one run, its column metrics and the distinct-value sketches of its columns, then publish the run;
+        returns the run id.  ``profile`` is a `Profile`.  Lines written before under the same ``run_id`` (a schema
+        snapshot, say) are published with it."""
+        run_id = run_id or self.new_run_id()
         moment = F.lit(at or datetime.now(timezone.utc)).cast("timestamp")
         metrics = column_metrics(profile.nulls, profile.outliers, profile.column_health)
         self._append(
             metrics.select(F.lit(run_id).alias("run_id"), "*", F.lit(dataset_name).alias("dataset_name")),
-            METRICS, METRICS_SCHEMA)
+            METRICS, METRICS_SCHEMA, run_id)
         sketches = getattr(profile, "sketches", None)
         if sketches is not None:
             self._append(sketches.select(F.lit(run_id).alias("run_id"), F.col("column").alias("column_name"),
                                          "n_rows", "sketch", F.lit(dataset_name).alias("dataset_name")),
-                         SKETCHES, SKETCHES_SCHEMA)
+                         SKETCHES, SKETCHES_SCHEMA, run_id)
         run = run_line(profile).select(
             F.lit(run_id).alias("run_id"), F.lit(dataset_label or dataset_name).alias("dataset_label"),
             moment.alias("run_timestamp"), "*", F.lit(dataset_name).alias("dataset_name"))
-        self._append(run, RUNS, RUNS_SCHEMA)
+        self._append(run, RUNS, RUNS_SCHEMA, run_id)
+        self._publish(run_id, dataset_name)
         return run_id
 
     def save_schema_snapshot(self, dataset_name: str, schema: DataFrame, dataset_label: str | None = None,
-                             at: datetime | None = None) -> None:
-        """Append a schema ``(column, dtype)`` with its fingerprint."""
+                             at: datetime | None = None, run_id: str | None = None) -> str:
+        """Append a schema ``(column, dtype)`` with its fingerprint.  Without ``run_id`` it is published at once;
+        with one it appears when that run is published."""
+        own = run_id is None
+        run_id = run_id or self.new_run_id()
         self._append(snapshot_line(schema, dataset_name).select(
             "dataset_id", F.lit(dataset_label or dataset_name).alias("dataset_label"),
             F.lit(at or datetime.now(timezone.utc)).cast("timestamp").alias("snapshot_timestamp"),
             "schema_json", "dataset_name",
-        ), SNAPSHOTS, SNAPSHOTS_SCHEMA)
+        ), SNAPSHOTS, SNAPSHOTS_SCHEMA, run_id)
+        if own:
+            self._publish(run_id, dataset_name)
+        return run_id
 
 
 # ---------------------------------------------------------------- lines to append

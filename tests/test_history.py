@@ -140,3 +140,40 @@ def test_distinct_values_over_runs_from_their_sketches(spark, tmp_path):
     assert got["s"].unique_count == 9 and got["x"].unique_count == 1   # few values: exact; both zeros are one
     empty = p.united_cardinality(p.distinct_sketches(first.where("false")))
     assert {r["column"]: r.unique_count for r in empty.collect()} == {"k": 0, "s": 0, "x": 0}
+
+
+def test_a_run_stopped_half_way_is_never_seen(spark, tmp_path, monkeypatch):
+    history = History(spark, str(tmp_path / "history"))
+    record(history, "d", customers(spark, 0), "complete")
+    written = []
+
+    def stop_at_runs(self, rows, table, schema, run):
+        if table == h.RUNS:
+            raise RuntimeError("executor lost")
+        written.append(table)
+        return original(self, rows, table, schema, run)
+
+    original = History._append
+    monkeypatch.setattr(History, "_append", stop_at_runs)
+    with pytest.raises(RuntimeError):
+        record(history, "d", customers(spark, 0).drop("region"), "broken")
+    monkeypatch.setattr(History, "_append", original)
+    assert written == [h.SNAPSHOTS, h.METRICS, h.SKETCHES]
+    # Snapshot, metrics and sketches of the broken run are on disk but not in the history.
+    assert [r.dataset_label for r in history.runs.collect()] == ["complete"]
+    assert history.snapshots.count() == 1
+    assert history.metrics.select("run_id").distinct().count() == 1
+    assert history.sketches.select("run_id").distinct().count() == 1
+
+
+def test_writers_at_the_same_time_do_not_collide(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = str(tmp_path / "history")
+    df = customers(spark, 0)
+    with ThreadPoolExecutor(3) as pool:
+        ids = list(pool.map(lambda i: record(History(spark, folder), f"d{i % 2}", df, f"w{i}")[0], range(3)))
+    history = History(spark, folder)
+    assert sorted(r.run_id for r in history.runs.collect()) == sorted(ids)
+    assert history.snapshots.count() == 3
+    assert {r.dataset_name: r.run_count for r in h.list_known_datasets(history.runs).collect()} == {"d0": 2, "d1": 1}
