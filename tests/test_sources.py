@@ -144,3 +144,24 @@ def test_fingerprint(spark):
     assert dataset_fingerprint(df.withColumn("b", F.col("b").cast("int"))).first()[0] != want
     schemas = infer_schema(df).withColumn("dataset", F.lit("d"))
     assert tuple(schema_fingerprint(schemas).first()) == ("d", want)
+
+
+def test_catalogue_table_with_partition_pruning(spark, tmp_path):
+    location = tmp_path / "events_table"
+    spark.range(0, 60).selectExpr("id", "cast(id % 3 as int) as part", "concat('v', id) as v").write.partitionBy(
+        "part").parquet(str(location))
+    name = f"events_{abs(hash(str(tmp_path))) % 10**8}"
+    spark.sql(f"CREATE TABLE {name} (id bigint, v string, part int) USING parquet PARTITIONED BY (part) "
+              f"LOCATION '{location}'")
+    try:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+        df = load_dataset(spark, table=name, where="part = 1")
+        assert sorted(r.id for r in df.collect()) == list(range(1, 60, 3))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters" in plan and "part" in plan.split("PartitionFilters")[1][:200]
+        assert dict(df.dtypes) == {"id": "bigint", "v": "string", "part": "int"}
+        assert load_dataset(spark, table=name).count() == 60
+        with pytest.raises(ValueError):
+            load_dataset(spark, "x.csv", table=name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
