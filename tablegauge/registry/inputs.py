@@ -76,6 +76,20 @@ SELECT {_SET} AS dataset_name, {_DAY} AS snapshot_timestamp,
         '"}}}}') AS schema_json
 FROM {{events}} GROUP BY {_SET}, {_DAY}
 """
+# Event properties of mixed JSON kinds: numbers, texts, arrays, objects, nulls, and some that are not JSON at all.
+MIXED_PROPS = """
+SELECT event_id, event_type,
+ CASE WHEN event_id % 97 = 0 THEN 'not json' WHEN event_id % 89 = 0 THEN NULL
+      WHEN event_id % 83 = 0 THEN '[1, 2]'
+      WHEN event_type = 'click' THEN concat('{{"k": ', CAST(user_id % 100 AS STRING), ', "v": ',
+                                            CAST(CAST(round(value) AS BIGINT) AS STRING), '}}')
+      WHEN event_type = 'view' THEN concat('{{"k": "u', CAST(user_id % 7 AS STRING), '", "tags": ["a", "b"]}}')
+      WHEN event_type = 'purchase' THEN concat('{{"k": ', CAST(user_id % 100 AS STRING), '.5, "ok": true}}')
+      WHEN event_type = 'error' THEN concat('{{"k": null, "e": {{"code": ', CAST(500 + user_id % 4 AS STRING), '}}}}')
+      ELSE props END AS props
+FROM {events}
+"""
+
 # A schema per dataset and day whose columns come and go and change their type: an event type is a column on a day
 # when it has at least 8 events of the dataset, typed by the largest value.
 SCHEMA_COLUMNS = f"""

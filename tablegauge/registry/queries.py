@@ -19,6 +19,7 @@ from tablegauge.sources import history as h
 from tablegauge.sources.inference import infer_types, normalize_missing
 from tablegauge.sources.sampling import exact_sample
 from tablegauge.sources.summary import dataset_summary, schema_fingerprint
+from tablegauge.sources.variant import variant_fields, variant_kinds
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -288,6 +289,10 @@ def registered() -> dict[str, Query]:
         "full_profile_lineitem": _on("lineitem", _full_profile),
         "quantile_bounds_lineitem": _on("lineitem", _quantile_bounds),
         "distinct_over_deliveries": _distinct_over_deliveries,
+        "variant_kinds_events": _derived(i.MIXED_PROPS, "events", lambda df: variant_kinds(df, "props")),
+        "variant_nulls_events": _derived(i.MIXED_PROPS, "events", lambda df: p.null_analysis(variant_fields(
+            df, "props", {"k": ("$.k", "string"), "v": ("$.v", "bigint"), "code": ("$.e.code", "int")}).drop(
+                "props", "event_type"))),
         # drift
         "schema_added": _schemas(drift.added_columns),
         "schema_removed": _schemas(drift.removed_columns),

@@ -28,6 +28,7 @@ CHANGED = "changed AS (" + i.CHANGED_CUSTOMER.format(customer="customer") + ")"
 RUNS = "runs AS (" + i.RUNS.format(events="events") + ")"
 METRICS = "metrics AS (" + i.METRICS.format(events="events") + ")"
 SNAPSHOTS = "snapshots AS (" + i.SNAPSHOTS.format(events="events") + ")"
+MIXED_PROPS = "mixed AS (" + i.MIXED_PROPS.format(events="events") + ")"
 SCHEMA_COLUMNS = "cols AS (" + i.SCHEMA_COLUMNS.format(events="events") + ")"
 COLUMN_HISTORY = "history AS (" + i.COLUMN_HISTORY.format(events="events") + ")"
 PART_RULES = "rules AS (" + i.PART_RULES.format(part="part") + ")"
@@ -462,6 +463,22 @@ SELECT 'customers' AS dataset_name, substring(sha256(schema_json), 1, 12) AS dat
         "column_metric_history": f"""WITH {RUNS}, {METRICS}
 SELECT r.run_timestamp, r.dataset_name, r.dataset_id, m.column_name, m.null_pct, m.outlier_pct, m.health_score
 FROM metrics m JOIN runs r ON m.run_id = r.run_id ORDER BY r.run_timestamp""",
+        "variant_kinds_events": f"""WITH {MIXED_PROPS},
+j AS (SELECT props, json_valid(props) AS ok, CASE WHEN json_valid(props) THEN json_type(props) END AS t FROM mixed),
+f AS (SELECT key, json_type(json_extract(props, '$."' || key || '"')) AS t
+      FROM (SELECT props, unnest(json_keys(props)) AS key FROM j WHERE ok AND t = 'OBJECT')),
+lines AS (SELECT '$' AS path, CASE WHEN props IS NULL THEN 'missing' WHEN NOT ok THEN 'invalid' ELSE t END AS t
+          FROM j WHERE props IS NULL OR NOT ok OR t <> 'OBJECT'
+          UNION ALL SELECT key, t FROM f)
+SELECT path, CASE WHEN t IN ('missing', 'invalid') THEN t WHEN t IN ('UBIGINT', 'BIGINT') THEN 'integer'
+                  WHEN t = 'DOUBLE' THEN 'number' WHEN t = 'VARCHAR' THEN 'string' ELSE lower(t) END AS kind,
+       count(*) AS n_values FROM lines GROUP BY 1, 2""",
+        "variant_nulls_events": f"""WITH {MIXED_PROPS},
+v AS (SELECT event_id, CASE WHEN json_valid(props) THEN props END AS props FROM mixed),
+t AS (SELECT event_id, json_extract_string(props, '$.k') AS k,
+             TRY_CAST(json_extract(props, '$.v') AS BIGINT) AS v,
+             TRY_CAST(json_extract(props, '$.e.code') AS INTEGER) AS code FROM v)
+{nulls('t', ['event_id', 'k', 'v', 'code'])}""",
         "schema_change_log": f"""WITH {SCHEMA_COLUMNS},
 s AS (SELECT dataset_name, snapshot_timestamp, CAST(row_number() OVER w AS INTEGER) AS version,
              lag(snapshot_timestamp) OVER w AS previous_timestamp

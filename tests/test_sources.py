@@ -165,3 +165,19 @@ def test_catalogue_table_with_partition_pruning(spark, tmp_path):
             load_dataset(spark, "x.csv", table=name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_variant_kinds_and_fields(spark):
+    from tablegauge.sources.variant import variant_fields, variant_kinds
+
+    rows = [('{"k": 1, "v": 2.5, "s": "x", "n": null, "o": {"a": 1}, "l": [1], "b": true}',), ("not json",), (None,),
+            ("[1, 2]",), ("{}",), ('{"k": "one"}',), ('"text"',), ('{"k": 1, "k": 2}',)]
+    df = spark.createDataFrame(rows, "p string")
+    got = sorted(tuple(r) for r in variant_kinds(df, "p").collect())
+    assert got == [("$", "array", 1), ("$", "invalid", 2), ("$", "missing", 1), ("$", "string", 1),
+                   ("b", "boolean", 1), ("k", "integer", 1), ("k", "string", 1), ("l", "array", 1), ("n", "null", 1),
+                   ("o", "object", 1), ("s", "string", 1), ("v", "number", 1)]
+    typed = variant_fields(df, "p", {"k": ("$.k", "int"), "a": ("$.o.a", "bigint"), "s": ("$.s", "string")})
+    assert [(r.k, r.a, r.s) for r in typed.collect()][:2] == [(1, 1, "x"), (None, None, None)]
+    assert typed.where("k is not null").count() == 1          # "one" does not fit an int
+    assert variant_kinds(df.where("false"), "p").count() == 0
