@@ -50,7 +50,9 @@ def tokens(text: str, values: bool) -> str:
     keep = "$0" if values else ""
     t = rf"regexp_replace({text}, r'[\x01-\x03]', '')"
     t = rf"regexp_replace({t}, r'(?<=[\p{{L}},;)]\x20)\p{{Lu}}[\p{{L}}\p{{M}}]*', '{NAME}{keep}')"
-    t = rf"regexp_replace(lower({t}), r'[0-9]+(?:[.,:/][0-9]+)*', ' {NUMBER}{keep} ')"
+    # Possessive: Java's matcher loops instead of recursing once per repetition, so a series of a million numbers
+    # is one value, not a stack overflow; with nothing after it, the match is the same as the greedy one.
+    t = rf"regexp_replace(lower({t}), r'[0-9]++(?:[.,:/][0-9]++)*+', ' {NUMBER}{keep} ')"
     after = r"(?<=\x01[0-9.,:/]{0,60}\x20{1,2})" if values else r"(?<=\x01\x20{1,2})"
     t = rf"regexp_replace({t}, r'{after}(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])', '{UNIT}{keep}')"
     t = rf"regexp_replace({t}, r'[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D\x01-\x03]+', '')"
@@ -60,7 +62,7 @@ def tokens(text: str, values: bool) -> str:
 def words(text: str, unspaced: bool) -> str:
     """Words and values of a text (SQL), as many as ``tokens``, or with each ``UNSPACED`` character a word."""
     t = rf"regexp_replace({text}, r'[\x01-\x03]', '')"
-    t = rf"regexp_replace(lower({t}), r'[0-9]+(?:[.,:/][0-9]+)*', ' $0 ')"
+    t = rf"regexp_replace(lower({t}), r'[0-9]++(?:[.,:/][0-9]++)*+', ' $0 ')"
     t = rf"regexp_replace({t}, r'[^\p{{L}}\p{{M}}\p{{N}}\x20\x09-\x0D]+', '')"
     if unspaced:
         t = rf"regexp_replace({t}, r'{UNSPACED}', ' $0 ')"

@@ -104,3 +104,12 @@ def test_empty(spark, no_docs):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     assert leaks(docs, items(spark).limit(0)).collect() == []
     assert decontaminate(docs, items(spark).limit(0)).count() == len(DOCS)
+
+
+def test_long_number_series_do_not_stop_the_job(spark):
+    """A CSV-like page of 200,000 numbers is one long value, found like any other text."""
+    series = ",".join(map(str, range(200_000)))
+    docs = spark.createDataFrame([(1, series), (2, series + " " + ITEMS[0][1]), (3, "1.2.3 " * 50_000)],
+                                 "doc_id long, text string")
+    assert found(spark, docs) == {(2, 1)}
+    assert found(spark, docs, options=Templates(verbatim=True)) == {(2, 1)}
