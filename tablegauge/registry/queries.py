@@ -141,12 +141,22 @@ def _dollar_regions(df: DataFrame) -> DataFrame:
     return apply_rules(written, [DOLLAR_REGION], ["customer_id"])
 
 
-def _no_results(df: DataFrame) -> DataFrame:
-    """The summaries of a catalogue that has no rule for the table."""
-    results = apply_rules(df, [], ["customer_id"])
+def _summaries(results: DataFrame, catalogue: str) -> DataFrame:
     return r.overall_rule_score(results).unionByName(
         r.exception_totals(results), allowMissingColumns=True).unionByName(
-        r.summarize_by_dimension(results), allowMissingColumns=True)
+        r.summarize_by_dimension(results), allowMissingColumns=True).withColumn("catalogue", F.lit(catalogue))
+
+
+def _no_results(df: DataFrame) -> DataFrame:
+    """The summaries of a catalogue that has no rule for the table, beside those of the customer rules."""
+    return _summaries(apply_rules(df, [], ["customer_id"]), "none").unionByName(
+        _summaries(_all_results(df), "customer"))
+
+
+def _quality_and_empty(df: DataFrame) -> DataFrame:
+    """The quality of the whole table, beside that of none of its rows (NULL)."""
+    return p.overall_quality_score(df).withColumn("rows", F.lit("all")).unionByName(
+        p.overall_quality_score(df.where("false")).withColumn("rows", F.lit("none")))
 
 
 def _rollup(df: DataFrame) -> DataFrame:
@@ -281,7 +291,7 @@ def registered() -> dict[str, Query]:
         "outliers_zscore_infinite": _on(
             "customer", lambda df: p.outlier_detection(_with_infinities(df), "zscore")),
         "outliers_iqr_infinite": _on("customer", lambda df: p.outlier_detection(_with_infinities(df))),
-        "overall_quality_empty": _on("customer", lambda df: p.overall_quality_score(df.where("c_custkey < 0"))),
+        "overall_quality_empty": _on("customer", _quality_and_empty),
         "completeness": _dirty(p.completeness_score),
         "column_health": _dirty(p.column_health_score),
         "overall_quality": _dirty(p.overall_quality_score),

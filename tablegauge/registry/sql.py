@@ -17,6 +17,7 @@ LINEITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_q
 LINEITEM_COLUMNS = LINEITEM_NUMBERS + ["l_returnflag", "l_linestatus", "l_shipdate"]
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 DIRTY_NUMBERS = ["customer_id", "acctbal"]
+CUSTOMER_NUMBERS = ["c_custkey", "c_nationkey", "c_acctbal"]
 DIRTY_TYPES = ", ".join(f"('{c}', '{t}')" for c, t in zip(
     i.DIRTY_COLUMNS, ["bigint", "string", "string", "string", "string", "string", "double"]))
 WIDE_NUMBERS = DIRTY_NUMBERS + [f"m{k}" for k in range(16)]
@@ -373,11 +374,18 @@ FROM lines""",
         "rule_results_numbered": f"""{order_results()}, numbered AS (SELECT count(*) AS violations FROM ({EXCEPTIONS}) e),
  failing AS (SELECT DISTINCT record_id FROM ({EXCEPTIONS}) e)
 SELECT violations, (SELECT count(*) FROM failing) AS records FROM numbered""",
-        "summary_of_nothing": """SELECT CAST(0 AS BIGINT) AS rules_executed, CAST(0 AS BIGINT) AS passed,
+        "summary_of_nothing": f"""{RESULTS}, dims AS ({DIMENSIONS.removeprefix(RESULTS)})
+SELECT CAST(0 AS BIGINT) AS rules_executed, CAST(0 AS BIGINT) AS passed,
  CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS warnings, CAST(0 AS BIGINT) AS critical_issues,
  CAST(NULL AS BIGINT) AS violations, CAST(NULL AS BIGINT) AS records, CAST(NULL AS VARCHAR) AS dimension,
- CAST(NULL AS DOUBLE) AS pass_rate_pct, CAST(NULL AS BIGINT) AS total_checks
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 0, 0, NULL, NULL, NULL""",
+ CAST(NULL AS DOUBLE) AS pass_rate_pct, CAST(NULL AS BIGINT) AS total_checks, 'none' AS catalogue
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 0, 0, NULL, NULL, NULL, 'none'
+UNION ALL SELECT count(DISTINCT rule_id), {count_status('PASS')}, {count_status('FAIL')}, {count_status('WARNING')},
+ count(*) FILTER (WHERE status = 'FAIL' AND severity = 'CRITICAL'), NULL, NULL, NULL, NULL, NULL, 'customer' FROM results
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, count(*), count(DISTINCT record_id), NULL, NULL, NULL, 'customer'
+ FROM ({EXCEPTIONS}) e
+UNION ALL SELECT NULL, NULL, failed, warnings, NULL, NULL, NULL, dimension, pass_rate_pct, total_checks, 'customer'
+ FROM dims""",
         "rule_unknown_type": f"WITH {DIRTY} " + union([length_lines, single_line(UNKNOWN_TYPE, "ERROR")]),
         "dimension_summary": DIMENSIONS,
         "exceptions": f"{RESULTS} {EXCEPTIONS} ORDER BY severity, rule_id, record_id",
@@ -416,7 +424,12 @@ FROM customer HAVING count(c_acctbal) > 0 UNION ALL SELECT 'many', 0, 0.0e0 FROM
         "outliers_iqr_infinite": f"""WITH x AS (
  SELECT CASE WHEN c_custkey % 100 = 1 THEN CAST('Infinity' AS DOUBLE) ELSE c_acctbal END AS few FROM customer)
 {outliers('x', ['few'])} UNION ALL SELECT 'many', 0, 0.0e0 FROM customer HAVING count(*) > 0""",
-        "overall_quality_empty": "SELECT CAST(NULL AS DOUBLE) AS quality_score",
+        "overall_quality_empty": f"""WITH {health('customer', CUSTOMER_COLUMNS, CUSTOMER_NUMBERS)},
+ filled AS ({completeness('customer', CUSTOMER_COLUMNS)}), {duplicates('customer', CUSTOMER_COLUMNS).replace(
+            ' SELECT n - m', ', dup AS (SELECT n - m', 1)})
+SELECT {rounded("f.completeness_pct * 0.4e0 + (100 - dup.duplicate_pct) * 0.2e0 + h.average * 0.4e0", 2)} AS quality_score,
+ 'all' AS "rows" FROM filled f, dup, (SELECT avg(health_score) AS average FROM health) h
+UNION ALL SELECT CAST(NULL AS DOUBLE), 'none'""",
         "completeness": f"WITH {DIRTY} {completeness('dirty', i.DIRTY_COLUMNS)}",
         "column_health": (f"WITH {DIRTY}, {health('dirty', i.DIRTY_COLUMNS, DIRTY_NUMBERS)} "
                           f"SELECT {q}, health_score FROM health"),
