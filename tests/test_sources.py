@@ -181,3 +181,14 @@ def test_variant_kinds_and_fields(spark):
     assert [(r.k, r.a, r.s) for r in typed.collect()][:2] == [(1, 1, "x"), (None, None, None)]
     assert typed.where("k is not null").count() == 1          # "one" does not fit an int
     assert variant_kinds(df.where("false"), "p").count() == 0
+
+
+def test_csv_with_a_header_only_and_with_text_columns_kept(spark, tmp_path):
+    """The surplus check rides on the inference pass, and also works where there is nothing to infer."""
+    empty = tmp_path / "empty.csv"
+    empty.write_text("a,b\n", encoding="utf-8")
+    assert load_dataset(spark, str(empty)).count() == 0
+    kept = tmp_path / "kept.csv"
+    kept.write_text("a,b\n1,2\n3,4,5\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="does not fit its 2 columns"):
+        load_dataset(spark, str(kept), string_cols=["a", "b"])
