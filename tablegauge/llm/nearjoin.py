@@ -2,10 +2,10 @@
 
 1. Each text becomes the set of its word n-grams and a MinHash signature.  Texts with equal sets are one class.
 2. A tree of the forest orders the classes by a stretch of the signature; a node of its trie is a common prefix.
-   Matching starts from the shortest prefix that reaches the target recall at the threshold; where a node holds too
-   many classes, its prefix grows (the other trees, and the exact comparison in step 4, make up for what that parts).
-3. In each node signatures are compared; classes that may be similar are linked, a forest of links for each node.
-   The components of all links are neighbourhoods.
+   The nodes are those of the longest prefix that reaches the target recall at the threshold.
+3. In each node signatures are compared, all pairs of a small node at once and those of a large one block by block;
+   classes that may be similar are linked, a forest of links for each comparison.  The components of all links are
+   neighbourhoods.
 4. In each neighbourhood the exact similarity of all pairs is computed, block by block where it is large, so that pairs
    are never written out: only a count for each class and a forest of the exact links leave a block.
 5. The components of the exact links are the groups.
@@ -31,8 +31,8 @@ class Forest:
     """``trees`` of ``depth`` hashes each.
 
     A pair at the threshold shares a prefix of k hashes in some tree with probability 1 - (1 - threshold**k)**trees;
-    the longest k that reaches ``recall`` is where matching starts.  Nodes of more than ``node`` classes grow their
-    prefix.  ``margin``: how far an estimated similarity may lie below the threshold (5 standard errors at 120 hashes).
+    the longest k that reaches ``recall`` makes the nodes.  Nodes of more than ``node`` classes are compared in blocks
+    of about ``block_sigs`` classes.  ``margin``: how far an estimated similarity may lie below the threshold (5 standard errors at 120 hashes).
     """
 
     ngram: int = 5
@@ -42,6 +42,7 @@ class Forest:
     recall: float = 0.9999
     node: int = 256
     margin: float = 0.2
+    block_sigs: int = 2048
     #: Classes and n-grams that a block of step 4 has on average.
     block_rows: int = 128
     block_grams: int = 500_000
@@ -120,16 +121,16 @@ def _sig_matrix(column: pa.Array, hashes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), hashes)
 
 
-def _prefixes(options: Forest, length: int, trees: bool):
-    """Hashed prefixes of the given length: of all trees, or only of the tree in the row."""
+def _prefixes(options: Forest, length: int):
+    """Hashed prefixes of the given length, of all trees."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = _sig_matrix(batch.column("sig"), options.hashes)
-            which = np.repeat(np.arange(options.trees), len(sig)) if trees else np.asarray(batch.column("tree"))
-            rows = np.tile(np.arange(len(sig)), options.trees) if trees else np.arange(len(sig))
+            which = np.repeat(np.arange(options.trees), len(sig))
+            rows = np.tile(np.arange(len(sig)), options.trees)
             h = mixed(which.astype(np.uint64), 31)
             for d in range(length):
                 h = mixed(h ^ sig[rows, which * options.depth + d].astype(np.uint64), 32 + d)
@@ -193,7 +194,6 @@ def _node_links(options: Forest):
         out: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for group in _groups(batches, ("tree", "node")):
-            # A class may be in a node twice, as its head.
             cls, at = np.unique(group.column("cls").to_numpy(), return_index=True)
             if len(cls) < 2:
                 continue
@@ -218,40 +218,83 @@ def _link_batch(out) -> pa.RecordBatch:
                             "b": pa.array(np.concatenate([x for _, x in out]))})
 
 
+def _low_bytes(options: Forest):
+    """The lowest byte of each hash: equal hashes have equal ones, so that comparing these misses nothing."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            low = _sig_matrix(batch.column("sig"), options.hashes).astype(np.uint8)
+            yield pa.record_batch({
+                **{c: batch.column(c) for c in ("tree", "node", "cls", "n")},
+                "low": pa.FixedSizeBinaryArray.from_buffers(
+                    pa.binary(options.hashes), len(low), [None, pa.py_buffer(low.tobytes())]).cast(pa.binary())})
+
+    return run
+
+
+def _cell_links(options: Forest):
+    """Links of each cell, the pairs across two blocks of a large node or within one."""
+    least = int((options.threshold - options.margin) * options.hashes)
+    counter = np.uint8 if options.hashes < 256 else np.uint16
+    tile = 64
+
+    def one(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        cls, block = group.column("cls").to_numpy(), group.column("block").to_numpy()
+        first, second = int(group.column("first")[0].as_py()), int(group.column("second")[0].as_py())
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(len(cls), options.hashes)
+        low = np.ascontiguousarray(low.T)
+        root = cls.copy()
+        for at in range(0, len(left), tile):
+            some, others = left[at: at + tile], left[at:] if first == second else right
+            # What is linked already need not be compared.
+            if (root[some] == root[some[0]]).all():
+                others = others[root[others] != root[some[0]]]
+            if not len(others):
+                continue
+            equal = np.zeros((len(some), len(others)), counter)
+            for mine, theirs in zip(low[:, some], low[:, others]):
+                equal += mine[:, None] == theirs
+            near = (equal >= least) & (root[some][:, None] != root[others])
+            for i in np.flatnonzero(near.any(axis=1)):
+                joined = np.unique(np.append(root[others[near[i]]], root[some[i]]))
+                if len(joined) > 1:
+                    root[np.isin(root, joined)] = joined[0]
+        moved = np.flatnonzero(root != cls)
+        return cls[moved], root[moved]
+
+    def run(batches):
+        for group in _groups(batches, ("tree", "node", "first", "second")):
+            a, b = one(group)
+            if len(a):
+                yield _link_batch([(a, b)])
+
+    return run
+
+
 def _candidate_links(classes: DataFrame, options: Forest) -> DataFrame:
-    """Links a, b between classes whose estimated similarity comes near the threshold."""
+    """Links a, b that join all classes of a node whose estimated similarity comes near the threshold."""
     sigs = classes.select("cls", "sig")
-    spread = "cls long, tree int, node long"
-    rows, links = sigs.mapInArrow(_prefixes(options, options.shortest, True), spread), []
-    for length in range(options.shortest, options.depth + 1):
-        rows = cut_lineage(rows) if length > options.shortest else rows
-        counts = rows.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("cls").alias("head")).filter("n > 1")
-        # The changed key makes Spark deal both sides out, so that a very common prefix can be split.
-        counts = counts.select("tree", F.expr("node ^ 1").alias("k"), "n", "head")
-        sized = cut_lineage(rows.withColumn("k", F.expr("node ^ 1")).join(counts, ["tree", "k"]).drop("k"))
-        fits = sized.filter(F.col("n") <= options.node)
-        if length == options.depth:
-            # The whole stretch is equal: parts of bounded size, each with the head of the node.
-            parts = F.expr(f"pmod(xxhash64(cls), ceil(n / {options.node}))").cast("long")
-            large = sized.filter(F.col("n") > options.node).withColumn("part", parts)
-            heads = (large.groupBy("tree", "node", "head").agg(F.max("n").alias("n"))
-                     .select("tree", "node", F.col("head").alias("cls"), F.explode(
-                         F.expr(f"sequence(0L, cast(ceil(n / {options.node}) as long) - 1)")).alias("part")))
-            whole = large.select("tree", "node", "cls", "part").unionByName(heads)
-            fits = fits.select("tree", "node", "cls").unionByName(
-                whole.select("tree", F.xxhash64("node", "part").alias("node"), "cls"))
-        pairs = (fits.select("tree", "node", "cls").join(sigs, "cls")
-                 .repartition("tree", "node").sortWithinPartitions("tree", "node")
-                 .mapInArrow(_node_links(options), "a long, b long"))
-        links.append(pairs)
-        over = sized.filter(F.col("n") > options.node)
-        if length == options.depth or over.isEmpty():
-            break
-        rows = over.select("cls", "tree").join(sigs, "cls").mapInArrow(_prefixes(options, length + 1, False), spread)
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return cut_lineage(out.distinct())
+    rows = sigs.mapInArrow(_prefixes(options, options.shortest), "cls long, tree int, node long")
+    counts = rows.groupBy("tree", "node").agg(F.count("*").alias("n")).filter("n > 1")
+    # The changed key makes Spark deal both sides out, so that a very common prefix can be split.
+    counts = counts.select("tree", F.expr("node ^ 1").alias("k"), "n")
+    sized = cut_lineage(rows.withColumn("k", F.expr("node ^ 1")).join(counts, ["tree", "k"]).drop("k"))
+    small = (sized.filter(F.col("n") <= options.node).select("tree", "node", "cls").join(sigs, "cls")
+             .repartition("tree", "node").sortWithinPartitions("tree", "node")
+             .mapInArrow(_node_links(options), "a long, b long"))
+    low = (sized.filter(F.col("n") > options.node).join(sigs, "cls")
+           .mapInArrow(_low_bytes(options), "tree int, node long, cls long, n long, low binary"))
+    blocks = F.expr(f"cast(ceil(n / {options.block_sigs}) as int)")
+    cells = low.withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+    cells = cells.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "tree", "node", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"),
+        "block", "cls", "low")
+    cell = ["tree", "node", "first", "second"]
+    large = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cell_links(options), "a long, b long")
+    return cut_lineage(small.unionByName(large).distinct())
 
 
 def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -63,6 +63,26 @@ def test_crowd(crowd, options):
     assert result(crowd, options=options) == expected(crowd.collect())
 
 
+@pytest.fixture(scope="module")
+def forms(spark):
+    """Filled-in forms: all share more than half of their words, and 150 pairs differ in two of them."""
+    rng = random.Random(8)
+    form, rows = [f"b{i}" for i in range(65)], []
+    for i in range(200):
+        text = form + [f"u{i}.{j}" for j in range(35)]
+        rows.append((2 * i, " ".join(text)))
+        if i < 150:
+            text[rng.randrange(4, 40)], text[rng.randrange(50, 95)] = f"x{i}", f"y{i}"
+            rows.append((2 * i + 1, " ".join(text)))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+
+
+@pytest.mark.parametrize("options", [Forest(trees=10, depth=12, node=2),
+                                     Forest(trees=10, depth=12, node=2, block_sigs=16)])
+def test_large_nodes_are_compared_whole(forms, options):
+    assert result(forms, options=options) == expected(forms.collect())
+
+
 def test_one_of_each_group_stays(docs):
     kept = keep_one(edge.with_clashing(docs))
     want = {i for i, c, _ in expected(docs.collect()) if i is None or i == c}
