@@ -90,6 +90,11 @@ def test_one_of_each_group_stays(docs):
     assert kept.columns == edge.with_clashing(docs).columns
 
 
+def test_one_of_each_pair_in_large_nodes_stays(forms):
+    kept = keep_one(forms, options=Forest(trees=10, depth=12, node=2))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 400, 2))
+
+
 def test_recall_of_the_start():
     f = Forest()
     assert 1 - (1 - 0.8 ** f.shortest) ** f.trees >= f.recall
